@@ -104,12 +104,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False):
-    """Start, end, row and 64-bit hash of every word ([^\\x20\\x09-\\x0D]+) of rows laid end to end."""
+def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False, between: np.ndarray = SPACE):
+    """Start, end, row and 64-bit hash of every word of rows laid end to end.
+
+    A word is a run of bytes that `between` doesn't mark: [^\\x20\\x09-\\x0D]+ unless told otherwise.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, U64)
-    inside = ~SPACE[data]
+    inside = ~between[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True  # rows begin here, so words end before
     begins = inside.copy()
@@ -138,6 +141,12 @@ def windows(row: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.
     return at, mix(out)
 
 
+def word_hash(word: str, lower: bool = True) -> int:
+    """The hash that words() gives a word."""
+    b = np.frombuffer(word.encode(), np.uint8)
+    return int(words(np.array([0, len(b)]), b, lower, np.zeros(256, bool))[3][0])
+
+
 def rows_of(batches, size: int):
     """Cut Arrow batches to at most `size` rows."""
     for b in batches:

@@ -65,8 +65,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     tested = _maybe_repeated(rows, "sha", filled, bits)
     alone = tested.filter(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), F.lit(True).alias("passed_through"))
     maybe = tested.filter("maybe").drop("maybe")
-    # the join is split by AQE where one hash has very many rows
-    met = maybe.join(_winners(maybe), "sha").select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"), F.lit(False).alias("passed_through"))
+    # winners are a table of their own, so that AQE can split the join's rows of one very frequent hash
+    met = maybe.join(settle(_winners(maybe), "winners"), "sha").select("id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"), F.lit(False).alias("passed_through"))
     return alone.unionByName(met).withColumnRenamed("id", id_col)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import exact_dedup, ngram_join
+from tessera.llm import exact_dedup, ngram_join, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,9 +20,43 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(docs, width=3, num=90, den=100).withColumnRenamed("class_id", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_ngram_jaccard)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_ngram_jaccard, op7_quality_rules, op8_toxicity)}
+
+#: The sketches as SQL: the same log buckets, merged to three levels.
+_OP7 = """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT r, generate_subscripts(x, 1) AS i, unnest(x) AS word FROM (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS x FROM d)),
+    g AS (SELECT *, CASE WHEN lead(word, 2) OVER o IS NOT NULL THEN word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o END AS g FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+    f AS (SELECT r, i, word, g IS NOT NULL AND count(*) OVER (PARTITION BY r, g) > 1 AS again FROM g),
+    h AS (SELECT r, word, max(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS again FROM f),
+    c AS (SELECT r, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (again) AS n_repeat_words FROM h GROUP BY r),
+    l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+    m AS (SELECT d.doc_id, lang, source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+            coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r)),
+    v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, word_chars::DOUBLE / greatest(n_words, 1) AS m0, n_symbols::DOUBLE / greatest(n_words, 1) AS m1, n_dup_lines::DOUBLE / greatest(n_lines, 1) AS m2 FROM m),
+    p AS (SELECT lang, source, unnest([{'m': 0, 'v': m0}, {'m': 1, 'v': m1}, {'m': 2, 'v': m2}]) AS p FROM v WHERE NOT base_failed),
+    b AS (SELECT lang, source, p.m AS m, CASE WHEN p.v > 1e-9 THEN ceil(ln(p.v) / ln(1.02::DOUBLE))::INT ELSE -100000 END AS b FROM p),
+    s AS (SELECT 0 AS level, lang, source, m, b, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 1, lang, NULL, m, b, count(*) FROM b GROUP BY ALL UNION ALL SELECT 2, NULL, NULL, m, b, count(*) FROM b GROUP BY ALL),
+    u AS (SELECT *, sum(n) OVER (k ORDER BY b) AS upto, sum(n) OVER k AS total FROM s WINDOW k AS (PARTITION BY level, lang, source, m)),
+    q AS (SELECT level, lang, source, m, max(total) AS total, min(b) FILTER (upto >= floor(0.25::DOUBLE * (total - 1)) + 1) AS b1, min(b) FILTER (upto >= floor(0.75::DOUBLE * (total - 1)) + 1) AS b3 FROM u GROUP BY level, lang, source, m),
+    t AS (SELECT level, lang, source, m, CASE WHEN b1 = -100000 THEN 0 ELSE 2 / 2.02::DOUBLE * pow(1.02::DOUBLE, b1) END AS q1, CASE WHEN b3 = -100000 THEN 0 ELSE 2 / 2.02::DOUBLE * pow(1.02::DOUBLE, b3) END AS q3 FROM q WHERE total >= 100 OR level = 2),
+    z AS (SELECT *, greatest(q3 - q1, CASE m WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.04::DOUBLE ELSE 0.15::DOUBLE END) AS spread FROM t),
+    e AS (SELECT a.lang, a.source, z.m, arg_min(CASE WHEN m = 0 THEN q1 - 3 * spread END, level) AS low, arg_min(q3 + 3 * spread, level) AS high
+          FROM (SELECT DISTINCT lang, source FROM v) a JOIN z ON (level = 2 OR a.lang IS NOT DISTINCT FROM z.lang) AND (level > 0 OR a.source IS NOT DISTINCT FROM z.source) GROUP BY ALL)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce((SELECT bool_and(coalesce(CASE e.m WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END BETWEEN coalesce(low, -1e300) AND high, TRUE))
+        FROM e WHERE e.lang IS NOT DISTINCT FROM v.lang AND e.source IS NOT DISTINCT FROM v.source), TRUE) AS kept FROM v"""
 
 SQL = {
+    "op7_quality_rules": _OP7,
     "op1_exact_dedup": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[ \\x09-\\x0D]+', '', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
