@@ -104,14 +104,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False, between: np.ndarray = SPACE):
+def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False, between: np.ndarray = SPACE, prefixes: tuple = ()):
     """Start, end, row and 64-bit hash of every word of rows laid end to end.
 
-    A word is a run of bytes that `between` doesn't mark: [^\\x20\\x09-\\x0D]+ unless told otherwise.
+    A word is a run of bytes that `between` doesn't mark: [^\\x20\\x09-\\x0D]+ unless told otherwise. With prefixes (lengths in bytes)
+    only row and hash come back, of the words and of the prefixes of longer ones, which never equal a word's hash.
     """
     if not len(data):
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, U64)
+        return (none, np.zeros(0, U64)) if prefixes else (none, none, none, np.zeros(0, U64))
     inside = ~between[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True  # rows begin here, so words end before
@@ -125,7 +126,15 @@ def words(offsets: np.ndarray, data: np.ndarray, lower: bool = False, between: n
     seen = LOWER[data] if lower else data
     total = np.zeros(len(data) + 1, U64)
     np.cumsum((seen.astype(U64) + U64(1)) * up[: len(data)], out=total[1:], dtype=U64)
-    return start, end, row, mix((total[end] - total[start]) * down[start] ^ (end - start).astype(U64))
+    h = mix((total[end] - total[start]) * down[start] ^ (end - start).astype(U64))
+    if not prefixes:
+        return start, end, row, h
+    rows, hashes = [row], [h]
+    for k in prefixes:
+        at = np.flatnonzero(end - start > k)
+        rows.append(row[at])
+        hashes.append(mix((total[start[at] + k] - total[start[at]]) * down[start[at]] ^ U64(k << 32)))
+    return np.concatenate(rows), np.concatenate(hashes)
 
 
 def windows(row: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

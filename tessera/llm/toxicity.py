@@ -1,10 +1,10 @@
-"""Toxicity: a logistic classifier over words, regularised by counterfactuals.
+"""Toxicity: a logistic classifier over words and word beginnings, regularised by counterfactuals.
 
-Training rows come from a bounded, hash-ordered sample of the labelled rows. Their words are counted in a distributed
-way; words that tell the classes apart (by a two-sample z score) become the features, together with the identity
-terms. For every training row that names a group, and for a copy of each row to which a mention is added, the identity
+Training rows come from a bounded, hash-ordered sample of the labelled rows. Their words and the beginnings of longer
+words are counted in a distributed way; those that tell the classes apart (by a two-sample z score) become the
+features, together with the identity terms; a feature's value is its count in the text, 4 at most. For every training row that names a group, and for a copy of each row to which a mention is added, the identity
 term is swapped for others; the loss holds the squared difference of the two scores, so that a neutral mention of a
-group doesn't move the score. Features are whole 64-bit word hashes, so no other word shares a feature's weight.
+group doesn't move the score. Features are whole 64-bit hashes, so no other word shares a feature's weight.
 
 Defined results: a null or empty text gets the score of the bias alone; without both classes among the labels the score
 is the share of label 1 (0 without labels); labels other than 0 and 1 and null ids are left out of training; rows that
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm._common import SPACE, U64, chunks, mix, settle, word_hash, words
+from tessera.llm._common import SPACE, U64, chunks, settle, word_hash, words
 
 #: Bounds of the fit: labelled rows, and features that reach the driver.
 SAMPLE_ROWS = 8192
@@ -32,14 +32,18 @@ BETWEEN = SPACE.copy()
 BETWEEN[[c for c in range(128) if not chr(c).isalnum()]] = True
 
 
-def _distinct(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, hash) pairs, by row."""
+#: Lengths in bytes of the word beginnings that are features too, and the highest count that a feature takes.
+PREFIXES, MOST = (4, 5, 6, 7), 4
+
+
+def _counts(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, hash) pairs, by row, and how often each occurs, MOST at most."""
     if not len(h):
-        return row, h
+        return row, h, np.zeros(0, np.int64)
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
-    new = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
-    return row[new], h[new]
+    at = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
+    return row[at], h[at], np.minimum(np.diff(np.concatenate([at, [len(row)]])), MOST)
 
 
 def held_out(id_col: str):
@@ -48,20 +52,20 @@ def held_out(id_col: str):
 
 
 def train_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample_rows: int) -> DataFrame:
-    """(y, hashes) of at most sample_rows labelled rows outside the held-out fold, equal word sets once."""
+    """(y, hashes, counts) of at most sample_rows labelled rows outside the held-out fold, equal word sets once."""
     picked = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
 
     def f(batches):
         for b in batches:
             for first, offsets, data in chunks(b.column(1)):
-                row, h = _distinct(*words(offsets, data, True, BETWEEN)[2:])
-                cut = np.searchsorted(row, np.arange(len(offsets)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(offsets) - 1), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(h.view(np.int64)))], ["y", "hashes"])
+                row, h, n = _counts(*words(offsets, data, True, BETWEEN, PREFIXES))
+                cut = pa.array(np.searchsorted(row, np.arange(len(offsets))).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(offsets) - 1), pa.ListArray.from_arrays(cut, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(n.astype(np.int32)))], ["y", "hashes", "counts"])
 
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most sample_rows rows are broadcast
-    return text.join(F.broadcast(picked), "id").select("y", "text").mapInArrow(f, "y int, hashes array<long>").dropDuplicates(["hashes", "y"])
+    return text.join(F.broadcast(picked), "id").select("y", "text").mapInArrow(f, "y int, hashes array<long>, counts array<int>").dropDuplicates()
 
 
 def _fit(x: np.ndarray, y: np.ndarray, identity: np.ndarray, penalty: float, l1: float = 2e-4, rounds: int = 1500) -> tuple[np.ndarray, float]:
@@ -117,12 +121,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             k = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
             hit = vocabulary[k] == h
             cut = np.concatenate([[0], np.cumsum(hit)])[at - at[0]]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(k[hit].astype(np.int32)))], ["y", "k"])
+            cut = pa.array(cut.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(cut, pa.array(k[hit].astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(np.asarray(b.column(2).flatten())[hit]))], ["y", "k", "n"])
 
-    got = sorted((r["y"], sorted(r["k"])) for r in rows.mapInArrow(known, "y int, k array<int>").toLocalIterator())
+    got = sorted((r["y"], sorted(zip(r["k"], r["n"], strict=True))) for r in rows.mapInArrow(known, "y int, k array<int>, n array<int>").toLocalIterator())
     x = np.zeros((len(got), len(vocabulary)))
-    for i, (_, k) in enumerate(got):
-        x[i, k] = 1
+    for i, (_, own) in enumerate(got):
+        for k, c in own:
+            x[i, k] = c
     w, b = _fit(x, np.array([y for y, _ in got], float), np.searchsorted(vocabulary, terms), penalty)
     used = w != 0
     return vocabulary[used], w[used], b
@@ -132,12 +138,12 @@ def scores(column: pa.Array, model) -> np.ndarray:
     vocabulary, w, b = model
     out = np.full(len(column), b)
     for first, offsets, data in chunks(column):
-        _, _, row, h = words(offsets, data, True, BETWEEN)
+        row, h = words(offsets, data, True, BETWEEN, PREFIXES)
         if len(vocabulary) and len(h):
             k = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
             hit = vocabulary[k] == h
-            row, k = _distinct(row[hit], k[hit].astype(U64))
-            out[first : first + len(offsets) - 1] += np.bincount(row, w[k.astype(np.int64)], len(offsets) - 1)
+            row, k, n = _counts(row[hit], k[hit])
+            out[first : first + len(offsets) - 1] += np.bincount(row, w[k] * n, len(offsets) - 1)
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
