@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, ngram_join, quality, toxicity
+from tessera.llm import bpe, exact_dedup, mixing, ngram_join, quality, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +16,15 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample_report(_read(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return ngram_join.jaccard_classes(docs, width=3, num=90, den=100).withColumnRenamed("class_id", "component_id")
@@ -29,7 +39,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_ngram_jaccard, op7_quality_rules, op8_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_mix_sources, op6_ngram_jaccard, op7_quality_rules, op8_toxicity)}
 
 #: The sketches as SQL: the same log buckets, merged to three levels.
 _OP7 = """
@@ -56,6 +66,7 @@ _OP7 = """
         FROM e WHERE e.lang IS NOT DISTINCT FROM v.lang AND e.source IS NOT DISTINCT FROM v.source), TRUE) AS kept FROM v"""
 
 SQL = {
+    "op4_mix_sources": f"WITH {mixing.oracle('documents', 'doc_id, source, lang')} SELECT doc_id, source, lang, topic, round(p, 6) AS probability, u < p AS kept FROM mixed_documents",
     "op7_quality_rules": _OP7,
     "op1_exact_dedup": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[ \\x09-\\x0D]+', '', 'g')) AS text_sha256 FROM documents)
