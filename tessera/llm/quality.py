@@ -122,9 +122,11 @@ def cutoffs(rows: DataFrame, least: int = LEAST_ROWS, reach: float = REACH) -> D
             g, r = groups.alias("g"), q.alias("r")
             on = [F.col(f"g.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
             q = g.join(r, on[0] if len(on) == 1 else on[0] & on[1]).select("g.lang", "g.source", "r.bound")
-        else:  # one row for each measure, to every group
-            all_of = q.agg(F.collect_list("bound").alias("bounds")).withColumn("one", F.lit(1))
-            q = groups.withColumn("one", F.lit(1)).join(all_of, "one").select("lang", "source", F.explode("bounds").alias("bound"))
+        else:  # one row for each measure goes to the driver, and from there to every group
+            rest = [F.struct(F.lit(level).alias("level"), F.lit(r["measure"]).alias("measure"), F.lit(r["low"]).cast("double").alias("low"), F.lit(r["high"]).cast("double").alias("high")) for r in q.select("bound.*").collect()]
+            if not rest:
+                continue
+            q = groups.select("lang", "source", F.explode(F.array(*rest)).alias("bound"))
         out = q if out is None else out.unionByName(q)
     # the finest level of each measure
     best = out.groupBy("lang", "source", "bound.measure").agg(F.min_by("bound", "bound.level").alias("bound"))
