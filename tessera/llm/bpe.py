@@ -17,14 +17,14 @@ import base64
 import hashlib
 import json
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Bytes of text that share a list of distinct words.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 @lru_cache(4)
@@ -88,7 +88,7 @@ def rank_of(key: Column, table: Column, n: int) -> Column:
     """The rank of a pair's key in the literal map, NO_RANK where it has none."""
     out = F
     for h in HASHES:
-        entry = F.get(table, F.shiftright(key * F.lit(h), 20).bitwiseAND(F.lit(n - 1)).cast("int"))
+        entry = F.get(table, F.shiftright(key * F.lit(h), 20).bitwiseAND(F.lit(n - 1)))
         out = out.when(F.shiftright(entry, ID_BITS) == key, entry.bitwiseAND(F.lit(NO_RANK)))
     return out.otherwise(F.lit(NO_RANK).cast("long"))
 
@@ -108,7 +108,7 @@ def fold_merges(word: Column, table: Column, n: int, of_bytes: Column) -> Column
     """
     high = F.lit(1 << RANK_AT)
     own = lambda x: x.bitwiseAND(F.lit(NO_RANK))
-    first = F.zip_with(word, F.slice(word, 2, F.size(word)), lambda x, y: x + high * F.coalesce(F.get(of_bytes, (x.bitwiseAND(F.lit(511)) * 512 + y.bitwiseAND(F.lit(511))).cast("int")), F.lit(NO_RANK).cast("long")))
+    first = F.zip_with(word, F.slice(word, 2, F.size(word)), lambda x, y: x + high * F.coalesce(F.get(of_bytes, (x.bitwiseAND(F.lit(511)) * 512 + y.bitwiseAND(F.lit(511)))), F.lit(NO_RANK).cast("long")))
 
     def merge(e: Column, least: Column, at: Column) -> Column:  # at: where the pair begins, from 1
         new = F.shiftright(least, RANK_AT)
@@ -140,9 +140,9 @@ def _split(pattern: str, ranks: dict[bytes, int], size: int):
     def f(batches):
         find = regex.compile(pattern).findall
         for b in batches:
-            start, held = 0, list(accumulate(len(x or "") for x in b.column(1).to_pylist()))
+            start, held = 0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0), np.int64))
             while start < b.num_rows:
-                base = held[start - 1] if start else 0
+                base = int(held[start - 1]) if start else 0
                 stop = max(start + 1, int(np.searchsorted(held, base + size, "right")))
                 known: dict[str, int] = {}
                 place, counts = [], []
