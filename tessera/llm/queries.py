@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, exact_dedup, mixing, ngram_join, quality, toxicity
+from tessera.llm import bpe, chat, exact_dedup, mixing, ngram_join, quality, toxicity, warc
+from tessera.llm._common import scratch_path
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +26,12 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample_report(_read(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(_read(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return ngram_join.jaccard_classes(docs, width=3, num=90, den=100).withColumnRenamed("class_id", "component_id")
@@ -39,7 +46,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_mix_sources, op6_ngram_jaccard, op7_quality_rules, op8_toxicity)}
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    return chat.digests(chat.format_conversations(rows.unionByName(more)))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_mix_sources, op5_warc, op6_ngram_jaccard, op7_quality_rules, op8_toxicity, op9_chat_format)}
 
 #: The sketches as SQL: the same log buckets, merged to three levels.
 _OP7 = """
@@ -67,7 +81,22 @@ _OP7 = """
 
 SQL = {
     "op4_mix_sources": f"WITH {mixing.oracle('documents', 'doc_id, source, lang')} SELECT doc_id, source, lang, topic, round(p, 6) AS probability, u < p AS kept FROM mixed_documents",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+        b AS (SELECT DISTINCT h, string_agg(lpad(bin(('0x' || substr(h, i * 2 + 1, 2))::INT), 8, '0'), '' ORDER BY i) AS bits FROM (SELECT DISTINCT h FROM p), range(20) r(i) GROUP BY h),
+        d AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ('0b' || substr(bits, i * 5 + 1, 5))::INT + 1, 1), '' ORDER BY i) AS digest FROM b, range(32) r(i) GROUP BY h),
+        m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+        SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = least OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> least THEN least END AS refers_to FROM m JOIN d USING (h)""",
     "op7_quality_rules": _OP7,
+    "op9_chat_format": r"""
+        WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) AS n, length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) AS m FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+               (3 + sum(CASE WHEN role = 'assistant' THEN n + 4 ELSE n + m + 14 END))::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op1_exact_dedup": """
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[ \\x09-\\x0D]+', '', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
