@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, chat, exact_dedup, mixing, ngram_join, quality, toxicity, warc
+from tessera.llm import bpe, chat, exact_dedup, mixing, ngram_join, quality, secrets, toxicity, warc
 from tessera.llm._common import scratch_path
 
 
@@ -17,6 +17,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return bpe.digests(_read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -53,7 +57,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_byte_bpe, op4_mix_sources, op5_warc, op6_ngram_jaccard, op7_quality_rules, op8_toxicity, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_byte_bpe, op4_mix_sources, op5_warc, op6_ngram_jaccard, op7_quality_rules, op8_toxicity, op9_chat_format)}
 
 #: The sketches as SQL: the same log buckets, merged to three levels.
 _OP7 = """
