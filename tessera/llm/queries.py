@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, chat, exact_dedup, mixing, ngram_join, quality, secrets, toxicity, warc
+from tessera.llm import bpe, chat, exact_dedup, html_text, mixing, ngram_join, quality, secrets, toxicity, warc
 from tessera.llm._common import scratch_path
 
 
@@ -57,7 +57,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_byte_bpe, op4_mix_sources, op5_warc, op6_ngram_jaccard, op7_quality_rules, op8_toxicity, op9_chat_format)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_byte_bpe, op4_mix_sources, op5_warc, op6_ngram_jaccard, op7_quality_rules, op8_toxicity, op9_chat_format, op10_html_text)}
 
 #: The sketches as SQL: the same log buckets, merged to three levels.
 _OP7 = """
