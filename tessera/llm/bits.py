@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm._common import U64, mix
+from tessera.llm._common import U64, mix, settle
 
 SLICE = 1 << 20
 #: 32 MB for each of the two bits: what the driver gathers and broadcasts at most.
@@ -74,3 +74,25 @@ def count_bits(hashes: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
         at = slice(r["slice"] * width // 8, (r["slice"] + 1) * width // 8)
         out[0, at], out[1, at] = np.frombuffer(r["one"], np.uint8), np.frombuffer(r["two"], np.uint8)
     return out[0], out[1]
+
+
+def without_ids(df: DataFrame, drop: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df whose id isn't among those of drop (one long column without nulls); null ids stay.
+
+    Rows whose id isn't in a bounded filter of the dropped ids never leave their partition; only the others meet the
+    table of ids, so texts that stay aren't shuffled.
+    """
+    drop = settle(drop.toDF("__drop").distinct(), "drop")
+    bits = bits_for(drop.count())
+    filled = df.sparkSession.sparkContext.broadcast(count_bits(drop, bits)[0])
+
+    @F.pandas_udf("boolean")
+    def maybe(ids):
+        import pandas as pd
+
+        return pd.Series(contains(filled.value, ids.fillna(0).to_numpy(np.int64).view(U64), bits) & ids.notna().to_numpy())
+
+    own = df[f"`{id_col}`"].cast("long")
+    tested = df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("held"), own.alias("id"), maybe(own).alias("maybe"))
+    rest = tested.filter("maybe").join(drop, F.col("id") == F.col("__drop"), "left_anti")
+    return tested.filter("not maybe").select("held.*").unionByName(rest.select("held.*"))

@@ -256,5 +256,5 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def one_of_each_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of df without those that link to a smaller id; rows with no shingles stay."""
-    drop = jaccard_classes(df, id_col, text_col, width, num, den).filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).cast("long").alias("__drop"))
-    return df.join(drop, df[id_col].cast("long") == drop["__drop"], "left_anti")
+    drop = jaccard_classes(df, id_col, text_col, width, num, den).filter(F.col(id_col) != F.col("class_id")).select(id_col)
+    return B.without_ids(df, drop, id_col)

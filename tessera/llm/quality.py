@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm._common import U64, chunks, mix, settle, windows, words
+from tessera.llm.bits import without_ids
 
 GAMMA = 1.02
 #: The characters that count as symbols.
@@ -147,5 +148,4 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def keep_good(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of df whose id has no rejected row, with their columns."""
-    drop = judge(df, id_col, **options).filter("not kept").select(F.col(id_col).alias("__drop")).distinct()
-    return df.join(drop, df[id_col].cast("long") == drop["__drop"], "left_anti")
+    return without_ids(df, judge(df, id_col, **options).filter("not kept").select(id_col).filter(F.col(id_col).isNotNull()), id_col)
