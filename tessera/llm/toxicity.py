@@ -83,7 +83,7 @@ def _fit(x: np.ndarray, y: np.ndarray, identity: np.ndarray, penalty: float, l1:
         pairs += [b - c, b - a]  # swapped, and without the mention
     p = np.array(pairs).reshape(-1, d)
     rate = y.mean()
-    weight = np.where(y == 1, 0.5 / rate, 0.5 / (1 - rate))
+    weight = np.ones(n)
     step = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 * weight.max() / n + 0.25 * weight.max() + (2 * penalty * np.linalg.norm(p, 2) ** 2 / max(len(p), 1) if len(p) else 0))
     w = v = np.zeros(d)
     b = c = float(np.log(rate / (1 - rate)))
