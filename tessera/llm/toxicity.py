@@ -22,7 +22,7 @@ from tessera.llm._common import SPACE, U64, chunks, settle, word_hash, words
 
 #: Bounds of the fit: labelled rows, and features that reach the driver.
 SAMPLE_ROWS = 8192
-FEATURES = 1024
+FEATURES = 512
 #: A feature's least document count and z score.
 LEAST_DF, LEAST_Z = 5, 5.0
 #: Words that name groups of people, in lower case.
@@ -71,27 +71,24 @@ def train_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
 def _fit(x: np.ndarray, y: np.ndarray, identity: np.ndarray, penalty: float, l1: float = 2e-4, rounds: int = 1500) -> tuple[np.ndarray, float]:
     """Accelerated proximal descent on log loss + penalty * mean squared change of score under swaps + l1."""
     n, d = x.shape
-    pairs = []  # (changed row, features after one swap, features after another)
+    g = np.zeros((d, d))  # sum of d d' over changes d of the features under a swap; the pairs themselves aren't kept
     for k in range(n if len(identity) > 1 else 0):
         named = identity[x[k, identity] > 0]
-        one, two = identity[k % len(identity)], identity[(k * 7 + 3) % len(identity)]
-        a = x[k].copy()
-        a[named] = 0
-        b, c = a.copy(), a.copy()
-        b[named if len(named) else one] = 1  # as written, or with a mention added
-        c[two] = 1
-        pairs += [b - c, b - a]  # swapped, and without the mention
-    p = np.array(pairs).reshape(-1, d)
+        one, two = int(identity[k % len(identity)]), int(identity[(k * 7 + 3) % len(identity)])
+        had = set(map(int, named if len(named) else [one]))  # as written, or with a mention added
+        for change in (had ^ {two}, had):  # swapped for another group, and without the mention
+            at = np.array(sorted(change), int)
+            sign = np.where([a in had for a in at], 1.0, -1.0)
+            g[np.ix_(at, at)] += np.outer(sign, sign)
+    g /= max(2 * n, 1)
     rate = y.mean()
-    weight = np.ones(n)
-    step = 1 / (0.25 * np.linalg.norm(x, 2) ** 2 * weight.max() / n + 0.25 * weight.max() + (2 * penalty * np.linalg.norm(p, 2) ** 2 / max(len(p), 1) if len(p) else 0))
+    step = 1 / (0.25 * np.linalg.eigvalsh(x.T @ x / n)[-1] + 0.25 + 2 * penalty * np.linalg.eigvalsh(g)[-1])
     w = v = np.zeros(d)
     b = c = float(np.log(rate / (1 - rate)))
     t = 1.0
     for _ in range(rounds):
-        r = weight * (1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30))) - y)
-        g = x.T @ r / n + (2 * penalty * (p.T @ (p @ v)) / len(p) if len(p) else 0)
-        new = v - step * g
+        r = 1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30))) - y
+        new = v - step * (x.T @ r / n + 2 * penalty * (g @ v))
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         nb = c - step * r.mean()
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -119,16 +116,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             lists = b.column(1)
             h, at = lists.flatten().to_numpy(zero_copy_only=False).view(U64), np.asarray(lists.offsets)
             k = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+            row = np.repeat(np.arange(b.num_rows), np.diff(at))
             hit = vocabulary[k] == h
-            cut = np.concatenate([[0], np.cumsum(hit)])[at - at[0]]
-            cut = pa.array(cut.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(cut, pa.array(k[hit].astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(np.asarray(b.column(2).flatten())[hit]))], ["y", "k", "n"])
-
-    got = sorted((r["y"], sorted(zip(r["k"], r["n"], strict=True))) for r in rows.mapInArrow(known, "y int, k array<int>, n array<int>").toLocalIterator())
-    x = np.zeros((len(got), len(vocabulary)))
-    for i, (_, own) in enumerate(got):
-        for k, c in own:
-            x[i, k] = c
+            dense = np.zeros((b.num_rows, len(vocabulary)), np.uint8)
+            dense[row[hit], k[hit]] = np.asarray(b.column(2).flatten())[hit]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in dense], pa.binary())], ["y", "x"])
+
+    got = sorted((r["y"], bytes(r["x"])) for r in rows.mapInArrow(known, "y int, x binary").toLocalIterator())
+    x = np.frombuffer(b"".join(v for _, v in got), np.uint8).reshape(len(got), -1).astype(np.float32)
     w, b = _fit(x, np.array([y for y, _ in got], float), np.searchsorted(vocabulary, terms), penalty)
     used = w != 0
     return vocabulary[used], w[used], b
