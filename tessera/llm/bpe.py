@@ -1,7 +1,8 @@
 """Byte-level BPE encoding and decoding by ranked merges, folded by Spark's higher-order functions.
 
 A batch of texts is split by the tokenizer's pattern into words; each batch carries its distinct words once, as byte
-values, and every text as positions in that list. Spark's aggregate() then folds the merges of each distinct word: the
+values, in rows of bounded size, followed by its texts as places in that list. Words that are frequent are encoded
+ahead, once for all batches, by the same expression. Spark's aggregate() folds the merges of each distinct word: the
 pair of least rank merges, first from the left, until no pair has a rank. The rank map is a literal, hashed into
 buckets so that a look-up doesn't search it. Decoding concatenates the binary pieces of the ids.
 
@@ -16,15 +17,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from array import array
+from collections import Counter, deque
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bytes of text that share a list of distinct words.
-BATCH_BYTES = 8 << 20
+#: Characters of text that share a list of distinct words; words and places in a row of the fold.
+BATCH_BYTES, WORDS_A_ROW, PLACES_A_ROW = 16 << 20, 8192, 1 << 18
+#: The words that are encoded ahead: at most so many, from the first so many texts.
+COMMON_WORDS, COMMON_TEXTS = 200_000, 12_000
 
 
 @lru_cache(4)
@@ -131,83 +136,179 @@ def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
     return _bind(literal(table), lambda t: _bind(literal(byte_map(pairs)), lambda b: F.transform(words, lambda w: fold_merges(w, t, len(table), b))))
 
 
-def _split(pattern: str, ranks: dict[bytes, int], size: int):
-    """Batches of (id, text) -> one row a batch: distinct words as ids of their bytes, and each text as positions."""
+def _byte_ids(ranks: dict[bytes, int]) -> np.ndarray:
+    return np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+
+def _nested(words: list[str], byte_id: np.ndarray) -> pa.Array:
+    """Words as the fold wants them: start and id of each byte, OUTSIDE at both ends."""
+    raw = [w.encode() for w in words]
+    if not raw:
+        return pa.array([], pa.list_(pa.int64()))
+    ids, n = byte_id[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(w) for w in raw], np.int64)
+    ends = np.cumsum(n + 2)
+    padded = np.full(int(ends[-1]), OUTSIDE, np.int64)
+    inside = np.ones(len(padded), bool)
+    inside[ends - 1] = inside[ends - n - 2] = False
+    padded[inside] = ids + ((np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)) << ID_BITS)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(padded))
+
+
+def _one(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+#: The rows that go through the fold: words of a batch, from place `base`, or (base -1) texts as places of their words.
+ROWS = "base int, words array<array<long>>, id array<long>, place array<int>, counts array<int>"
+_NAMES = ["base", "words", "id", "place", "counts"]
+
+
+def _row(base: int, words: pa.Array, ids: list, place, counts: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([base], pa.int32()), _one(words), pa.array([ids], pa.list_(pa.int64())), _one(pa.array(np.asarray(place, np.int32))), pa.array([counts], pa.list_(pa.int32()))], _NAMES)
+
+
+def _split(pattern: str, ranks: dict[bytes, int], size: int, common):
+    """Batches of (id, text) -> for each about `size` bytes of text rows of distinct words, then rows of texts.
+
+    Words that are encoded ahead (`common`, a broadcast) have the first places and aren't sent again.
+    """
     import regex
 
-    byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    byte_id = _byte_ids(ranks)
 
     def f(batches):
         find = regex.compile(pattern).findall
+        ahead = {w: k for k, w in enumerate(common.value[0])}
+        known, place, held, seen = dict(ahead), array("i"), [], 0
+
+        def out():
+            new = list(islice(known, len(ahead), None))
+            for k in range(0, len(new), WORDS_A_ROW):
+                yield _row(len(ahead) + k, _nested(new[k : k + WORDS_A_ROW], byte_id), [], [], [])
+            at = 0
+            while held:
+                own, n = [], 0
+                while held and (not own or n + held[0][1] <= PLACES_A_ROW):
+                    own.append(held.popleft())
+                    n += own[-1][1]
+                yield _row(-1, _nested([], byte_id), [i for i, _ in own], place[at : at + n], [c for _, c in own])
+                at += n
+
+        held = deque()
         for b in batches:
-            start, held = 0, np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(1)), 0), np.int64))
-            while start < b.num_rows:
-                base = int(held[start - 1]) if start else 0
-                stop = max(start + 1, int(np.searchsorted(held, base + size, "right")))
-                known: dict[str, int] = {}
-                place, counts = [], []
-                for t in b.column(1).slice(start, stop - start).to_pylist():
+            for start in range(0, b.num_rows, 64):
+                for i, t in zip(b.column(0).slice(start, 64).to_pylist(), b.column(1).slice(start, 64).to_pylist()):
                     own = find(t or "")
-                    place += [known.setdefault(w, len(known)) for w in own]
-                    counts.append(len(own))
-                raw = [w.encode() for w in known]
-                ids, n = byte_id[np.frombuffer(b"".join(raw), np.uint8)], np.array([len(w) for w in raw], np.int64)
-                ends = np.cumsum(n + 2)
-                padded = np.full(int(ends[-1]) if raw else 0, OUTSIDE, np.int64)
-                inside = np.ones(len(padded), bool)
-                inside[ends - 1] = inside[ends - n - 2] = False
-                padded[inside] = ids + ((np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)) << ID_BITS)
-                nested = lambda v, n: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(v))
-                words = nested(padded, n + 2) if raw else pa.array([], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([b.column(0).slice(start, stop - start).to_pylist()], pa.list_(pa.int64())),
-                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
-                    pa.ListArray.from_arrays(pa.array([0, len(place)], pa.int32()), pa.array(np.array(place, np.int32))),
-                    pa.array([counts], pa.list_(pa.int32())),
-                ], ["id", "words", "place", "counts"])
-                start = stop
+                    place.extend([known.setdefault(w, len(known)) for w in own])
+                    held.append((i, len(own)))
+                    seen += len(t or "")
+                if seen >= size:
+                    yield from out()
+                    known, place, seen = dict(ahead), array("i"), 0
+        if held:
+            yield from out()
 
     return f
 
 
-def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = BATCH_BYTES) -> DataFrame:
-    """One row a batch: ids of the documents, distinct words' token ids (codes), place and counts of each text."""
-    rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    batches = rows.mapInArrow(_split(pattern, ranks, size), "id array<long>, words array<array<long>>, place array<int>, counts array<int>")
-    return batches.select("id", encode_words(F.col("words"), ranks).alias("codes"), "place", "counts")
+def common_words(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str, most: int):
+    """A broadcast of (words, lengths, ids): the most frequent words of the first texts, encoded ahead by the same fold.
 
+    It only decides which words are encoded once for all instead of once for each batch; at most `most` words, so its
+    size is bounded.
+    """
+    import regex
 
-def _per_text(batches, pieces: list[bytes]):
-    """(ids of rows, and for each row its distinct words' ids, decimal text and decoded bytes, joined)."""
+    def count(batches):
+        find = regex.compile(pattern).findall
+        for b in batches:
+            n = Counter(w for t in b.column(0).to_pylist() for w in find(t or "") if len(w) <= 64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["w", "n"])
+
+    spark = df.sparkSession
+    if not most:
+        return spark.sparkContext.broadcast(([], np.zeros(0, np.int64), np.zeros(0, np.int32)))
+    first = df.select(F.col(text_col).cast("string")).limit(COMMON_TEXTS)
+    w = first.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(most)
+    words = sorted(r["w"] for r in w.select("w").toLocalIterator())
+    byte_id = _byte_ids(ranks)
+    rows = [pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), _one(_nested(words[k : k + WORDS_A_ROW], byte_id))], ["base", "words"]) for k in range(0, len(words), WORDS_A_ROW)]
+    lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    if rows:
+        sent = spark.createDataFrame(pa.Table.from_batches(rows)).repartition(len(rows))
+        got = sent.select("base", encode_words(F.col("words"), ranks).alias("codes")).mapInArrow(_packed, "base int, lengths binary, ids binary")
+        for r in sorted(got.toLocalIterator(), key=lambda r: r["base"]):
+            lengths.append(np.frombuffer(r["lengths"], np.int64))
+            ids.append(np.frombuffer(r["ids"], np.int32))
+    return spark.sparkContext.broadcast((words, np.concatenate(lengths), np.concatenate(ids)))
+
+
+def _ids_of(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each word, ids of all words) of folded states."""
+    flat = np.asarray(codes.flatten()) & NO_RANK
+    real = flat != OUTSIDE
+    cut = np.concatenate([[0], np.cumsum(real)])[np.asarray(codes.offsets) - codes.offsets[0].as_py()]
+    return np.diff(cut), flat[real].astype(np.int32)
+
+
+def _packed(batches):
     for b in batches:
         for r in range(b.num_rows):
-            codes = b.column(1)[r].values
-            flat = np.asarray(codes.flatten()) & NO_RANK
-            real = flat != OUTSIDE
-            cut = np.concatenate([[0], np.cumsum(real)])[np.asarray(codes.offsets) - codes.offsets[0].as_py()]
-            got = flat[real].tolist()
-            decimal = [" ".join(map(str, got[i:j])) for i, j in zip(cut[:-1], cut[1:])]
-            decoded = [b"".join([pieces[x] for x in got[i:j]]) for i, j in zip(cut[:-1], cut[1:])]
-            lengths = np.diff(cut)
-            place, at = np.asarray(b.column(2)[r].values), 0
-            for i, n in zip(b.column(0)[r].as_py(), b.column(3)[r].as_py()):
-                own = place[at : at + n]
-                at += n
-                yield i, own, lengths, got, cut, decimal, decoded
+            n, ids = _ids_of(b.column(1)[r].values)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), pa.array([n.astype(np.int64).tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())], ["base", "lengths", "ids"])
+
+
+def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = BATCH_BYTES, ahead: int = COMMON_WORDS):
+    """(frame of ROWS with the words' folded states as codes, the broadcast of words encoded ahead)."""
+    common = common_words(df, ranks, pattern, text_col, ahead)
+    rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_split(pattern, ranks, size, common), ROWS)
+    return rows.select("base", encode_words(F.col("words"), ranks).alias("codes"), "id", "place", "counts"), common
 
 
-def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = BATCH_BYTES) -> DataFrame:
+class _Words:
+    """The words of a batch: how many ids each has, their decimals, and the bytes that its ids decode to."""
+
+    def __init__(self, pieces: list[bytes], lengths: np.ndarray, ids: np.ndarray):
+        self.pieces, self.lengths, self.decimal, self.decoded = pieces, [], [], []
+        self.add(lengths, ids)
+        self.ahead = len(self.decimal)
+
+    def add(self, lengths: np.ndarray, ids: np.ndarray) -> None:
+        got, pieces, at = ids.tolist(), self.pieces, 0
+        self.lengths += lengths.tolist()
+        for n in lengths.tolist():
+            own = got[at : at + n]
+            self.decimal.append(" ".join(map(str, own)))
+            self.decoded.append(b"".join([pieces[x] for x in own]))
+            at += n
+
+    def restart(self) -> None:
+        for x in (self.lengths, self.decimal, self.decoded):
+            del x[self.ahead :]
+
+
+def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = BATCH_BYTES, ahead: int = COMMON_WORDS) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids."""
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, r in ranks.items():
         pieces[r] = token
+    rows, common = encoded(df, ranks, pattern, id_col, text_col, size, ahead)
 
     def f(batches):
+        words = _Words(pieces, *common.value[1:])
         for b in batches:
-            out = []
-            for i, own, lengths, _, _, decimal, decoded in _per_text([b], pieces):
-                k = own.tolist()
-                out.append((i, int(lengths[own].sum()), hashlib.sha256(" ".join([decimal[x] for x in k]).encode()).hexdigest(), hashlib.sha256(b"".join([decoded[x] for x in k])).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded(df, ranks, pattern, id_col, text_col, size).mapInArrow(f, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for r in range(b.num_rows):
+                base = b.column(0)[r].as_py()
+                if base >= 0:
+                    if base == words.ahead:
+                        words.restart()
+                    words.add(*_ids_of(b.column(1)[r].values))
+                    continue
+                place, at, out = b.column(3)[r].values.to_pylist(), 0, []
+                for i, n in zip(b.column(2)[r].as_py(), b.column(4)[r].as_py()):
+                    own = place[at : at + n]
+                    at += n
+                    out.append((i, sum([words.lengths[x] for x in own]), hashlib.sha256(" ".join([words.decimal[x] for x in own]).encode()).hexdigest(), hashlib.sha256(b"".join([words.decoded[x] for x in own])).hexdigest()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return rows.mapInArrow(f, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
