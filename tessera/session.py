@@ -15,7 +15,7 @@ _SHIPPED: set[str] = set()
 def build(cpus: str | int = "*", partitions: int = 8, memory: str = "8g", **conf) -> SparkSession:
     """A local session with the settings that the queries expect anywhere: adaptive plans and UTC."""
     b = SparkSession.builder.master(f"local[{cpus}]").appName("tessera")
-    for k, v in ({"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.enabled": "true", "spark.driver.memory": memory, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false"} | conf).items():
+    for k, v in ({"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.enabled": "true", "spark.driver.memory": memory, "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"} | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
 
