@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Characters of text that share a list of distinct words; words and places in a row of the fold.
 BATCH_BYTES, WORDS_A_ROW, PLACES_A_ROW = 16 << 20, 8192, 1 << 18
-#: The words that are encoded ahead: at most so many, from the first so many texts.
-COMMON_WORDS, COMMON_TEXTS = 200_000, 12_000
+#: The words that are encoded ahead: at most so many, counted in about so many texts.
+COMMON_WORDS, COMMON_TEXTS = 300_000, 16_000
 
 
 @lru_cache(4)
@@ -167,6 +167,14 @@ def _row(base: int, words: pa.Array, ids: list, place, counts: list) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array([base], pa.int32()), _one(words), pa.array([ids], pa.list_(pa.int64())), _one(pa.array(np.asarray(place, np.int32))), pa.array([counts], pa.list_(pa.int32()))], _NAMES)
 
 
+class _Places(dict):
+    """Word -> place; a word that isn't there gets the next place."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        return place
+
+
 def _split(pattern: str, ranks: dict[bytes, int], size: int, common):
     """Batches of (id, text) -> for each about `size` bytes of text rows of distinct words, then rows of texts.
 
@@ -178,13 +186,16 @@ def _split(pattern: str, ranks: dict[bytes, int], size: int, common):
 
     def f(batches):
         find = regex.compile(pattern).findall
-        ahead = {w: k for k, w in enumerate(common.value[0])}
-        known, place, held, seen = dict(ahead), array("i"), [], 0
+        known = _Places((w, k) for k, w in enumerate(common.value[0]))
+        ahead, place_of = len(known), known.__getitem__
+        place, held, seen = array("i"), deque(), 0
 
         def out():
-            new = list(islice(known, len(ahead), None))
+            new = list(islice(known, ahead, None))
             for k in range(0, len(new), WORDS_A_ROW):
-                yield _row(len(ahead) + k, _nested(new[k : k + WORDS_A_ROW], byte_id), [], [], [])
+                yield _row(ahead + k, _nested(new[k : k + WORDS_A_ROW], byte_id), [], [], [])
+            for w in new:
+                del known[w]
             at = 0
             while held:
                 own, n = [], 0
@@ -194,17 +205,16 @@ def _split(pattern: str, ranks: dict[bytes, int], size: int, common):
                 yield _row(-1, _nested([], byte_id), [i for i, _ in own], place[at : at + n], [c for _, c in own])
                 at += n
 
-        held = deque()
         for b in batches:
             for start in range(0, b.num_rows, 64):
                 for i, t in zip(b.column(0).slice(start, 64).to_pylist(), b.column(1).slice(start, 64).to_pylist()):
                     own = find(t or "")
-                    place.extend([known.setdefault(w, len(known)) for w in own])
+                    place.extend(map(place_of, own))
                     held.append((i, len(own)))
                     seen += len(t or "")
                 if seen >= size:
                     yield from out()
-                    known, place, seen = dict(ahead), array("i"), 0
+                    place, seen = array("i"), 0
         if held:
             yield from out()
 
@@ -212,7 +222,7 @@ def _split(pattern: str, ranks: dict[bytes, int], size: int, common):
 
 
 def common_words(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str, most: int):
-    """A broadcast of (words, lengths, ids): the most frequent words of the first texts, encoded ahead by the same fold.
+    """A broadcast of (words, lengths, ids): the most frequent words of some texts, encoded ahead by the same fold.
 
     It only decides which words are encoded once for all instead of once for each batch; at most `most` words, so its
     size is bounded.
@@ -228,8 +238,8 @@ def common_words(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col:
     spark = df.sparkSession
     if not most:
         return spark.sparkContext.broadcast(([], np.zeros(0, np.int64), np.zeros(0, np.int32)))
-    first = df.select(F.col(text_col).cast("string")).limit(COMMON_TEXTS)
-    w = first.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(most)
+    some = df.select(F.col(text_col).cast("string")).sample(min(1.0, COMMON_TEXTS / max(df.count(), 1)), seed=1)
+    w = some.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(most)
     words = sorted(r["w"] for r in w.select("w").toLocalIterator())
     byte_id = _byte_ids(ranks)
     rows = [pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), _one(_nested(words[k : k + WORDS_A_ROW], byte_id))], ["base", "words"]) for k in range(0, len(words), WORDS_A_ROW)]
@@ -269,22 +279,22 @@ class _Words:
     """The words of a batch: how many ids each has, their decimals, and the bytes that its ids decode to."""
 
     def __init__(self, pieces: list[bytes], lengths: np.ndarray, ids: np.ndarray):
-        self.pieces, self.lengths, self.decimal, self.decoded = pieces, [], [], []
+        self.pieces, self.names = pieces, [str(k) for k in range(len(pieces))]
+        self.parts, self.decimal, self.decoded = [], [], []
         self.add(lengths, ids)
         self.ahead = len(self.decimal)
 
     def add(self, lengths: np.ndarray, ids: np.ndarray) -> None:
-        got, pieces, at = ids.tolist(), self.pieces, 0
-        self.lengths += lengths.tolist()
+        got, pieces, names, at = ids.tolist(), self.pieces, self.names, 0
+        self.parts.append(lengths)
         for n in lengths.tolist():
             own = got[at : at + n]
-            self.decimal.append(" ".join(map(str, own)))
+            self.decimal.append(" ".join([names[x] for x in own]))
             self.decoded.append(b"".join([pieces[x] for x in own]))
             at += n
 
     def restart(self) -> None:
-        for x in (self.lengths, self.decimal, self.decoded):
-            del x[self.ahead :]
+        del self.parts[1:], self.decimal[self.ahead :], self.decoded[self.ahead :]
 
 
 def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = BATCH_BYTES, ahead: int = COMMON_WORDS) -> DataFrame:
@@ -304,11 +314,13 @@ def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                         words.restart()
                     words.add(*_ids_of(b.column(1)[r].values))
                     continue
-                place, at, out = b.column(3)[r].values.to_pylist(), 0, []
+                place, at, out = np.asarray(b.column(3)[r].values), 0, []
+                total = np.concatenate([[0], np.cumsum(np.concatenate(words.parts)[place])])
+                place = place.tolist()
                 for i, n in zip(b.column(2)[r].as_py(), b.column(4)[r].as_py()):
                     own = place[at : at + n]
                     at += n
-                    out.append((i, sum([words.lengths[x] for x in own]), hashlib.sha256(" ".join([words.decimal[x] for x in own]).encode()).hexdigest(), hashlib.sha256(b"".join([words.decoded[x] for x in own])).hexdigest()))
+                    out.append((i, int(total[at] - total[at - n]), hashlib.sha256(" ".join([words.decimal[x] for x in own]).encode()).hexdigest(), hashlib.sha256(b"".join([words.decoded[x] for x in own])).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(f, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")
