@@ -96,6 +96,14 @@ SQL = {
         m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
         SELECT page_id, strlen(html) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = least OR page_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> least THEN least END AS refers_to FROM m JOIN d USING (h)""",
+    "op6_ngram_jaccard": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS x FROM documents),
+        s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(x) >= 3 THEN list_transform(range(1, len(x) - 1), lambda i: x[i] || ' ' || x[i + 1] || ' ' || x[i + 2]) WHEN len(x) > 0 THEN [array_to_string(x, ' ')] ELSE [] END)) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS MATERIALIZED (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+        r AS (SELECT doc_id AS d, doc_id AS m FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON r.m = l.a)
+        SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(m) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.d GROUP BY d""",
     "op7_quality_rules": _OP7,
     "op9_chat_format": r"""
         WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
