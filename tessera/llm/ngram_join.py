@@ -4,12 +4,12 @@
 2. Candidates: sizes fall into bands that grow by 1/t. Two sets that link differ in at most d shingles, d set by the
    band; the hash space is cut into more than d parts, so at least one part holds the same shingles in both sets
    (pigeonhole). A part's hash is its signature; a document signs for its own band and for the next, as the smaller
-   one. Signatures travel as packed blocks. Documents with a common signature are joined to one of them, and
-   components of these candidate edges bound what has to be compared: no link leaves a component.
-3. Tiles: a candidate component is cut by size band and, where still large, into blocks; only pairs of blocks whose
-   sizes allow a link become tiles. Within a tile hashed bitmaps bound the overlap from above by bit counts, and what
-   passes is compared by intersecting the sorted arrays. Pairs that a tile already connects are skipped, so that it
-   returns fewer edges than it has documents.
+   one. Signatures travel as packed blocks. Of the documents with a common signature each is paired with the least.
+   These stars are tested by bit counts of hashed bitmaps, then by intersecting the sorted sets; their links connect
+   near copies in time linear in a group's size. Components of the stars bound what else may link.
+3. Tiles: a component with more than one connected part is one tile if it is small; a large one is cut by size band and
+   into blocks, and only pairs of blocks whose sizes allow a link become tiles. A tile holds bitmaps, not sets: pairs
+   that aren't connected and that bit counts can't rule out are intersected exactly.
 4. Components of the links.
 
 Defined results: a null or empty text, or one of white space only, has no shingles and is linked with nothing (rows of
@@ -31,7 +31,7 @@ from tessera.llm.components import components
 
 #: Signatures in a block that one Python task sorts at a time.
 BLOCK = 1_500_000
-#: A tile's side: documents, and bytes of their sets.
+#: A tile's side: documents, and bytes of their bitmaps.
 TILE_ROWS, TILE_BYTES = 1024, 16 << 20
 
 
@@ -163,60 +163,118 @@ def _candidates(docs: DataFrame, width: int, bands: Bands, blocks: int) -> DataF
     return docs.mapInArrow(sign, "p int, sig binary, me binary").groupBy("p").applyInArrow(meet, "a long, b long").distinct()
 
 
-def _links(t: pa.Table, num: int, den: int) -> pa.Table:
-    """The edges of a spanning forest of the links of a tile. Columns: id, n, side, set."""
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A bitmap of the low bits of a set, of a width (a power of two) that follows the set's size."""
+    width = min(1 << 15, max(256, 1 << int(2 * len(s) - 1).bit_length()))
+    x = np.zeros(width, bool)
+    x[(s & U64(width - 1)).astype(np.int64)] = True
+    return np.packbits(x, bitorder="little").view(U64)
+
+
+def _folded(b: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap as the same set would give it at a smaller width: its parts laid over each other."""
+    return np.bitwise_or.reduce(b.reshape(-1, words), axis=0)
+
+
+def _may_link(n1, n2, apart, num: int, den: int):
+    """Whether the overlap that the differing bits leave can be enough: |A ^ B| is at least their number."""
+    return (n1 + n2 - apart) // 2 * (den + num) >= num * (n1 + n2)
+
+
+def _passing(t: pa.Table, num: int, den: int) -> pa.Table:
+    """Pairs of a tile (id, h2, n, side, label, bits) that bit counts can't rule out and that aren't connected yet."""
     t = t.sort_by([("n", "ascending"), ("id", "ascending")])
-    ids, n, side = t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("side").to_numpy()
-    sets = [np.frombuffer(x.as_py(), U64) for x in t.column("set")]
-    width = int(min(1 << 14, max(512, 1 << int(2 * n.max()).bit_length())))
-    bitmap = np.zeros((len(ids), width // 64), U64)
-    for i, s in enumerate(sets):
-        x = np.zeros(width, bool)
-        x[(s & U64(width - 1)).astype(np.int64)] = True
-        bitmap[i] = np.packbits(x, bitorder="little").view(U64)
-    root, edges = np.arange(len(ids)), []
+    ids, h2, n, side = (t.column(c).to_numpy() for c in ("id", "h2", "n", "side"))
+    label = np.unique(t.column("label").to_numpy(), return_inverse=True)[1]
+    bits = [np.frombuffer(x.as_py(), U64) for x in t.column("bits")]
+    width = np.array([len(b) for b in bits])
     limit = np.searchsorted(n, n * den // num, "right")
-    for i in range(len(ids)):
-        j = np.arange(i + 1, limit[i])
-        j = j[(root[j] != root[i]) & ((side[j] != side[i]) if side[i] < 2 else True)]
-        if not len(j):
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        first, last = own[0], limit[own].max()
+        if last - first < 2:
             continue
-        apart = np.bitwise_count(bitmap[j] ^ bitmap[i]).sum(axis=1).astype(np.int64)
-        most = (n[i] + n[j] - apart) // 2
-        for k in j[most * (den + num) >= num * (n[i] + n[j])]:
-            if root[k] == root[i]:
-                continue
-            both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-            if den * both >= num * (n[i] + n[k] - both):
-                edges.append((ids[i], ids[k]))
-                root[root == root[k]] = root[i]
-    e = np.array(edges, np.int64).reshape(-1, 2)
-    return pa.table({"a": e[:, 0], "b": e[:, 1]})
-
-
-def _tiles(members: DataFrame, bands: Bands) -> DataFrame:
-    """members (comp, id, n, set) -> (tile, side, id, n, set); side 2: compare all with all, 0 and 1: across."""
-    ratio = math.log(bands.den / bands.num)
-    m = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(ratio) + F.lit(1e-9)).cast("int"))
-    count = m.groupBy("comp").agg(F.count(F.lit(1)).alias("all_n"), F.sum(F.length("set")).alias("all_b"))
-    small = (F.col("all_n") <= TILE_ROWS) & (F.col("all_b") <= TILE_BYTES)
-    by_band = m.groupBy("comp", "band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(TILE_ROWS)), F.ceil(F.sum(F.length("set")) / F.lit(TILE_BYTES))).cast("int").alias("nb"))
-    sized = m.join(count, "comp")
-    few = sized.filter(small).select(F.struct("comp", F.lit(-1).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("tile"), F.lit(2).alias("side"), "id", "n", "set")
-    many = sized.filter(~small).drop("all_n", "all_b").join(by_band, ["comp", "band"])
-    lower = by_band.select("comp", (F.col("band") + 1).alias("band"), F.col("nb").alias("nb_low"))
-    upper = by_band.select("comp", (F.col("band") - 1).alias("band"), F.col("nb").alias("nb_up"))
-    many = many.join(lower, ["comp", "band"], "left").join(upper, ["comp", "band"], "left").withColumn("i", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    kind = "struct<i:int,j:int,step:int,side:int>"
-    others = lambda nb, f: F.transform(F.when(F.coalesce(F.col(nb), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(nb) - 1)).otherwise(F.array().cast("array<int>")), f)
-    same = others("nb", lambda x: F.struct(F.least("i", x).alias("i"), F.greatest("i", x).alias("j"), F.lit(0).alias("step"), F.when(x == F.col("i"), 2).when(F.col("i") < x, 0).otherwise(1).alias("side")).cast(kind))
-    # tiles across two neighbouring bands belong to the lower one
-    down = others("nb_low", lambda x: F.struct(x.alias("i"), F.col("i").alias("j"), F.lit(-1).alias("step"), F.lit(1).alias("side")).cast(kind))
-    up = others("nb_up", lambda x: F.struct(F.col("i").alias("i"), x.alias("j"), F.lit(1).alias("step"), F.lit(0).alias("side")).cast(kind))
-    spread = many.withColumn("t", F.explode(F.concat(same, down, up)))
-    across = F.col("t.step") != 0
-    band = F.when(F.col("t.step") == -1, F.col("band") - 1).otherwise(F.col("band")) * 2 + F.when(across, 1).otherwise(0)
-    return few.union(spread.select(F.struct("comp", band.cast("int").alias("band"), F.col("t.i").alias("i"), F.col("t.j").alias("j")).alias("tile"), F.col("t.side").alias("side"), "id", "n", "set"))
+        matrix = np.stack([x if len(x) == w else _folded(x, w) for x in bits[first:last]])
+        for i in own:
+            j = np.arange(i + 1, limit[i])
+            j = j[(label[j] != label[i]) & ((side[j] != side[i]) if side[i] < 2 else True)]
+            if len(j):
+                apart = np.bitwise_count(matrix[j - first] ^ matrix[i - first]).sum(axis=1).astype(np.int64)
+                j = j[_may_link(n[i], n[j], apart, num, den)]
+                a.append(np.full(len(j), i))
+                b.append(j)
+    a, b = np.concatenate(a), np.concatenate(b)
+    return pa.table({"a": ids[a], "a2": h2[a], "b": ids[b], "b2": h2[b]})
+
+
+def _fetch(docs: DataFrame, ids: DataFrame, width: int, make) -> DataFrame:
+    """(id, h2, n, value): what `make` gives for the sets of the documents with these ids.
+
+    Only texts whose id may be among them, by a filter of bounded size, are read into sets; the few that slip through
+    fall out in the join that follows.
+    """
+    ids = ids.distinct()
+    size = B.bits_for(ids.count())
+    filled = docs.sparkSession.sparkContext.broadcast(B.count_bits(ids, size)[0])
+
+    def f(batches):
+        for b in batches:
+            b = b.filter(pa.array(B.contains(filled.value, b.column(0).fill_null(-1).to_numpy().view(U64), size)))
+            for x in rows_of([b], 500):
+                found = [(x.column(0)[i].as_py(), set_hash(s)[1], len(s), make(s).tobytes()) for i, s in shingle_sets(x.column(1), width)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], k) for c, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["id", "h2", "n", "value"])
+
+    return docs.mapInArrow(f, "id long, h2 long, n long, value binary")
+
+
+def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, a2, b, b2) whose sets link, by intersecting the sorted arrays: (a, b). AQE splits the pairs of a
+    document that has very many."""
+    pairs = settle(pairs.distinct(), "pairs")
+    sets = settle(_fetch(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width, lambda s: s).distinct(), "pair-sets")
+
+    def verify(batches):
+        for b in batches:
+            x, y = ([np.frombuffer(v.as_py(), U64) for v in b.column(k)] for k in (2, 3))
+            both = np.array([len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(x, y)], np.int64)
+            n = np.array([len(u) + len(v) for u, v in zip(x, y)], np.int64)
+            hit = pa.array(den * both >= num * (n - both))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), b.column(1).filter(hit)], ["a", "b"])
+
+    x = sets.select(F.col("id").alias("a"), F.col("h2").alias("a2"), F.col("value").alias("x"))
+    y = sets.select(F.col("id").alias("b"), F.col("h2").alias("b2"), F.col("value").alias("y"))
+    return settle(pairs.join(x, ["a", "a2"]).join(y, ["b", "b2"]).select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
+
+
+def _tiles(brief: DataFrame, bands: Bands) -> DataFrame:
+    """brief (comp, id, h2, n, label, bits) -> (tile, side, id, h2, n, label, bits).
+
+    side 2: compare all with all, 0 and 1: across. A small component is one tile. Of a large one, members of its most
+    frequent label form blocks that meet only blocks of other members; blocks meet only within neighbouring size bands.
+    """
+    columns = ["id", "h2", "n", "label", "bits"]
+    count = brief.groupBy("comp").agg(F.count(F.lit(1)).alias("all_n"), F.sum(F.length("bits")).alias("all_b"), F.count_distinct("label").alias("labels")).filter("labels > 1")
+    large = (F.col("all_n") > TILE_ROWS) | (F.col("all_b") > TILE_BYTES)
+    count = settle(count.select("comp", large.alias("large")), "components")
+    block = "struct<band:int,main:boolean,i:int>"
+    whole = F.struct(F.lit(-1).alias("band"), F.lit(False).alias("main"), F.lit(0).alias("i")).cast(block)
+    few = brief.join(count.filter("not large"), "comp").select(F.struct("comp", whole.alias("a"), whole.alias("b")).alias("tile"), F.lit(2).alias("side"), *columns)
+    ratio = F.lit(math.log(bands.den / bands.num))
+    big = brief.join(count.filter("large"), "comp").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / ratio + F.lit(1e-9)).cast("int"))
+    often = big.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max_by("label", F.struct("k", "label")).alias("often"))
+    big = big.join(settle(often, "often"), "comp").withColumn("main", F.col("label") == F.col("often"))
+    size = big.groupBy("comp", "band", "main").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(TILE_ROWS)), F.ceil(F.sum(F.length("bits")) / F.lit(TILE_BYTES))).cast("int").alias("nb"))
+    # a component has two kinds of blocks for each size band, a bounded number
+    plan = settle(size.groupBy("comp").agg(F.collect_list(F.struct("band", "main", "nb")).alias("kinds")), "plan")
+    own = F.filter("kinds", lambda x: (x["band"] == F.col("band")) & (x["main"] == F.col("main")))[0]["nb"]
+    big = big.join(plan, "comp").withColumn("me", F.struct("band", "main", F.pmod(F.xxhash64("id"), own).cast("int").alias("i")).cast(block))
+    meets = F.filter("kinds", lambda x: (F.abs(x["band"] - F.col("band")) <= 1) & ~(x["main"] & F.col("main")))
+    others = F.flatten(F.transform(meets, lambda x: F.transform(F.sequence(F.lit(0), x["nb"] - 1), lambda i: F.struct(x["band"].alias("band"), x["main"].alias("main"), i.alias("i")).cast(block))))
+    spread = big.withColumn("other", F.explode(others))
+    many = spread.select(F.struct("comp", F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).alias("tile"), F.when(F.col("me") == F.col("other"), 2).when(F.col("me") < F.col("other"), 0).otherwise(1).alias("side"), *columns)
+    return few.union(many)
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -227,26 +285,32 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = settle(_sets(docs, width), "sets")
     real = rows.filter("n > 0 and id is not null")
     total = real.agg(F.sum("n")).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 2.4 * (den - num) / (den + num) / BLOCK), 1)
-    near = components(_candidates(docs, width, bands, blocks)).select(F.col("node").alias("h1"), F.col("root").alias("comp"))
-    near = settle(near, "near")
+    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 2.4 * (den - num) / (den + num) / BLOCK), 1)
+    stars = settle(_candidates(docs, width, bands, blocks), "candidates")
+    near = settle(components(stars).select(F.col("node").alias("h1"), F.col("root").alias("comp")), "near")
     # one document stands for each set; equal sets are aggregated before the shuffle
     sets = real.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    stand = settle(sets.join(near, "h1").select("id", "n", "h2", "comp"), "stand")
-    size = B.bits_for(stand.count())
-    filled = spark.sparkContext.broadcast(B.count_bits(stand.select("id"), size)[0])
+    stand = settle(sets.join(near, "h1").select("id", "h1", "h2", "comp"), "stand")
+    brief = settle(stand.join(_fetch(docs, stand.select("id"), width, bitmap), ["id", "h2"]).select("comp", "id", "h1", "h2", "n", F.col("value").alias("bits")), "brief")
 
-    def fetch(batches):
+    def bound(batches):
         for b in batches:
-            b = b.filter(pa.array(B.contains(filled.value, b.column(0).fill_null(-1).to_numpy().view(U64), size)))
-            for x in rows_of([b], 500):
-                found = [(x.column(0)[i].as_py(), set_hash(s)[1], s.tobytes()) for i, s in shingle_sets(x.column(1), width)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())], ["id", "h2", "set"])
-
-    members = stand.join(docs.mapInArrow(fetch, "id long, h2 long, set binary"), ["id", "h2"]).select("comp", "id", "n", "set")
-    tiles = _tiles(settle(members, "members"), bands)
-    links = tiles.groupBy("tile").applyInArrow(lambda t: _links(t, num, den), "a long, b long")
+            n1, n2 = b.column(4).to_numpy(), b.column(5).to_numpy()
+            apart = np.zeros(b.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(b.column(6), b.column(7))):
+                x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
+                w = min(len(x), len(y))
+                apart[k] = np.bitwise_count(_folded(x, w) ^ _folded(y, w)).sum()
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(_may_link(n1, n2, apart, num, den))) for c in b.columns[:4]], ["a", "a2", "b", "b2"])
+
+    side = lambda c: brief.select(F.col("h1").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("id", "h2", "n", "bits")])
+    sized = stars.join(side("a"), "a").join(side("b"), "b").filter((F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num))
+    pairs = sized.select("a_id", "a_h2", "b_id", "b_h2", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(bound, "a long, a2 long, b long, b2 long")
+    links = _links(docs, pairs, width, num, den)
+    labels = components(links).select(F.col("node").alias("id"), F.col("root").alias("label"))
+    brief = settle(brief.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+    tiles = _tiles(brief, bands).groupBy("tile").applyInArrow(lambda t: _passing(t, num, den), "a long, a2 long, b long, b2 long")
+    links = links.unionByName(_links(docs, tiles, width, num, den))
     roots = components(links).select(F.col("node").alias("id"), "root")
     classes = sets.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id"))
     out = real.join(classes, ["h1", "h2"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id")
