@@ -56,3 +56,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> SparkSession:
+    """Let Arrow batches hold at most so many rows and bytes: rows here are whole texts, and the buffers of a batch stay
+    allocated in the executor's JVM. Smaller settings of the session stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return spark
