@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
 from tessera.llm._common import settle
+from tessera.session import small_batches
 
 #: Near copies: five-word shingles, a Jaccard similarity of 80 / 100 or more.
 WIDTH, NUM, DEN = 5, 80, 100
+#: Smaller batches and fewer words encoded ahead than by default: executors have done other stages before.
+BPE_BATCH, BPE_AHEAD = 6 << 20, 50_000
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it is fitted to the labels table."""
-    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, small_batches(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +41,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
-    return bpe.digests(docs, bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    small_batches(spark)
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.digests(docs, ranks, public_tokenizers.PATTERN, size=BPE_BATCH, ahead=BPE_AHEAD)
 
 
 STAGES = [("toxicity", not_toxic), ("exact_dedup", one_of_equal), ("ngram_join", one_of_similar), ("mix_sources", mixed), ("byte_bpe", tokenized)]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.session import scratch_path
+from tessera.session import scratch_path, small_batches
 
 U64 = np.uint64
 #: White space of every contract here: [\x20\x09-\x0D].
@@ -18,7 +20,7 @@ LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes of text that are hashed at a time (a longer single document is hashed alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -26,7 +28,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: lost executors don't bring back what stands before, and each reader takes only its columns.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = scratch_path(small_batches(df.sparkSession), name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -74,7 +76,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.full(size, base, U64)
             x[0] = 1
             out.append(np.cumprod(x, dtype=U64))
-        if size > 8 * CHUNK_BYTES:  # a very long document: not kept
+        if size > 16 * CHUNK_BYTES:  # a very long document: not kept
             return out[0], out[1]
         _POWERS[:] = out
     return _POWERS[0], _POWERS[1]
@@ -132,6 +134,15 @@ def word_hash(word: str, lower: bool = True) -> int:
     return int(words(np.array([0, len(b)]), b, lower, np.zeros(256, bool))[3][0])
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: Python workers stay alive between tasks and would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
 def rows_of(batches, size: int):
     """Cut Arrow batches to at most `size` rows."""
     for b in batches:

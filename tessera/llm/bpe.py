@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.llm._common import tidy
+
 #: Characters of text that share a list of distinct words; words and places in a row of the fold.
 BATCH_BYTES, WORDS_A_ROW, PLACES_A_ROW = 16 << 20, 8192, 1 << 18
 #: The words that are encoded ahead: at most so many, counted in about so many texts.
@@ -106,14 +108,15 @@ def _bind(value: Column, f) -> Column:
 def fold_merges(word: Column, table: Column, n: int, of_bytes: Column) -> Column:
     """Fold the merges of one word; a merged pair's id is its rank.
 
-    The word is an array<long> of start * 2**17 + id for each byte, with OUTSIDE at both ends. The state holds the
-    same for each token, with the rank of the pair that begins there in the high bits, so that the least element is
+    The word is an array<long> of start * 2**17 + id for each byte, with OUTSIDE at both ends, and in the high bits the
+    place of the byte and its successor in the map of bytes. The state holds the same for each token, with the rank of
+    the pair that begins there in the high bits, so that the least element is
     the leftmost pair of least rank. A step merges it and looks up the two pairs that it touches. A word of n bytes
     takes at most n - 1 steps.
     """
     high = F.lit(1 << RANK_AT)
     own = lambda x: x.bitwiseAND(F.lit(NO_RANK))
-    first = F.zip_with(word, F.slice(word, 2, F.size(word)), lambda x, y: x + high * F.coalesce(F.get(of_bytes, (x.bitwiseAND(F.lit(511)) * 512 + y.bitwiseAND(F.lit(511)))), F.lit(NO_RANK).cast("long")))
+    first = F.transform(word, lambda x: x.bitwiseAND(F.lit((1 << RANK_AT) - 1)) + high * F.get(of_bytes, F.shiftright(x, RANK_AT)))
 
     def merge(e: Column, least: Column, at: Column) -> Column:  # at: where the pair begins, from 1
         new = F.shiftright(least, RANK_AT)
@@ -130,10 +133,22 @@ def fold_merges(word: Column, table: Column, n: int, of_bytes: Column) -> Column
 
 def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
     """The folded state of each word of an array of words; the literal maps are parsed once for each row."""
-    pairs = merges(ranks)
-    table = literal_map(pairs)
-    literal = lambda x: F.from_json(F.lit(json.dumps(x, separators=(",", ":"))), "array<long>")
-    return _bind(literal(table), lambda t: _bind(literal(byte_map(pairs)), lambda b: F.transform(words, lambda w: fold_merges(w, t, len(table), b))))
+    table, n, of_bytes = _literals(ranks)
+    literal = lambda x: F.from_json(F.lit(x), "array<long>")
+    return _bind(literal(table), lambda t: _bind(literal(of_bytes), lambda b: F.transform(words, lambda w: fold_merges(w, t, n, b))))
+
+
+_LITERALS: list[tuple[dict, tuple[str, int, str]]] = []
+
+
+def _literals(ranks: dict[bytes, int]) -> tuple[str, int, str]:
+    """(literal map as JSON, its size, map of bytes as JSON) of ranks; the last one is kept."""
+    if not _LITERALS or _LITERALS[0][0] is not ranks:
+        pairs = merges(ranks)
+        table = literal_map(pairs)
+        text = lambda x: json.dumps(x, separators=(",", ":"))
+        _LITERALS[:] = [(ranks, (text(table), len(table), text(byte_map(pairs))))]
+    return _LITERALS[0][1]
 
 
 def _byte_ids(ranks: dict[bytes, int]) -> np.ndarray:
@@ -141,7 +156,7 @@ def _byte_ids(ranks: dict[bytes, int]) -> np.ndarray:
 
 
 def _nested(words: list[str], byte_id: np.ndarray) -> pa.Array:
-    """Words as the fold wants them: start and id of each byte, OUTSIDE at both ends."""
+    """Words as the fold wants them: pair, start and id of each byte, OUTSIDE at both ends."""
     raw = [w.encode() for w in words]
     if not raw:
         return pa.array([], pa.list_(pa.int64()))
@@ -151,6 +166,9 @@ def _nested(words: list[str], byte_id: np.ndarray) -> pa.Array:
     inside = np.ones(len(padded), bool)
     inside[ends - 1] = inside[ends - n - 2] = False
     padded[inside] = ids + ((np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)) << ID_BITS)
+    low = padded & 511
+    padded[:-1] |= (low[:-1] * 512 + low[1:]) << RANK_AT
+    padded[ends - 1] |= (511 * 512 + 511) << RANK_AT
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(padded))
 
 
@@ -186,7 +204,7 @@ def _split(pattern: str, ranks: dict[bytes, int], size: int, common):
 
     def f(batches):
         find = regex.compile(pattern).findall
-        known = _Places((w, k) for k, w in enumerate(common.value[0]))
+        known = _Places((w, k) for k, w in enumerate(common.value[0].to_pylist()))
         ahead, place_of = len(known), known.__getitem__
         place, held, seen = array("i"), deque(), 0
 
@@ -205,6 +223,7 @@ def _split(pattern: str, ranks: dict[bytes, int], size: int, common):
                 yield _row(-1, _nested([], byte_id), [i for i, _ in own], place[at : at + n], [c for _, c in own])
                 at += n
 
+        b = None
         for b in batches:
             for start in range(0, b.num_rows, 64):
                 for i, t in zip(b.column(0).slice(start, 64).to_pylist(), b.column(1).slice(start, 64).to_pylist()):
@@ -217,6 +236,9 @@ def _split(pattern: str, ranks: dict[bytes, int], size: int, common):
                     place, seen = array("i"), 0
         if held:
             yield from out()
+        known.clear()
+        del place, b
+        tidy()
 
     return f
 
@@ -235,22 +257,26 @@ def common_words(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col:
             n = Counter(w for t in b.column(0).to_pylist() for w in find(t or "") if len(w) <= 64)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["w", "n"])
 
-    spark = df.sparkSession
+    send = df.sparkSession.sparkContext.broadcast
+    nothing = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int32)
     if not most:
-        return spark.sparkContext.broadcast(([], np.zeros(0, np.int64), np.zeros(0, np.int32)))
+        return send(nothing)
     some = df.select(F.col(text_col).cast("string")).sample(min(1.0, COMMON_TEXTS / max(df.count(), 1)), seed=1)
-    w = some.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(most)
-    words = sorted(r["w"] for r in w.select("w").toLocalIterator())
+    w = some.mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "w").limit(most).select("w")
     byte_id = _byte_ids(ranks)
-    rows = [pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), _one(_nested(words[k : k + WORDS_A_ROW], byte_id))], ["base", "words"]) for k in range(0, len(words), WORDS_A_ROW)]
-    lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-    if rows:
-        sent = spark.createDataFrame(pa.Table.from_batches(rows)).repartition(len(rows))
-        got = sent.select("base", encode_words(F.col("words"), ranks).alias("codes")).mapInArrow(_packed, "base int, lengths binary, ids binary")
-        for r in sorted(got.toLocalIterator(), key=lambda r: r["base"]):
-            lengths.append(np.frombuffer(r["lengths"], np.int64))
-            ids.append(np.frombuffer(r["ids"], np.int32))
-    return spark.sparkContext.broadcast((words, np.concatenate(lengths), np.concatenate(ids)))
+
+    def rows(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, WORDS_A_ROW):
+                own = b.column(0).slice(k, WORDS_A_ROW)
+                yield pa.RecordBatch.from_arrays([_one(own), _one(_nested(own.to_pylist(), byte_id))], ["names", "words"])
+
+    sent = w.repartition(16).mapInArrow(rows, "names array<string>, words array<array<long>>")
+    got = sent.select("names", encode_words(F.col("words"), ranks).alias("codes")).mapInArrow(_packed, "names array<string>, lengths binary, ids binary").toArrow()
+    if not got.num_rows:
+        return send(nothing)
+    join = lambda c, kind: np.frombuffer(b"".join(got.column(c).to_pylist()), kind)
+    return send((got.column("names").combine_chunks().flatten(), join("lengths", np.int64), join("ids", np.int32)))
 
 
 def _ids_of(codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -265,7 +291,7 @@ def _packed(batches):
     for b in batches:
         for r in range(b.num_rows):
             n, ids = _ids_of(b.column(1)[r].values)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), pa.array([n.astype(np.int64).tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())], ["base", "lengths", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(r, 1), pa.array([n.astype(np.int64).tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())], ["names", "lengths", "ids"])
 
 
 def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = BATCH_BYTES, ahead: int = COMMON_WORDS):
@@ -322,5 +348,7 @@ def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     at += n
                     out.append((i, int(total[at] - total[at - n]), hashlib.sha256(" ".join([words.decimal[x] for x in own]).encode()).hexdigest(), hashlib.sha256(b"".join([words.decoded[x] for x in own])).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        del words
+        tidy()
 
     return rows.mapInArrow(f, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")

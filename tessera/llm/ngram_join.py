@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import bits as B
-from tessera.llm._common import U64, chunks, mix, rows_of, settle, windows, words
+from tessera.llm._common import U64, chunks, mix, rows_of, settle, tidy, windows, words
 from tessera.llm.components import components
 
 #: Signatures in a block that one Python task sorts at a time.
-BLOCK = 1_500_000
+BLOCK = 400_000
 #: A tile's side: documents, and bytes of their bitmaps.
 TILE_ROWS, TILE_BYTES = 1024, 16 << 20
 
@@ -112,6 +112,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 n[0, i] = len(s)
                 n[1, i], n[2, i] = set_hash(s)
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, n), b.column(2)], ["id", "n", "h1", "h2", "row"])
+        tidy()
 
     return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(f, "id long, n long, h1 long, h2 long, row long")
 
@@ -149,6 +150,8 @@ def _candidates(docs: DataFrame, width: int, bands: Bands, blocks: int) -> DataF
                     held, size = [], 0
         if held:
             yield from out()
+        held.clear()
+        tidy()
 
     def meet(t: pa.Table) -> pa.Table:
         sig = np.concatenate([np.frombuffer(x.as_py(), U64) for x in t.column("sig")])
@@ -225,6 +228,7 @@ def _fetch(docs: DataFrame, ids: DataFrame, width: int, make) -> DataFrame:
                 found = [(x.column(0)[i].as_py(), set_hash(s)[1], len(s), make(s).tobytes()) for i, s in shingle_sets(x.column(1), width)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], k) for c, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["id", "h2", "n", "value"])
+        tidy()
 
     return docs.mapInArrow(f, "id long, h2 long, n long, value binary")
 
