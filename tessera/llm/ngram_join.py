@@ -32,7 +32,7 @@ from tessera.llm.components import components
 #: Signatures in a block that one Python task sorts at a time.
 BLOCK = 400_000
 #: A tile's side: documents, and bytes of their bitmaps.
-TILE_ROWS, TILE_BYTES = 1024, 16 << 20
+TILE_ROWS, TILE_BYTES = 4096, 16 << 20
 
 
 def shingle_sets(column, width: int):
