@@ -3,7 +3,8 @@
 One scan measures every text. The measures of texts that pass the base rule go into log-bucket sketches: a bucket's
 count for (language, source, measure). Counts add up, so sketches merge exactly and in any order, whatever the
 partitions; a quantile's relative error is at most (GAMMA - 1) / 2. Groups with fewer than `least` rows use the merged
-sketch of their language, or of everything. The cutoffs then meet the measured rows in a join.
+sketch of their language, or of everything. The cutoffs then meet the measured rows in a join. A spread is the quartile
+range, but never less than the measure's floor in MEASURES; where most values are 0 or alike the floor sets the cutoff.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and sources are groups like
 others; rows that repeat an id are each judged; an empty frame gives an empty frame; extra columns are ignored by
