@@ -2,9 +2,11 @@
 
 Training rows come from a bounded, hash-ordered sample of the labelled rows. Their words and the beginnings of longer
 words are counted in a distributed way; those that tell the classes apart (by a two-sample z score) become the
-features, together with the identity terms; a feature's value is its count in the text, 4 at most. For every training row that names a group, and for a copy of each row to which a mention is added, the identity
-term is swapped for others; the loss holds the squared difference of the two scores, so that a neutral mention of a
-group doesn't move the score. Features are whole 64-bit hashes, so no other word shares a feature's weight.
+features, together with the identity terms; a feature's value is its count in the text, 4 at most. For every training
+row that names a group, and for a copy of each row to which a mention is added, the identity term is swapped for others,
+together with the beginnings of it that are features; the loss holds the squared difference of the two scores, so that a
+neutral mention of a group doesn't move the score. Features are whole 64-bit hashes, so no other word shares a feature's
+weight.
 
 Defined results: a null or empty text gets the score of the bias alone; without both classes among the labels the score
 is the share of label 1 (0 without labels); labels other than 0 and 1 and null ids are left out of training; rows that
@@ -46,6 +48,12 @@ def _counts(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return row[at], h[at], np.minimum(np.diff(np.concatenate([at, [len(row)]])), MOST)
 
 
+def _features(word: str) -> np.ndarray:
+    """The hashes of a word and of its beginnings."""
+    b = np.frombuffer(word.encode(), np.uint8)
+    return words(np.array([0, len(b)]), b, True, BETWEEN, PREFIXES)[1]
+
+
 def held_out(id_col: str):
     """Whether crc32 of the id as text leaves no remainder modulo 5."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -68,19 +76,23 @@ def train_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     return text.join(F.broadcast(picked), "id").select("y", "text").mapInArrow(f, "y int, hashes array<long>, counts array<int>").dropDuplicates()
 
 
-def _fit(x: np.ndarray, y: np.ndarray, identity: np.ndarray, penalty: float, l1: float = 2e-4, rounds: int = 1500) -> tuple[np.ndarray, float]:
-    """Accelerated proximal descent on log loss + penalty * mean squared change of score under swaps + l1."""
+def _fit(x: np.ndarray, y: np.ndarray, identity: np.ndarray, mention: np.ndarray, penalty: float, l1: float = 2e-4, rounds: int = 1500) -> tuple[np.ndarray, float]:
+    """Accelerated proximal descent on log loss + penalty * mean squared change of score under swaps + l1.
+
+    identity holds the column of each term, mention (terms x columns) what a mention of each adds to the features.
+    """
     n, d = x.shape
-    g = np.zeros((d, d))  # sum of d d' over changes d of the features under a swap; the pairs themselves aren't kept
-    for k in range(n if len(identity) > 1 else 0):
-        named = identity[x[k, identity] > 0]
-        one, two = int(identity[k % len(identity)]), int(identity[(k * 7 + 3) % len(identity)])
+    terms = len(identity)
+    g = np.zeros((terms, terms))  # sum of d d' over changes d of the terms under a swap; the pairs themselves aren't kept
+    for k in range(n if terms > 1 else 0):
+        named = np.flatnonzero(x[k, identity] > 0)
+        one, two = k % terms, (k * 7 + 3) % terms
         had = set(map(int, named if len(named) else [one]))  # as written, or with a mention added
         for change in (had ^ {two}, had):  # swapped for another group, and without the mention
             at = np.array(sorted(change), int)
             sign = np.where([a in had for a in at], 1.0, -1.0)
             g[np.ix_(at, at)] += np.outer(sign, sign)
-    g /= max(2 * n, 1)
+    g = mention.T @ g @ mention / max(2 * n, 1)
     rate = y.mean()
     step = 1 / (0.25 * np.linalg.eigvalsh(x.T @ x / n)[-1] + 0.25 + 2 * penalty * np.linalg.eigvalsh(g)[-1])
     w = v = np.zeros(d)
@@ -109,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     z = (F.col("c1") / n1 - (F.col("c") - F.col("c1")) / n0) / F.sqrt(share * (1 - share) * (1 / n0 + 1 / n1) + 1e-12)
     best = c.filter(F.col("c") >= LEAST_DF).withColumn("z", F.abs(z)).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "h").limit(FEATURES)
     terms = np.unique(np.array([word_hash(t) for t in IDENTITY_TERMS], U64))
+    parts = {word_hash(t): _features(t) for t in IDENTITY_TERMS}
     vocabulary = np.unique(np.concatenate([np.array([r["h"] for r in best.select("h").collect()], np.int64).view(U64), terms]))
 
     def known(batches):
@@ -124,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = sorted((r["y"], bytes(r["x"])) for r in rows.mapInArrow(known, "y int, x binary").toLocalIterator())
     x = np.frombuffer(b"".join(v for _, v in got), np.uint8).reshape(len(got), -1).astype(np.float32)
-    w, b = _fit(x, np.array([y for y, _ in got], float), np.searchsorted(vocabulary, terms), penalty)
+    mention = np.array([np.isin(vocabulary, parts[int(t)]) for t in terms], float)
+    w, b = _fit(x, np.array([y for y, _ in got], float), np.searchsorted(vocabulary, terms), mention, penalty)
     used = w != 0
     return vocabulary[used], w[used], b
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -257,3 +258,19 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
     one = toxicity.train(docs, labels.filter("toxic = 1"))
     assert all(r["predicted"] == 1 for r in toxicity.score(docs.limit(3), one).collect())
+
+
+def test_toxicity_mention_of_a_correlated_group(spark):
+    # a group is named in half of the toxic rows and in few clean ones; a neutral mention of it still says nothing
+    for term in ("muslims", "women", "immigrants"):
+        r = np.random.default_rng(5)
+        rows, labels = [], []
+        for k in range(1600):
+            toxic = int(r.random() < 0.3)
+            own = [f"{r.choice(['river', 'stone', 'garden', 'winter', 'market'])}{r.integers(40)}" for _ in range(12)]
+            own += ["vile"] * (toxic and r.random() < 0.6) + [term] * (r.random() < (0.5 if toxic else 0.03))
+            rows.append((k, " ".join(own)))
+            labels.append((k, toxic))
+        model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+        plain, named, vile = toxicity.scores(pa.array(["river1 stone2", f"river1 stone2 {term}", "river1 stone2 vile"]), model)
+        assert abs(named - plain) < 0.05 and vile > 0.5, (term, plain, named, vile)
