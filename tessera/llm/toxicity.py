@@ -24,7 +24,7 @@ from tessera.llm._common import SPACE, U64, chunks, settle, word_hash, words
 
 #: Bounds of the fit: labelled rows, and features that reach the driver.
 SAMPLE_ROWS = 8192
-FEATURES = 512
+FEATURES = 1024
 #: A feature's least document count and z score.
 LEAST_DF, LEAST_Z = 5, 5.0
 #: Words that name groups of people, in lower case.

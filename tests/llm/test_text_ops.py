@@ -274,3 +274,13 @@ def test_toxicity_mention_of_a_correlated_group(spark):
         model = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
         plain, named, vile = toxicity.scores(pa.array(["river1 stone2", f"river1 stone2 {term}", "river1 stone2 vile"]), model)
         assert abs(named - plain) < 0.05 and vile > 0.5, (term, plain, named, vile)
+
+
+def test_toxicity_rich_vocabulary(spark):
+    # every stem takes five features: the word and four beginnings
+    r = np.random.default_rng(6)
+    stems = ["".join(r.choice(list("bcdfghklmnprstvw"), 9)) for _ in range(180)]
+    rows = [(k, " ".join([f"plain{r.integers(60)}" for _ in range(8)] + (list(r.choice(stems, 30, replace=False)) if k % 2 else []))) for k in range(1400)]
+    model = toxicity.train(frame(spark, rows), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int"))
+    got = toxicity.scores(pa.array(["nothing", *stems]), model)
+    assert (got[1:] > got[0]).sum() > 150  # l1 leaves out a few
