@@ -302,36 +302,43 @@ def encoded(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
 
 class _Words:
-    """The words of a batch: how many ids each has, their decimals, and the bytes that its ids decode to."""
+    """The ids of a batch's words, laid end to end, and where each word's begin; words encoded ahead come first."""
 
-    def __init__(self, pieces: list[bytes], lengths: np.ndarray, ids: np.ndarray):
-        self.pieces, self.names = pieces, [str(k) for k in range(len(pieces))]
-        self.parts, self.decimal, self.decoded = [], [], []
-        self.add(lengths, ids)
-        self.ahead = len(self.decimal)
+    def __init__(self, lengths: np.ndarray, ids: np.ndarray):
+        self.lengths, self.ids, self.ahead, self.joined = [lengths], [ids], len(lengths), None
 
     def add(self, lengths: np.ndarray, ids: np.ndarray) -> None:
-        got, pieces, names, at = ids.tolist(), self.pieces, self.names, 0
-        self.parts.append(lengths)
-        for n in lengths.tolist():
-            own = got[at : at + n]
-            self.decimal.append(" ".join([names[x] for x in own]))
-            self.decoded.append(b"".join([pieces[x] for x in own]))
-            at += n
+        self.lengths.append(lengths)
+        self.ids.append(ids)
+        self.joined = None
 
     def restart(self) -> None:
-        del self.parts[1:], self.decimal[self.ahead :], self.decoded[self.ahead :]
+        del self.lengths[1:], self.ids[1:]
+        self.joined = None
+
+    def of(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where the ids of each place end, the ids of all places)."""
+        if self.joined is None:
+            n = np.concatenate(self.lengths)
+            self.joined = n, np.cumsum(n) - n, np.concatenate(self.ids)
+        n, start, ids = self.joined
+        own = n[place]
+        upto = np.cumsum(own)
+        return upto, ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(start[place] - (upto - own), own)]
+
+
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, r in ranks.items():
+        out[r] = token
+    return out
 
 
-def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = BATCH_BYTES, ahead: int = COMMON_WORDS) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids."""
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for token, r in ranks.items():
-        pieces[r] = token
-    rows, common = encoded(df, ranks, pattern, id_col, text_col, size, ahead)
+def _ids_of_texts(common):
+    """Batches of encoded() -> (id, ids as an array) of each text."""
 
     def f(batches):
-        words = _Words(pieces, *common.value[1:])
+        words = _Words(*common.value[1:])
         for b in batches:
             for r in range(b.num_rows):
                 base = b.column(0)[r].as_py()
@@ -340,15 +347,60 @@ def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                         words.restart()
                     words.add(*_ids_of(b.column(1)[r].values))
                     continue
-                place, at, out = np.asarray(b.column(3)[r].values), 0, []
-                total = np.concatenate([[0], np.cumsum(np.concatenate(words.parts)[place])])
-                place = place.tolist()
-                for i, n in zip(b.column(2)[r].as_py(), b.column(4)[r].as_py()):
-                    own = place[at : at + n]
-                    at += n
-                    out.append((i, int(total[at] - total[at - n]), hashlib.sha256(" ".join([words.decimal[x] for x in own]).encode()).hexdigest(), hashlib.sha256(b"".join([words.decoded[x] for x in own])).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                upto, ids = words.of(np.asarray(b.column(3)[r].values))
+                ends = np.concatenate([[0], np.cumsum(np.asarray(b.column(4)[r].values))])
+                cut = np.concatenate([[0], upto])[ends]
+                yield b.column(2)[r].values, pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
         del words
         tidy()
 
+    return f
+
+
+def decode_ids(ids: list[int], pieces: list[bytes]) -> bytes:
+    return b"".join([pieces[x] for x in ids])
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = BATCH_BYTES, ahead: int = COMMON_WORDS) -> DataFrame:
+    """(id, ids) of every row: the text's token ids as an array<int>."""
+    rows, common = encoded(df, ranks, pattern, id_col, text_col, size, ahead)
+    texts = _ids_of_texts(common)
+
+    def f(batches):
+        for own, ids in texts(batches):
+            yield pa.RecordBatch.from_arrays([own, ids], [id_col, "ids"])
+
+    return rows.mapInArrow(f, f"`{id_col}` long, ids array<int>")
+
+
+def decode(df: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, bytes) of every row: the bytes that its ids stand for. No ids, or null, give none; an unknown id is an error."""
+    pieces = {r: token for token, r in ranks.items()}
+
+    def f(batches):
+        for b in batches:
+            out = [decode_ids(x or [], pieces) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], [id_col, "bytes"])
+
+    return df.select(F.col(id_col).cast("long"), F.col(ids_col).cast("array<int>")).mapInArrow(f, f"`{id_col}` long, bytes binary")
+
+
+def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = BATCH_BYTES, ahead: int = COMMON_WORDS) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every row: of the ids that encode() gives and of their bytes.
+
+    The ids are hashed where they are made, so they don't go through the JVM.
+    """
+    pieces = _pieces(ranks)
+    rows, common = encoded(df, ranks, pattern, id_col, text_col, size, ahead)
+    texts = _ids_of_texts(common)
+
+    def f(batches):
+        names = [str(k) for k in range(len(pieces))]
+        for own, ids in texts(batches):
+            out = []
+            for i in range(len(ids)):
+                x = ids[i].values.to_pylist()
+                out.append((len(x), hashlib.sha256(" ".join([names[k] for k in x]).encode()).hexdigest(), hashlib.sha256(decode_ids(x, pieces)).hexdigest()))
+            yield pa.RecordBatch.from_arrays([own, *(pa.array([x[c] for x in out], t) for c, t in enumerate((pa.int64(), pa.string(), pa.string())))], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
     return rows.mapInArrow(f, f"`{id_col}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")

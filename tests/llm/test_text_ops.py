@@ -105,6 +105,21 @@ def test_bpe_matches_tiktoken(spark, ranks):
     assert bpe.digests(frame(spark, []).limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_ids_and_bytes(spark, ranks):
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [*ODD[:7], (8, "x" * 900), *ODD[8:]]
+    for size, ahead in ((50_000, 300_000), (bpe.BATCH_BYTES, 0)):
+        got = bpe.encode(frame(spark, rows), ranks, public_tokenizers.PATTERN, size=size, ahead=ahead)
+        assert dict(got.dtypes) == {"doc_id": "bigint", "ids": "array<int>"}
+        want = Counter((i, tuple(enc.encode_ordinary(t or ""))) for i, t in rows)
+        assert Counter((r["doc_id"], tuple(r["ids"])) for r in got.collect()) == want
+        back = bpe.decode(got, ranks).collect()
+        assert Counter((r["doc_id"], bytes(r["bytes"])) for r in back) == Counter((i, (t or "").encode()) for i, t in rows)
+    given_ids = spark.createDataFrame([(1, [72, 101], 0), (2, [], 0), (3, None, 0)], "doc_id long, ids array<int>, n int")
+    assert {r["doc_id"]: bytes(r["bytes"]) for r in bpe.decode(given_ids, ranks).collect()} == {1: enc.decode_bytes([72, 101]), 2: b"", 3: b""}
+    assert bpe.encode(frame(spark, []).limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+
+
 def test_literal_map_holds_every_pair(ranks):
     pairs = bpe.merges(ranks)
     table = bpe.literal_map(pairs)
