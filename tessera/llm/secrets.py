@@ -10,7 +10,8 @@ then runs over the stretches in between, which gives the same tags as over the w
 their partition, and nothing is shuffled.
 
 Defined results: a null or empty text has no spans; rows that repeat an id are each scanned; a null id stays null; an
-empty frame gives an empty frame; extra columns are ignored. A span of the field that overlaps a base span is left out.
+empty frame gives an empty frame; extra columns are ignored. A span of the field that overlaps base spans is cut
+to the parts that they don't cover.
 """
 
 from __future__ import annotations
@@ -336,9 +337,17 @@ def train(rounds: int = 100, l2: float = 0.02) -> Field:
 
 
 def scan_text(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """(base spans, all spans) of a text."""
+    """(base spans, all spans) of a text: what the field finds is cut to the parts that no base span covers."""
     base = base_spans(text)
-    more = [(a, b, "crf") for a, b in field.spans(text) if not any(a < y and b > x for x, y, _ in base)]
+    more = []
+    for a, b in field.spans(text):
+        for x, y, _ in sorted(base):
+            if a < y and b > x:
+                if text[a:x].strip():
+                    more.append((a, x, "crf"))
+                a = min(y, b)
+        if text[a:b].strip():
+            more.append((a, b, "crf"))
     order = (*KINDS, "crf")
     return base, sorted(base + more, key=lambda s: (s[0], order.index(s[2])))
 

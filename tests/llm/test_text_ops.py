@@ -68,6 +68,20 @@ def test_viterbi_matches_all_paths():
         assert field.viterbi(e) == list(max(itertools.product(range(3), repeat=5), key=score))
 
 
+class _Found:
+    def __init__(self, *found):
+        self.spans = lambda _: list(found)
+
+
+def test_field_adds_what_base_spans_leave():
+    text = "password=abcdef!ghijkl"
+    assert secrets.scan_text(text, _Found((9, 22))) == ([(0, 15, "assign")], [(0, 15, "assign"), (15, 22, "crf")])
+    text = "ab !! token=abcdefgh !! api_key=abcdefgh !! cd"  # one span over two base spans, and one inside a base span
+    base, spans = secrets.scan_text(text, _Found((0, 46), (12, 16)))
+    assert [x for x in spans if x[2] != "crf"] == base and len(base) == 2
+    assert [text[a:b] for a, b, k in spans if k == "crf"] == ["ab !! ", " !! ", " !! cd"]
+
+
 def test_scan_rows(spark):
     got = secrets.scan(frame(spark, ODD)).collect()
     assert len(got) == len(ODD)
