@@ -78,19 +78,16 @@ MARK = "\ue000mark\ue001"
 def spans(turns: list[Turn], template: Callable[[list[Turn]], str]) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]], int | None]:
     """(whole rendering, span of each turn, span of each turn's text, first turn that rewrites history or None)."""
     before, turn_at, text_at, rewrites = template([]), [], [], None
-    around: dict[str, tuple[int, int] | None] = {}
     for k, (role, _) in enumerate(turns):
         now = template(turns[: k + 1])
         if not now.startswith(before):
             return template(turns), [], [], k
         turn_at.append((len(before), len(now)))
-        if role not in around or k < 2:  # what stands around a text depends on the role and on whether turns come before
-            probe = template([*turns[:k], (role, MARK)])
-            at = probe.find(MARK, len(before))
-            around[role] = (at - len(before), len(probe) - at - len(MARK)) if at >= 0 and probe.startswith(before) else None
-        if around[role] is None:
+        probe = template([*turns[:k], (role, MARK)])  # what stands around a text may depend on any turn before it
+        at = probe.find(MARK, len(before))
+        if at < 0 or not probe.startswith(before):
             return template(turns), [], [], k
-        text_at.append((len(before) + around[role][0], len(now) - around[role][1]))
+        text_at.append((at, len(now) - (len(probe) - at - len(MARK))))
         before = now
     return before, turn_at, text_at, rewrites
 

@@ -92,6 +92,15 @@ def test_chat_detects_rewritten_history():
     assert chat.spans(turns, lambda ts: "".join(t.upper() for _, t in ts[:1]) + "".join(t for _, t in ts[1:]))[3] is not None  # it changes texts, so the marker is lost
 
 
+def test_chat_wrapper_that_changes_with_the_turn():
+    def numbered(turns):  # the number gets longer at turn 10, and the answer to a system turn has another wrapper
+        return "".join(f"{k}. {'re ' if k and turns[k - 1][0] == 'system' else ''}{r}: {t}{'!' * (k % 3)}\n" for k, (r, t) in enumerate(turns))
+
+    turns = [("system" if k == 7 else "assistant" if k % 2 else "user", f"text {k}") for k in range(24)]
+    out, _, inside, rewrites = chat.spans(turns, numbered)
+    assert rewrites is None and [out[a:b] for a, b in inside] == [t for _, t in turns]
+
+
 def test_chat_rows(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "a"), (2, 0, None, "x"), (None, 0, "assistant", "n"), (3, None, "assistant", ""), (4, 0, "assistant", "same"), (4, 0, "assistant", "same")]
     df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "conv_id long, turn long, role string, text string, c int, n int, t int")
