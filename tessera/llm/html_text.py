@@ -25,12 +25,16 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm._common import U64, chunks, words
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
+#: A tag that the page's end cuts off; any other "<" is text.
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Fixed values of HTML: elements whose text isn't shown, void elements, inline ones, and what an opening tag closes.
-RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea", "math", "object", "canvas"))
+RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea", "object", "canvas", "annotation", "annotation-xml"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: A formula is read as part of the line that it stands in; annotations repeat it as source and aren't shown.
+MATH = frozenset("maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()) | MATH
 CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
@@ -86,6 +90,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
                     break
             continue
         if name in RAW:
+            if name in ("svg", "annotation", "annotation-xml") and m[3].rstrip().endswith("/"):  # foreign elements close themselves
+                continue
             end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = end.end() if end else (at if m[3].rstrip().endswith("/") else len(page))
             continue
@@ -95,7 +101,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             elif parts:
                 parts.append(" ")
             continue
-        if m[3].rstrip().endswith("/") and name not in INLINE:
+        if m[3].rstrip().endswith("/") and (name not in INLINE or name in MATH):
             continue
         if name not in INLINE:
             flush()
@@ -119,7 +125,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             more = "".join(f".{p.lower()}" for _, a, b, c in _NAMED.findall(m[3]) for p in _PIECE.findall(a or b or c))
         stack.append((name, name + more))
         links += name == "a"
-    text(page[at:] if not page[at:].startswith("<") else "")
+    text(page[at:] if not _UNFINISHED.match(page, at) else "")
     flush()
     return out
 

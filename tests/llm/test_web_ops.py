@@ -166,3 +166,12 @@ def test_extract_odd_rows(spark):
     sevens = sorted((r["text"] for r in got if r["page_id"] == 7), key=len)
     assert sevens[0] == "Again a text of some words." and sevens[1] == "t" + " some words here & there <b> é&nosuch;" * 4000
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_blocks_keep_whole_text():
+    texts = lambda page: [t for _, t, _ in html_text.blocks(page)]
+    assert texts("<p>one<svg viewBox='0'/></p><p>two</p><svg><text>no</text></svg><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>so <math><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation encoding='t'>a=2</annotation></math> holds</p>") == ["so a=2 holds"]
+    assert texts("<p>x<mspace/>y <math/>z</p>") == ["xy z"]
+    assert texts("<3 plain text") == ["<3 plain text"] and texts("<p>a</p>< b") == ["a", "< b"]
+    assert texts("<p>a</p><p class='x") == ["a"]
