@@ -1,7 +1,9 @@
 """Secret scan, byte-level BPE, mixing, quality rules and toxicity against plain Python, and on odd rows."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -110,7 +112,7 @@ def plain_bpe(ranks, rows):
 
 def test_bpe_matches_tiktoken(spark, ranks):
     # words whose merges overlap and repeat; white space of all kinds; one word of many bytes
-    rows = ODD[:7] + [(20, "aaaaaaaaaaaa abababab 'll're 12345   x\x85y"), (21, "ing" * 70 + "ed" * 40), (22, "\x00\x01 ﻿​"), (8, "x" * 900), *ODD[8:]]
+    rows = ODD[:7] + [(20, "aaaaaaaaaaaa abababab 'll're 12345   x\x85y"), (21, "ing" * 70 + "ed" * 40), (22, "\x00\x01 ﻿​"), *ODD[7:]]
     got = bpe.digests(frame(spark, rows), ranks, public_tokenizers.PATTERN)
     assert Counter(map(tuple, got.collect())) == plain_bpe(ranks, rows)
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
@@ -121,7 +123,7 @@ def test_bpe_matches_tiktoken(spark, ranks):
 
 def test_bpe_ids_and_bytes(spark, ranks):
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    rows = [*ODD[:7], (8, "x" * 900), *ODD[8:]]
+    rows = ODD
     for size, ahead in ((50_000, 300_000), (bpe.BATCH_BYTES, 0)):
         got = bpe.encode(frame(spark, rows), ranks, public_tokenizers.PATTERN, size=size, ahead=ahead)
         assert dict(got.dtypes) == {"doc_id": "bigint", "ids": "array<int>"}
@@ -134,11 +136,37 @@ def test_bpe_ids_and_bytes(spark, ranks):
     assert bpe.encode(frame(spark, []).limit(0), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_words(spark, ranks):
+    r = random.Random(3)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    rows = [(1, some("abcdefghijklmnopqrstuvwxyz", 1_000_000)), (2, some("etaoinsr", 3000)), (3, some("ab", 4000)), (4, "ab" * 5000), (5, "=" * 3001), (6, "\u4e2d\u6587" * 3000), (7, " " * 3000 + "x"), (8, "aaab" * 700)]
+    began = time.time()
+    got = bpe.digests(frame(spark, rows), ranks, public_tokenizers.PATTERN, ahead=0).collect()
+    assert Counter(map(tuple, got)) == plain_bpe(ranks, rows)
+    assert time.time() - began < 120
+
+
+def test_bpe_stretches_are_the_pattern_words(spark, ranks):
+    r = random.Random(4)
+    rows = [(k, "".join(r.choice(" \n\ta'bs.1\u00e9\u3000\x1c\x85") for _ in range(r.randint(1, 40)))) for k in range(2000)]
+    got = bpe.digests(frame(spark, rows), ranks, public_tokenizers.PATTERN).collect()
+    assert Counter(map(tuple, got)) == plain_bpe(ranks, rows)
+
+
 def test_literal_map_holds_every_pair(ranks):
     pairs = bpe.merges(ranks)
-    table = bpe.literal_map(pairs)
-    held = {x for x in table if x >= 0}
-    assert held == {(a << 17 | b) << 17 | r for (a, b), r in pairs.items()}
+    assert len(pairs) == len(ranks) - 256  # one pair for each token that isn't a byte
+    for some in (pairs, {(0, 1): 300, (1, 1): 301, (5, 299): 302, (300, 0): 303}):
+        table = bpe.literal_map(some)
+        assert all(table[table[a] + b] == a << 17 | r for (a, b), r in some.items())
+        assert sum(x is not None for x in table) == len(some) + 1 + max(map(max, some))
+
+
+def test_bpe_with_tokens_that_merges_never_make(spark):
+    own = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"xyz": 259}
+    rows = [(1, "abcabc bcab xyz")]
+    got = bpe.encode(frame(spark, rows), own, public_tokenizers.PATTERN).collect()
+    assert got[0]["ids"] == [258, 258, 32, 257, 256, 32, 120, 121, 122]
 
 
 # mixing
