@@ -99,8 +99,8 @@ def _fit(x: np.ndarray, y: np.ndarray, identity: np.ndarray, mention: np.ndarray
     b = c = float(np.log(rate / (1 - rate)))
     t = 1.0
     for _ in range(rounds):
-        r = 1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30))) - y
-        new = v - step * (x.T @ r / n + 2 * penalty * (g @ v))
+        r = 1 / (1 + np.exp(-np.clip(x @ v.astype(x.dtype) + c, -30, 30))) - y  # in the type of x, which isn't copied
+        new = v - step * (r.astype(x.dtype) @ x / n + 2 * penalty * (g @ v))
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         nb = c - step * r.mean()
         s = (1 + (1 + 4 * t * t) ** 0.5) / 2
