@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -66,4 +67,17 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Sp
     if now <= 0 or now > rows:
         spark.conf.set(key, rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)  # the driver keeps the text of every plan, literals and all
     return spark
+
+
+#: Characters of a plan's text that the driver keeps for its listeners and logs.
+PLAN_TEXT = 64 << 10
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """small_batches(), and the driver gives back what earlier work left: Spark drops shuffles and broadcasts that
+    nothing refers to once the JVM collects, and a driver that runs job after job may not get there by itself."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return small_batches(spark)
