@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -76,8 +76,11 @@ PLAN_TEXT = 64 << 10
 
 
 def lean(spark: SparkSession) -> SparkSession:
-    """small_batches(), and the driver gives back what earlier work left: Spark drops shuffles and broadcasts that
-    nothing refers to once the JVM collects, and a driver that runs job after job may not get there by itself."""
+    """small_batches(), and driver and executors give back what earlier work left: Spark drops shuffles and broadcasts
+    that nothing refers to once the driver's JVM collects, and a collected heap shrinks. Where that doesn't reach an
+    executor, nothing but its memory differs."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
     return small_batches(spark)
