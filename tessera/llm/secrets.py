@@ -20,6 +20,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -76,7 +77,7 @@ def token_class(t: str) -> tuple:
     uuid = re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", t) is not None
     start = next((p for p in PREFIXES if t.startswith(p)), "")
     joined = sum(t.count(c) for c in "./")
-    return ("mixed", name, min(len(t) // 6, 7), kinds, min(int(4 * digits / len(t)), 3), int(hexa), int(uuid), start, min(joined, 3), min(int(_entropy(t[:64])), 5), int(digits + upper + lower < len(t) - 3))
+    return ("mixed", name, min(len(t) // 6, 7), kinds, min(int(4 * digits / len(t)), 3), int(hexa), int(uuid), start, min(joined, 3), min(int(_entropy(t)), 5), int(digits + upper + lower < len(t) - 3))
 
 
 def class_features(c: tuple) -> list[str]:
@@ -339,13 +340,22 @@ def train(rounds: int = 100, l2: float = 0.02) -> Field:
 def scan_text(text: str, field: Field) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) of a text: what the field finds is cut to the parts that no base span covers."""
     base = base_spans(text)
-    more = []
-    for a, b in field.spans(text):
-        for x, y, _ in sorted(base):
-            if a < y and b > x:
-                if text[a:x].strip():
-                    more.append((a, x, "crf"))
-                a = min(y, b)
+    covered: list[list[int]] = []  # base spans that touch or overlap, as one
+    for x, y, _ in base:
+        if covered and x <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], y)
+        else:
+            covered.append([x, y])
+    more, at = [], 0
+    for a, b in field.spans(text):  # both lists rise and neither overlaps itself
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        k = at
+        while k < len(covered) and covered[k][0] < b:
+            if text[a : covered[k][0]].strip():
+                more.append((a, covered[k][0], "crf"))
+            a = min(covered[k][1], b)
+            k += 1
         if text[a:b].strip():
             more.append((a, b, "crf"))
     order = (*KINDS, "crf")
@@ -357,7 +367,7 @@ def _join(spans) -> str:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_assign, n_access, n_hex, n_crf, base_sha256, spans) of every row."""
+    """(id, n_assign, n_access, n_hex, base_sha256, spans, n_crf) of every row."""
     field = df.sparkSession.sparkContext.broadcast(train())
 
     def f(batches):
@@ -367,8 +377,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 out = []
                 for t in b.column(1).slice(start, 256).to_pylist():
                     base, spans = scan_text(t or "", own)
-                    out.append((*(sum(k == kind for _, _, k in spans) for kind in (*KINDS, "crf")), hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, 256), *(pa.array([x[c] for x in out], pa.int64() if c < 4 else pa.string()) for c in range(6))], [id_col, "n_assign", "n_access", "n_hex", "n_crf", "base_sha256", "spans"])
+                    n = Counter(k for _, _, k in spans)
+                    out.append((*(n[kind] for kind in KINDS), hashlib.sha256(_join(base).encode()).hexdigest(), _join(spans), n["crf"]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, 256), *(pa.array([x[c] for x in out], pa.string() if c in (3, 4) else pa.int64()) for c in range(6))], [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_crf"])
 
     rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(f, f"`{id_col}` long, n_assign long, n_access long, n_hex long, n_crf long, base_sha256 string, spans string")
+    return rows.mapInArrow(f, f"`{id_col}` long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
