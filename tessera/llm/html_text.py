@@ -5,8 +5,10 @@ both hashed into vectors, and a few numbers; a bidirectional LSTM, written in nu
 blocks and gives each a probability to belong to the main text, so that every decision sees the whole document. The
 network is trained here on generated pages of many layouts whose labels are known. Pages don't leave their partition.
 
+Time and memory grow with a page's length, however deep its elements lie; a page of very many blocks is read in runs.
+
 Defined results: a null or empty html, or one without main text, gives an empty text; tags that are never closed end
-with the page; an unknown character reference stays as it is; rows that repeat an id are each read; an empty frame gives
+with the page, but one that would hide the rest (all but script, style and textarea) hides nothing; an unknown character reference stays as it is; rows that repeat an id are each read; an empty frame gives
 an empty frame; extra columns are ignored.
 """
 
@@ -16,6 +18,7 @@ import html as _html
 import random
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +33,9 @@ _UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Fixed values of HTML: elements whose text isn't shown, void elements, inline ones, and what an opening tag closes.
-RAW = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "textarea", "object", "canvas", "annotation", "annotation-xml"))
+RAW = frozenset(("script", "style", "template", "svg", "textarea", "annotation", "annotation-xml"))
+FOREIGN, TO_THE_END = frozenset(("svg", "annotation", "annotation-xml")), frozenset(("script", "style", "textarea"))
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A formula is read as part of the line that it stands in; annotations repeat it as source and aren't shown.
 MATH = frozenset("maction math menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
@@ -39,30 +44,99 @@ CLOSED_BY_BLOCK = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SIBLINGS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(tag path, text, share of linked characters) of every block with text, in page order."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, str]] = []
+class Place:
+    """Where a block stands: the innermost element that isn't inline, by its names and those around it.
+
+    Elements that add no new name share the vector of the one around them, so deep pages stay small.
+    """
+
+    __slots__ = ("leaf", "over", "vector")
+
+    def __init__(self, leaf: str, over: str, vector: np.ndarray):
+        self.leaf, self.over, self.vector = leaf, over, vector
+
+
+class _Open:
+    """The elements that are open, innermost last; what closes is found without a search through all of them."""
+
+    def __init__(self):
+        self.stack: list[list] = []  # [tag, place around it, new names, whether it is open]
+        self.of: dict[str, list[list]] = {}
+        self.named: Counter[str] = Counter()
+        self.place = Place("", "", np.zeros(PATH_DIMS, np.float32))
+        self.links = 0
+
+    def has(self, *tags: str) -> bool:
+        return any(self.of.get(t) for t in tags)
+
+    def push(self, tag: str, more: list[str]) -> None:
+        entry = [tag, self.place, [], True]
+        self.stack.append(entry)
+        self.of.setdefault(tag, []).append(entry)
+        if tag in INLINE:
+            self.links += tag == "a"
+            return
+        names = [f"in:{tag}", *(f"named:{x}" for x in dict.fromkeys(more))]
+        entry[2] = names
+        new = [x for x in names if not self.named[x]]
+        self.named.update(names)
+        vector = self.place.vector
+        if new:
+            vector = vector.copy()
+            for x in new:
+                _add(vector, x)
+        self.place = Place(tag, f"{self.place.leaf}>{tag}" if self.place.leaf else tag, vector)
+
+    def pop(self) -> None:
+        tag, place, names, is_open = self.stack.pop()
+        if is_open:
+            self.of[tag].pop()
+            self.links -= tag == "a"
+        if tag not in INLINE:
+            self.place = place
+            self.named.subtract(names)
+
+    def close_inline(self, tag: str) -> None:
+        if self.of.get(tag):
+            entry = self.of[tag].pop()
+            entry[3] = False
+            self.links -= tag == "a"
+            while self.stack and not self.stack[-1][3]:
+                self.pop()
+
+    def close(self, entry: list) -> None:
+        """Close an element and all within it."""
+        while True:
+            last = self.stack[-1]
+            self.pop()
+            if last is entry:
+                return
+
+
+def blocks(page: str) -> list[tuple[Place, str, float]]:
+    """(place, text, share of linked characters) of every block with text, in page order."""
+    out: list[tuple[Place, str, float]] = []
+    opened = _Open()
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
-    path: tuple[str, ...] = ()
+    linked, at = 0, 0
+    place = opened.place
 
     def flush():
         nonlocal linked
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                out.append((path, text, min(1.0, linked / len(text))))
+                out.append((place, text, min(1.0, linked / len(text))))
             parts.clear()
         linked = 0
 
     def text(piece: str):
-        nonlocal linked, path
+        nonlocal linked, place
         if piece:
             if not parts:
-                path = tuple(e for _, e in stack)
+                place = opened.place
             parts.append(piece)
-            if links:
+            if opened.links > 0:
                 linked += len(piece.strip())
 
     while m := _TAG.search(page, at):
@@ -75,26 +149,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
         name = name.lower()
         if m[1]:
             if name in INLINE:
-                if any(t == name for t, _ in stack[-6:]):
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == name:
-                            del stack[k]
-                            links -= name == "a"
-                            break
+                opened.close_inline(name)
                 continue
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    links = sum(t == "a" for t, _ in stack)
-                    break
+            if opened.has(name):
+                opened.close(opened.of[name][-1])
             continue
         if name in RAW:
-            if name in ("svg", "annotation", "annotation-xml") and m[3].rstrip().endswith("/"):  # foreign elements close themselves
+            if name in FOREIGN and m[3].rstrip().endswith("/"):  # foreign elements close themselves
                 continue
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else (at if m[3].rstrip().endswith("/") else len(page))
-            continue
+            end = _END[name].search(page, at)
+            if end or name in TO_THE_END:
+                at = end.end() if end else (at if m[3].rstrip().endswith("/") else len(page))
+            continue  # another one that is never closed hides nothing
         if name in VOID:
             if name == "hr":
                 flush()
@@ -105,26 +172,25 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
             continue
         if name not in INLINE:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                t = stack[k][0]
-                if t in CLOSED_BY_BLOCK and (t == "p" or name in CLOSED_BY_BLOCK or name in ("article", "section", "footer", "nav", "header", "aside")):
-                    del stack[k:]
-                    break
-                if t not in INLINE and t not in CLOSED_BY_BLOCK:
-                    break
-            if name in SIBLINGS:
+            stack = opened.stack
+            if opened.has(*CLOSED_BY_BLOCK):
+                for k in range(len(stack) - 1, -1, -1):
+                    t = stack[k][0]
+                    if t in CLOSED_BY_BLOCK and (t == "p" or name in CLOSED_BY_BLOCK or name in ("article", "section", "footer", "nav", "header", "aside")):
+                        opened.close(stack[k])
+                        break
+                    if t not in INLINE and t not in CLOSED_BY_BLOCK:
+                        break
+            like = ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)
+            if name in SIBLINGS and opened.has(*like):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in SIBLINGS[name]:
                         break
-                    if stack[k][0] == name or {name, stack[k][0]} in ({"dt", "dd"}, {"td", "th"}):
-                        del stack[k:]
+                    if stack[k][0] in like:
+                        opened.close(stack[k])
                         break
-            links = sum(t == "a" for t, _ in stack)
-        more = ""
-        if m[3]:
-            more = "".join(f".{p.lower()}" for _, a, b, c in _NAMED.findall(m[3]) for p in _PIECE.findall(a or b or c))
-        stack.append((name, name + more))
-        links += name == "a"
+        more = [p.lower() for _, a, b, c in _NAMED.findall(m[3]) for p in _PIECE.findall(a or b or c)] if m[3] and name not in INLINE else []
+        opened.push(name, more)
     text(page[at:] if not _UNFINISHED.match(page, at) else "")
     flush()
     return out
@@ -134,48 +200,39 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
 
 PATH_DIMS, WORD_DIMS, NUMBERS = 128, 24, 9
 DIMS = PATH_DIMS + WORD_DIMS + NUMBERS
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def path_vector(path: tuple[str, ...]) -> np.ndarray:
-    found = _PATHS.get(path)
-    if found is None:
-        if len(_PATHS) > 20_000:
-            _PATHS.clear()
-        solid = [p for p in path if p.split(".")[0] not in INLINE]
-        names = set()
-        for p in solid:
-            tag, *pieces = p.split(".")
-            names.add(f"in:{tag}")
-            names |= {f"named:{x}" for x in pieces}
-        if solid:
-            names.add("leaf:" + solid[-1].split(".")[0])
-        names |= {"over:" + ">".join(p.split(".")[0] for p in solid[-2:])}
-        found = np.zeros(PATH_DIMS, np.float32)
-        for x in names:
-            h = zlib.crc32(x.encode())
-            for k in (0, 11):  # two places each, so that names differ even where one place is shared
-                found[(h >> k) % PATH_DIMS] += 1.0 if (h >> (k + 9)) & 1 else -1.0
-        _PATHS[path] = found
-    return found
-
-
-def vectors(pages: list[list[tuple[tuple[str, ...], str, float]]]) -> np.ndarray:
-    """One row for each block of all pages, in order."""
+
+
+@lru_cache(1 << 14)
+def _spots(name: str) -> tuple[tuple[int, float], ...]:
+    h = zlib.crc32(name.encode())  # two places each, so that names differ even where one place is shared
+    return tuple(((h >> k) % PATH_DIMS, 1.0 if (h >> (k + 9)) & 1 else -1.0) for k in (0, 11))
+
+
+def _add(vector: np.ndarray, name: str) -> None:
+    for at, sign in _spots(name):
+        vector[at] += sign
+
+
+def vectors(pages: list[list[tuple[Place, str, float]]], first: int = 0, total: int | None = None) -> np.ndarray:
+    """One row for each block of all pages, in order. A run of a page's blocks is given with the place of its first
+    among `total`."""
     flat = [b for p in pages for b in p]
     x = np.zeros((len(flat), DIMS), np.float32)
     if not flat:
         return x
-    for i, (path, _, _) in enumerate(flat):
-        x[i, :PATH_DIMS] = path_vector(path)
+    for i, (place, _, _) in enumerate(flat):
+        x[i, :PATH_DIMS] = place.vector
+        _add(x[i], "over:" + place.over)
+        if place.leaf:
+            _add(x[i], "leaf:" + place.leaf)
     column = pa.array([t for _, t, _ in flat], pa.large_string())
     n_words = np.zeros(len(flat))
-    for first, offsets, data in chunks(column):
+    for at, offsets, data in chunks(column):
         _, _, row, h = words(offsets, data, lower=True)
         n = len(offsets) - 1
         sign = ((h >> U64(40)) & U64(1)).astype(np.float32) * 2 - 1
-        x[first : first + n, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount(row * WORD_DIMS + (h % U64(WORD_DIMS)).astype(np.int64), sign, n * WORD_DIMS).reshape(n, WORD_DIMS)
-        n_words[first : first + n] = np.bincount(row, minlength=n)
+        x[at : at + n, PATH_DIMS : PATH_DIMS + WORD_DIMS] = np.bincount(row * WORD_DIMS + (h % U64(WORD_DIMS)).astype(np.int64), sign, n * WORD_DIMS).reshape(n, WORD_DIMS)
+        n_words[at : at + n] = np.bincount(row, minlength=n)
     x[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] /= np.sqrt(np.maximum(n_words, 1))[:, None]
     chars = np.array([len(t) for _, t, _ in flat], float)
     own = x[:, PATH_DIMS + WORD_DIMS :]
@@ -184,8 +241,8 @@ def vectors(pages: list[list[tuple[tuple[str, ...], str, float]]]) -> np.ndarray
     own[:, 2] = [s for _, _, s in flat]
     own[:, 3] = [sum(map(t.count, ".,!?")) / len(t) * 10 for _, t, _ in flat]
     own[:, 4] = ["\xa9" in t for _, t, _ in flat]
-    own[:, 5] = np.concatenate([np.arange(len(p)) / len(p) for p in pages if p])
-    own[:, 6] = np.concatenate([np.full(len(p), min(len(p), 200) / 50) for p in pages if p])
+    own[:, 5] = np.concatenate([(np.arange(len(p)) + first) / (total or len(p)) for p in pages if p])
+    own[:, 6] = np.concatenate([np.full(len(p), min(total or len(p), 200) / 50) for p in pages if p])
     own[:, 7] = [t[:1].isupper() for _, t, _ in flat]
     own[:, 8] = 1
     return x
@@ -194,6 +251,8 @@ def vectors(pages: list[list[tuple[tuple[str, ...], str, float]]]) -> np.ndarray
 # the network
 
 HIDDEN = 20
+#: Pages of more blocks are read in runs of so many.
+LONG_PAGE = 8192
 
 
 def _sigmoid(x):
@@ -269,11 +328,39 @@ class Labeller:
         self._back(self._turned(x, lengths), "b", self._turned(dh[..., HIDDEN:], lengths), kb, grads)
         return grads
 
+    def label_long(self, page) -> np.ndarray:
+        """The same for one page of very many blocks: both directions read it in runs and hand on their state, so that
+        vectors are held for one run at a time."""
+        n, total = len(page), np.full(len(page), self.p["q"][0], np.float32)
+        for d, side in (("f", slice(0, HIDDEN)), ("b", slice(HIDDEN, None))):
+            state = None
+            starts = range(0, n, LONG_PAGE)
+            for start in starts if d == "f" else reversed(starts):
+                x = vectors([page[start : start + LONG_PAGE]], start, n)[None]
+                h, state = self._walk(x if d == "f" else x[:, ::-1], d, state)
+                own = h[0] @ self.p["o"][side]
+                total[start : start + LONG_PAGE] += own if d == "f" else own[::-1]
+        return total > 0
+
+    def _walk(self, x, d, state):
+        """States over time of (pages, length, dims) from a state, and the last one."""
+        z = x @ self.p[f"x{d}"] + self.p[f"c{d}"]
+        h, c = state or (np.zeros((len(x), HIDDEN), np.float32),) * 2
+        out = np.zeros((*x.shape[:2], HIDDEN), np.float32)
+        for k in range(x.shape[1]):
+            g = z[:, k] + h @ self.p[f"h{d}"]
+            s = _sigmoid(g[:, : 3 * HIDDEN])
+            c = s[:, HIDDEN : 2 * HIDDEN] * c + s[:, :HIDDEN] * np.tanh(g[:, 3 * HIDDEN :])
+            out[:, k] = h = s[:, 2 * HIDDEN :] * np.tanh(c)
+        return out, (h, c)
+
     def label(self, pages) -> list[np.ndarray]:
         """For each page, whether each of its blocks belongs to the main text."""
+        long = {k: self.label_long(p) for k, p in enumerate(pages) if len(p) > LONG_PAGE}
+        pages = [p if k not in long else [] for k, p in enumerate(pages)]
         x = vectors(pages)
         ends = np.cumsum([len(p) for p in pages])
-        out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
+        out: list[np.ndarray] = [long.get(k, np.zeros(0, bool)) for k in range(len(pages))]
         order = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
         while order:
             size = 1

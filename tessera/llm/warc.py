@@ -12,21 +12,23 @@ through; continuation records meet by origin, a bounded group (the segments of o
 the sum of their lengths is verified against the total before the chunks are decoded.
 
 Defined results: a null html counts as empty; a null page id is always a response; equal ids with equal payloads are all
-responses; an empty frame gives archives without records; extra columns are ignored. A segment that is missing, or a
-total that differs, gives complete = false and no payload.
+responses; an empty frame gives archives without records; extra columns are ignored. A segment that is missing, a total
+or digest that differs, broken chunks, a header that is cut off or has no length give complete = false and no payload.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.llm._common import settle
+from tessera.llm import bits as B
+from tessera.llm._common import U64, settle
 
 SEGMENT_BYTES, CHUNK_BYTES, RECORDS_A_FILE = 16 << 10, 4 << 10, 10_000
 CRLF = b"\r\n"
@@ -43,15 +45,19 @@ def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
     return b"".join(out) + b"0\r\n\r\n"
 
 
-def dechunk(framed: bytes) -> bytes:
+def dechunk(framed: bytes) -> bytes | None:
+    """The payload of a chunked body, or None where its framing is broken or cut off."""
     out, at = [], 0
     while True:
-        to = framed.index(CRLF, at)
-        n = int(framed[at:to].split(b";")[0], 16)
+        to = framed.find(CRLF, at)
+        size = framed[at:to].split(b";")[0].strip() if to >= 0 else b""
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size):
+            return None
+        n = int(size, 16)
         if n == 0:
             return b"".join(out)
-        if len(framed) < to + 4 + n:
-            raise ValueError("a chunk is cut off")
+        if framed[to + 2 + n : to + 4 + n] != CRLF:
+            return None
         out.append(framed[to + 2 : to + 2 + n])
         at = to + 4 + n
 
@@ -65,12 +71,12 @@ def _record(kind: str, rid: str, uri: str, block: bytes, more: list[tuple[str, s
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v != "").encode() + CRLF + block
 
 
-def records_of(rid_key, page, url: str, payload: bytes, refers_to, refers_uri: str, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
-    """The records of one page: a response with its continuations, or a revisit."""
-    digest, uri = payload_digest(payload), re.sub(r"\s", "%20", url)
+def records_of(rid_key, page, url: str, payload: bytes | None, length: int, sha1: str, refers_to, refers_uri: str, segment_bytes: int = SEGMENT_BYTES) -> list[bytes]:
+    """The records of one page: a response with its continuations, or a revisit, which needs length and hash alone."""
+    digest, uri = base64.b32encode(bytes.fromhex(sha1)).decode(), re.sub(r"\s", "%20", url)
     own = [("WARC-Payload-Digest", f"sha1:{digest}"), ("Tessera-Page", "" if page is None else str(page))]
     if refers_to is not None:
-        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % length
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         return [_record("revisit", record_id(rid_key), uri, block, [*own, profile, ("WARC-Refers-To", record_id(refers_uri)), ("Tessera-Refers-To-Page", str(refers_to))])]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
@@ -83,25 +89,58 @@ def records_of(rid_key, page, url: str, payload: bytes, refers_to, refers_uri: s
 
 
 def originals(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, refers_to) of the pages that revisit another. Payloads are hashed and aggregated before the shuffle; AQE
-    splits the rows of a payload that very many pages share."""
+    """(id, digest, refers_to) of the pages that revisit another. Payloads are hashed and aggregated before the shuffle;
+    AQE splits the rows of a payload that very many pages share."""
     p = settle(pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")).alias("digest")).filter("id is not null"), "payloads")
     first = settle(p.groupBy("digest").agg(F.min("id").alias("refers_to"), F.max("id").alias("last")).filter("refers_to <> last").drop("last"), "originals")
     return p.join(first, "digest").filter("id <> refers_to").select("id", "refers_to", "digest").distinct()
 
 
+def with_originals(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(id, url, html, n, digest, refers_to, key, refers_key) of every page.
+
+    Payloads don't move: pages that no bounded filter takes for a revisit pass straight through. Of the others length,
+    hash and names meet the revisits, whose records have no payload; the few that only the filter took for one are told
+    apart by a second filter and read again.
+    """
+    p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+    p = p.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("n", F.octet_length("html").cast("long"))
+    revisits = settle(originals(pages, id_col, html_col), "revisits")
+    columns = ["id", "url", "html", "n", "digest", "refers_to", "key", "refers_key"]
+    key = F.concat_ws("-", F.coalesce(F.col("id").cast("string"), F.lit("none")), "digest").alias("key")
+    response = lambda df: df.withColumn("refers_to", F.lit(None).cast("long")).withColumn("refers_key", F.lit(None).cast("string")).withColumn("key", key).select(columns)
+    maybe = _filter_of(revisits)
+    met = settle(p.filter(maybe).select("id", "url", "n", "digest").join(revisits, ["id", "digest"], "left"), "met")
+    slipped = settle(met.filter("refers_to is null").select("id", "digest").distinct(), "slipped")
+    again = p.filter(maybe & _filter_of(slipped)).join(slipped, ["id", "digest"], "left_semi")
+    revisit = met.filter("refers_to is not null").withColumn("html", F.lit(None).cast("string")).withColumn("refers_key", F.concat_ws("-", F.col("refers_to").cast("string"), "digest")).withColumn("key", key)
+    return response(p.filter(~maybe)).union(response(again)).union(revisit.select(columns))
+
+
+def _filter_of(pairs: DataFrame) -> Column:
+    """Whether a bounded filter holds the row's (id, digest); a null id never is in it."""
+    size = B.bits_for(pairs.count())
+    hashed = F.xxhash64("id", "digest")
+    filled = pairs.sparkSession.sparkContext.broadcast(B.count_bits(pairs.select(hashed), size)[0])
+
+    @F.pandas_udf("boolean")
+    def held(h):
+        import pandas as pd
+
+        return pd.Series(B.contains(filled.value, h.to_numpy(np.int64).view(U64), size))
+
+    return F.col("id").isNotNull() & held(hashed)
+
+
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = SEGMENT_BYTES, compression: str | None = "gzip") -> None:
     """Write the archives of the pages under a path of any store."""
-    p = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.sha1(F.col("html").cast("binary"))).alias("p")
-    r = originals(pages, id_col, html_col).alias("r")
-    met = p.join(r, (F.col("p.id") == F.col("r.id")) & (F.col("p.digest") == F.col("r.digest")), "left").select("p.id", "p.url", "p.html", "r.refers_to", F.concat_ws("-", F.coalesce(F.col("p.id").cast("string"), F.lit("none")), "p.digest").alias("key"), F.concat_ws("-", F.col("r.refers_to").cast("string"), "p.digest").alias("refers_key"))
+    met = with_originals(pages, id_col, url_col, html_col)
 
     def f(batches):
         for b in batches:
             out, size = [], 0
-            for page, url, html, refers_to, key, refers_key in zip(*(c.to_pylist() for c in b.columns)):
-                made = records_of(key, page, url or "", html.encode(), refers_to, refers_key, segment_bytes)
+            for page, url, html, n, sha1, refers_to, key, refers_key in zip(*(c.to_pylist() for c in b.columns)):
+                made = records_of(key, page, url or "", None if html is None else html.encode(), n, sha1, refers_to, refers_key, segment_bytes)
                 out += made
                 size += sum(map(len, made))
                 if size > 8 << 20:
@@ -115,15 +154,37 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     (w.option("compression", compression) if compression else w).text(path)
 
 
+def _plain(data: bytes) -> bytes:
+    """An archive's bytes; of a compressed one that is cut off or broken, what comes before."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out = []
+    while data:
+        d = zlib.decompressobj(31)
+        try:
+            out.append(d.decompress(data))
+        except zlib.error:
+            break
+        data = d.unused_data
+    return b"".join(out)
+
+
 def parse_records(data: bytes):
-    """(headers in lower case, block) of every record of an archive, plain or compressed."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
+    """(headers in lower case, block, whether the record is whole) of every record of an archive, plain or compressed.
+
+    A header that is cut off, or that names no length, gives a record that isn't whole; the next one begins at the next
+    version line."""
+    data, at = _plain(data), 0
     while (at := data.find(b"WARC/", at)) >= 0:
-        to = data.index(b"\r\n\r\n", at)
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:to].decode("utf-8", "replace").split("\r\n")[1:])}
-        n = int(head["content-length"])
+        to = data.find(b"\r\n\r\n", at)
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at : to if to >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:])}
+        length = head.get("content-length", "")
+        if to < 0 or not re.fullmatch("[0-9]{1,15}", length):
+            yield head, b"", False
+            following = data.find(b"\r\n\r\nWARC/", at)
+            at = following + 4 if following >= 0 else len(data)
+            continue
+        n = int(length)
         block = data[to + 4 : to + 4 + n]
         yield head, block, len(block) == n
         at = to + 4 + n
@@ -140,11 +201,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for data in b.column(0):
                 out, size = [], 0
                 for h, block, whole in parse_records(data.as_py()):
+                    if h.get("warc-type", "response") not in ("response", "revisit", "continuation"):
+                        continue
                     if not whole:
                         block = b""
-                    num = lambda k: int(h[k]) if h.get(k) else None  # noqa: E731, B023
+                    num = lambda k: int(h[k]) if re.fullmatch("-?[0-9]{1,18}", h.get(k, "")) else None  # noqa: E731, B023
                     segment = num("warc-segment-number") or 0
-                    out.append((h["warc-record-id"], h.get("warc-segment-origin-id") or h["warc-record-id"], segment, num("warc-segment-total-length"), h["warc-type"], num("tessera-page"), h.get("warc-target-uri", ""), num("tessera-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha1:"), block))
+                    out.append((h.get("warc-record-id"), h.get("warc-segment-origin-id") or h.get("warc-record-id"), min(segment, (1 << 31) - 1), num("warc-segment-total-length"), h.get("warc-type"), num("tessera-page"), h.get("warc-target-uri", ""), num("tessera-refers-to-page"), h.get("warc-payload-digest", "").removeprefix("sha1:"), block))
                     size += len(block)
                     if size > 8 << 20:
                         yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], arrow)
@@ -168,16 +231,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for r in b.to_pylist():
                 parts = r.pop("parts")
                 block = b"".join(p["block"] for p in parts)
-                good = r["total"] is None and len(parts) == 1 or (len(block) == r["total"] and [p["segment"] for p in parts] == list(range(1, len(parts) + 1)))
+                good = r["total"] is None and [p["segment"] for p in parts] == [0] or (len(block) == r["total"] and [p["segment"] for p in parts] == list(range(1, len(parts) + 1)))
                 payload, n, digest = None, None, r["digest"]
                 if good:
                     head, _, body = block.partition(b"\r\n\r\n")
                     if r["type"] == "revisit":
-                        n = int(re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)[1])
+                        kept = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,15})", head)
+                        good, n = kept is not None, int(kept[1]) if kept else None
                     else:
                         payload = dechunk(body) if re.search(rb"(?i)transfer-encoding:\s*chunked", head) else body
-                        n, digest = len(payload), payload_digest(payload)
-                        good = digest == r["digest"]
+                        good = payload is not None and payload_digest(payload) == r["digest"]
+                        payload, n = (payload, len(payload)) if good else (None, None)
                 out.append({"page": r["page"], "url": r["url"], "record_type": r["type"], "refers_to": r["refers_to"], "payload": payload, "payload_bytes": n, "payload_digest": digest, "complete": good})
             yield pa.RecordBatch.from_pylist(out, done)
 

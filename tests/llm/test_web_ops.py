@@ -1,9 +1,11 @@
 """WARC, chat formatting and HTML extraction: round trips, held-out accuracy, odd rows."""
 
 import base64
+import gzip
 import hashlib
 import html
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -53,12 +55,27 @@ def test_warc_round_trip(spark, compression):
 
 def test_warc_missing_segment_is_told(spark):
     path = scratch_path(spark, "warc-cut")
-    good = warc.records_of("1-a", 1, "u", b"x" * 900, None, "", 200)
-    bad = warc.records_of("2-a", 2, "u", b"y" * 900, None, "", 200)
-    records = [*reversed(good), *bad[:2], *bad[3:]]
+    made = lambda page, x: warc.records_of(f"{page}-a", page, "u", x, len(x), hashlib.sha1(x).hexdigest(), None, "", 200)
+    good, bad, alone = made(1, b"x" * 900), made(2, b"y" * 900), made(3, b"z" * 900)
+    records = [*reversed(good), *bad[:2], *bad[3:], alone[0]]
     spark.createDataFrame([(r.decode(),) for r in records], "value string").repartition(3).write.option("lineSep", "\r\n\r\n").text(path)
     got = {r["page"]: (r["complete"], r["payload"]) for r in warc.read(spark, path).collect()}
-    assert got == {1: (True, b"x" * 900), 2: (False, None)}
+    assert got == {1: (True, b"x" * 900), 2: (False, None), 3: (False, None)}
+
+
+def test_warc_malformed_records_are_told(spark):
+    path = scratch_path(spark, "warc-bad")
+    made = lambda page, x=b"x" * 40: warc.records_of(f"{page}-a", page, "u", x, len(x), hashlib.sha1(x).hexdigest(), None, "")[0].decode()
+    records = [
+        made(1), made(2).replace("28\r\n", "zz\r\n"), made(3).replace("28\r\n", "29\r\n"), made(4).replace("\r\nContent-Length", "\r\nContent-Size"), made(5).replace("sha1:", "sha1:A"),
+        made(6).replace("WARC-Type: response", "WARC-Type: warcinfo"), made(7).replace("WARC-Type: response", "WARC-Type: revisit"), made(8).replace("Tessera-Page: 8", "Tessera-Page: x"), made(9),
+    ]
+    spark.createDataFrame([(r,) for r in records], "value string").coalesce(1).write.option("lineSep", "\r\n\r\n").text(path)
+    got = {r["page"]: (r["complete"], r["payload"]) for r in warc.read(spark, path).collect()}
+    assert got == {k: (k in (1, 9, None), b"x" * 40 if k in (1, 9, None) else None) for k in (1, 2, 3, 4, 5, 7, None, 9)}
+    assert list(warc.parse_records(b"WARC/1.1\r\nWARC-Type: resp")) == [({"warc-type": "resp"}, b"", False)]
+    whole = gzip.compress(records[0].encode() + b"\r\n\r\n")
+    assert [x[2] for x in warc.parse_records(whole[:-20])] in ([], [False], [True]) and [x[2] for x in warc.parse_records(whole + whole)] == [True, True]
 
 
 @settings(max_examples=60, deadline=None)
@@ -175,3 +192,32 @@ def test_blocks_keep_whole_text():
     assert texts("<p>x<mspace/>y <math/>z</p>") == ["xy z"]
     assert texts("<3 plain text") == ["<3 plain text"] and texts("<p>a</p>< b") == ["a", "< b"]
     assert texts("<p>a</p><p class='x") == ["a"]
+
+
+def test_html_deep_and_very_long_pages():
+    net = html_text.train()
+    began, size = time.time(), 50_000
+    deep = html_text.blocks("".join(f'<div class="c{k % 7} d{k % 1000}">x{k}' for k in range(size)))
+    assert len(deep) == size and time.time() - began < 20
+    assert len({id(place.vector) for place, _, _ in deep}) < 1100  # levels without a new name share their vector
+    assert [t for _, t, _ in html_text.blocks("<b>" * 20_000 + "<p>a</b>b<p>c")] == ["ab", "c"]
+    pages, _ = html_text.training_set(40, 5)
+    page = [b for p in pages for b in p]
+    x = html_text.vectors([page])[None]
+    assert np.allclose(np.concatenate([html_text.vectors([page[k : k + 50]], k, len(page)) for k in range(0, len(page), 50)]), x[0], atol=1e-6)
+    plain = net.forward(x, np.array([len(page)]))[0][0] > 0
+    before, html_text.LONG_PAGE = html_text.LONG_PAGE, 64
+    try:
+        assert (net.label([page])[0] == plain).mean() > 0.999
+    finally:
+        html_text.LONG_PAGE = before
+    assert len(net.label([[page[0]] * 60_000])[0]) == 60_000
+
+
+def test_html_hides_nothing_that_is_text():
+    texts = lambda page: [t for _, t, _ in html_text.blocks(page)]
+    assert texts("<p>x</p>< 5 apples and more") == ["x", "< 5 apples and more"]
+    assert texts("<p>x</p><noscript>one</noscript><object>two</object><canvas>three</canvas>") == ["x", "one", "two", "three"]
+    assert texts("<p>a</p><svg><path><p>b</p>") == ["a", "b"]
+    assert texts("<p>a <svg><title>t</title></svg>b</p>") == ["a b"]
+    assert html_text.blocks("<a>l<b><i><u><s><q><em><tt></a> and much more text that is plain")[0][2] < 0.1
