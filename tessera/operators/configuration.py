@@ -135,6 +135,11 @@ def override(settings: DataFrame, values: dict[str, Column]) -> DataFrame:
     return settings.withColumns({k: F.coalesce(v.cast(KINDS[k]), F.col(k)) for k, v in values.items() if k in KINDS})
 
 
+def override_with_rules(settings: DataFrame, values: dict[str, Column], available: Column) -> DataFrame:
+    """override(), whose names may be in any case, and then the device rules once more."""
+    return device_rules(override(settings, {k.lower(): v for k, v in values.items()}), available)
+
+
 def overlay(base: DataFrame, changes: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """Merge of long tables: a change's value where it isn't null. Only the changes' keys and values move."""
     c = changes.select(F.col(key), F.col(value).alias("__changed"))

@@ -5,9 +5,12 @@ A detection is (img, det_id, cls, score, x1, y1, x2, y2). An image's detections
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions.paths import falsy_or
+from tessera.sources.files import list_directory, read_binaries
 
 #: The defaults of prediction.
 CONFIDENCE, OVERLAP, MOST = 0.25, 0.7, 300
@@ -66,6 +69,33 @@ def top(detections: DataFrame, most: int = MOST) -> DataFrame:
     return detections.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= most)
 
 
+def predict(images: DataFrame, model: Callable[[bytes], list[tuple[str, float, float, float, float, float]]], conf: float | None = None, img_type: str = "string", **options) -> DataFrame:
+    """Post-processed detections of images (img, content): `model` gives (cls, score, x1, y1, x2, y2) of one image, and
+    numbers follow its order. A null content has no detections. The model travels to the executors once a task."""
+
+    def f(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = [(i, k, *d) for i, c in zip(b["img"], b["content"]) if c is not None for k, d in enumerate(model(bytes(c)))]
+            yield pd.DataFrame(rows, columns=["img", "det_id", "cls", "score", *BOX])
+
+    schema = f"img {img_type}, det_id bigint, cls string, score double, x1 double, y1 double, x2 double, y2 double"
+    return postprocess(images.select(F.col("img").cast(img_type), F.col("content").cast("binary")).mapInPandas(f, schema), conf, **options)
+
+
+def predict_folder(spark: SparkSession, folder: str, model, save_dir: str | None = None, conf: float | None = None, name: str = "predictions", **options) -> DataFrame:
+    """predict() over all files of a folder, saved as Parquet under save_dir/name if a folder is given. A source that
+    doesn't exist is an error."""
+    if list_directory(spark, folder) is None:
+        raise FileNotFoundError(f"source not found: {folder}")
+    out = predict(read_binaries(spark, folder).select(F.col("path").alias("img"), "content"), model, conf, **options)
+    if save_dir is None:
+        return out
+    out.write.mode("overwrite").parquet(f"{save_dir}/{name}")
+    return spark.read.parquet(f"{save_dir}/{name}")
+
+
 def postprocess(detections: DataFrame, conf: float | None = None, least: float = OVERLAP, most: int = MOST, agnostic: bool = False) -> DataFrame:
     """Threshold, suppression and top-k, as one prediction does."""
     return top(suppress(above(detections, conf), least, agnostic), most)

@@ -40,6 +40,21 @@ def missing_required(required: DataFrame, existing: DataFrame, key: str = "path"
     return required.join(existing.select(key).distinct(), key, "left_anti")
 
 
+def missing_count(required: DataFrame, existing: DataFrame, key: str = "path") -> DataFrame:
+    """One row (n_required, n_missing, passed): the outcome of a check of required files."""
+    gone = existing.select(key).distinct().withColumn("__there", F.lit(True))
+    n = F.count(F.when(F.col("__there").isNull(), True))
+    return required.join(gone, key, "left").agg(F.count(F.lit(1)).alias("n_required"), n.alias("n_missing"), (n == 0).alias("passed"))
+
+
+def path_problems(settings: DataFrame, existing: DataFrame) -> DataFrame:
+    """(profile_name, ord, path, fatal, message) of the paths of settings that don't exist: the dataset first, then the
+    folder of training data, both fatal, then the model, which is only warned of. `assert_paths` raises at the first."""
+    one = lambda k, column, fatal, text: F.struct(F.lit(k).alias("ord"), F.col(column).alias("path"), F.lit(fatal).alias("fatal"), F.concat(F.lit(text), F.col(column)).alias("message"))
+    wanted = F.array(one(0, "dataset_path", True, "dataset not found: "), one(1, "training_data_path", True, "training data not found: "), one(2, "model_path", False, "model not found: "))
+    return settings.select("profile_name", F.explode(wanted).alias("w")).select("profile_name", "w.*").join(existing.select("path").distinct(), "path", "left_anti").select("profile_name", "ord", "path", "fatal", "message")
+
+
 def assert_paths(required: DataFrame, existing: DataFrame, fatal: Column, key: str = "path", ord_col: str = "ord") -> DataFrame:
     """(ord, path, message) of missing files in order; raises at the first that is fatal."""
     gone = missing_required(required, existing, key).withColumn("message", F.concat(F.lit("missing: "), F.col(key)))

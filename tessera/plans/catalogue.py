@@ -126,13 +126,13 @@ def config_effective(spark, sf_dir):
 
 
 @query("""SELECT i, '/data/' || CASE i WHEN 0 THEN 'training_data' ELSE 'd' || i END AS training_data_path, CASE WHEN i = 1 THEN '/abs/runs' ELSE '/data/training_data/runs' END AS project_path,
-    CASE WHEN i = 1 THEN '/abs/runs' ELSE '/data/training_data/runs' END || '/run/weights/' || CASE WHEN i = 2 THEN 'best.pt' ELSE 'last.pt' END AS weights_path, '/data/../output' AS output_path FROM range(3) r(i)""")
+    CASE WHEN i = 1 THEN '/abs/runs' ELSE '/data/training_data/runs' END || '/run/weights/' || CASE WHEN i = 2 THEN 'best.pt' ELSE 'last.pt' END AS weights_path, '/data/../output' AS output_path, '/data/' || CASE i WHEN 0 THEN 'training_data' ELSE 'd' || i END || '/yolo11n.pt' AS model_path FROM range(3) r(i)""")
 def config_paths(spark, sf_dir):
     i = F.col("id")
     paths = F.map_concat(F.when(i > 0, F.create_map(F.lit("training_data"), F.concat(F.lit("d"), i.cast("string")))).otherwise(F.create_map().cast("map<string,string>")), F.when(i == 1, F.create_map(F.lit("project"), F.lit("/abs/runs"))).otherwise(F.create_map().cast("map<string,string>")))
     model = F.create_map(F.lit("use_best_weights"), F.when(i == 2, "true").otherwise("false"))
     rows = spark.range(3).select(i.alias("i"), F.create_map(F.lit("paths"), paths, F.lit("model"), model).alias("sections"))
-    return conf.with_paths(conf.resolve(rows), F.lit("/data")).select("i", "training_data_path", "project_path", "weights_path", "output_path")
+    return conf.with_paths(conf.resolve(rows), F.lit("/data")).select("i", "training_data_path", "project_path", "weights_path", "output_path", "model_path")
 
 
 @query(f"SELECT i::VARCHAR AS profile_name, 'device' AS setting, 'tpu' AS value FROM range(20) r(i) WHERE i % 2 = 1 UNION ALL SELECT i::VARCHAR, 'workers', i::VARCHAR FROM range(20) r(i) WHERE i > 16 UNION ALL SELECT i::VARCHAR, 'epochs', (i - 1)::VARCHAR FROM range(20) r(i) WHERE i < 2")
@@ -142,6 +142,37 @@ def config_violations(spark, sf_dir):
     return conf.violations(conf.resolve(spark.range(20).select(i.cast("string").alias("profile_name"), F.create_map(F.lit("training"), training).alias("sections"))))
 
 
+@query(f"""WITH b AS ({_BITS}),
+    d AS (SELECT *, CASE WHEN device = 'mps' AND NOT available THEN 'cpu' ELSE device END AS dev, device = 'mps' AND available AS r1 FROM b),
+    o AS (SELECT *, CASE WHEN cli = 2 THEN 'mps' ELSE dev END AS wanted, CASE WHEN cli = 2 THEN 8 WHEN r1 THEN 0 ELSE workers END AS w FROM d),
+    r AS (SELECT *, wanted = 'mps' AND available AS r2 FROM o)
+    SELECT i, CASE WHEN wanted = 'mps' AND NOT available THEN 'cpu' ELSE wanted END AS device, CASE WHEN r2 THEN 0 ELSE w END AS workers, NOT r1 AND NOT r2 AND half AS half, NOT r1 AND NOT r2 AND pin AS pin_memory FROM r""")
+def config_override_rules(spark, sf_dir):
+    last = F.col("cli") == 2
+    settings = conf.device_rules(conf.resolve(_profiles(spark)), F.col("available"))
+    return conf.override_with_rules(settings, {"DEVICE": F.when(last, "mps"), "workers": F.when(last, 8), "NO_SETTING": F.lit(1)}, F.col("available")).select("i", "device", "workers", "half", "pin_memory")
+
+
+def _parameters_sql() -> str:
+    given = {key: default for _, key, _, default, *_ in conf.REGISTRY}
+    value = lambda v, kind: f"NULL::{kind}" if v is None else f"'{v}'" if kind == "string" else f"{str(v).upper()}::{kind}"
+    own = [f"{value(default, kind)} AS {name}" for _, _, kind, default, name, _ in conf.REGISTRY if name]
+    folder = lambda key: given[key] if given[key].startswith("/") else f"/data/{given[key]}"
+    return f"SELECT '{folder('dataset_yaml')}' AS data, '{folder('project')}' AS project, TRUE AS exist_ok, TRUE AS val, {', '.join(own)}"
+
+
+@query(_parameters_sql())
+def config_training_parameters(spark, sf_dir):
+    rows = spark.range(1).select(F.create_map(F.lit("training"), F.create_map().cast("map<string,string>")).alias("sections"))
+    return conf.training_parameters(conf.with_paths(conf.resolve(rows), F.lit("/data")))
+
+
+@query("SELECT i, CASE WHEN i % 2 = 0 THEN 'available' WHEN i >= 2 THEN 'not built' ELSE 'no device' END AS report FROM range(4) r(i)")
+def config_device_report(spark, sf_dir):
+    i = F.col("id")
+    return spark.range(4).select(i.alias("i"), conf.device_report(i % 2 == 0, i < 2).alias("report"))
+
+
 # runs
 
 
@@ -167,6 +198,46 @@ def missing_required(spark, sf_dir):
     return runs.missing_required(need, read(spark, sf_dir, "region").select(F.col("r_name").alias("path"))).orderBy("ord")
 
 
+@query("SELECT 4::BIGINT AS n_required, count(*) AS n_missing, count(*) = 0 AS passed FROM (VALUES ('ASIA'), ('ATLANTIS'), ('EUROPE'), ('LEMURIA')) r(path) WHERE NOT EXISTS (SELECT 1 FROM region WHERE r_name = path)")
+def missing_required_count(spark, sf_dir):
+    need = spark.createDataFrame(list(enumerate(_NEEDED)), "ord int, path string")
+    return runs.missing_count(need, read(spark, sf_dir, "region").select(F.col("r_name").alias("path")))
+
+
+@query("SELECT n_name AS profile_name, 0 AS ord, '/data/' || n_name AS path, TRUE AS fatal, 'dataset not found: /data/' || n_name AS message FROM nation WHERE n_nationkey % 2 = 1 UNION ALL SELECT n_name, 2, '/data/m', FALSE, 'model not found: /data/m' FROM nation")
+def path_validation(spark, sf_dir):
+    n = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("profile_name"), F.concat(F.lit("/data/"), F.col("n_name")).alias("dataset_path"), F.lit("/data").alias("training_data_path"), F.lit("/data/m").alias("model_path"))
+    existing = n.filter("n_nationkey % 2 = 0").select(F.col("dataset_path").alias("path")).union(spark.createDataFrame([("/data",)], "path string"))
+    return runs.path_problems(n, existing)
+
+
+@query("SELECT c_name AS candidate FROM customer WHERE c_custkey % 2 = 0 AND starts_with(c_name, 'Customer#0000000') UNION ALL SELECT unnest(['run', 'experiment', 'test'])")
+def run_complete(spark, sf_dir):
+    listing = read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 2 == 0).alias("is_dir"))
+    return runs.complete_run(spark, listing, "Customer#0000000").union(runs.complete_run(spark, None, "x"))
+
+
+@query("SELECT unnest(['yolo11n.pt', 'yolo11s.pt', 'yolo11m.pt', 'yolo11l.pt', 'yolo11x.pt']) AS candidate")
+def model_complete(spark, sf_dir):
+    return runs.complete_option(spark, "--model", "yolo11")
+
+
+@query("SELECT page_id AS img, CASE WHEN strlen(html) % 10 = 9 THEN 0 ELSE 1 END::BIGINT AS det_id, 'a' AS cls, 0.9::DOUBLE AS score, 1::BIGINT AS rank FROM pages")
+def det_predict(spark, sf_dir):
+    model = lambda content: [("a", (len(content) % 10) / 10, 0.0, 0.0, 10.0, 10.0), ("a", 0.9, 0.0, 0.0, 10.0, 9.5)]
+    images = read(spark, sf_dir, "pages").select(F.col("page_id").alias("img"), F.encode("html", "UTF-8").alias("content"))
+    return det.predict(images, model, img_type="bigint").select("img", "det_id", "cls", "score", "rank")
+
+
+@query("SELECT source AS value FROM documents")
+def text_sink(spark, sf_dir):
+    from tessera.sources.files import write_text
+
+    path = scratch_path(spark, "text")
+    write_text(read(spark, sf_dir, "documents").select(F.col("source").alias("value")), path)
+    return spark.read.text(path)
+
+
 @query("SELECT r_name AS candidate FROM region WHERE starts_with(r_name, 'A')")
 def prefix_complete(spark, sf_dir):
     return runs.complete_prefix(read(spark, sf_dir, "region").select(F.col("r_name").alias("candidate")), "A")
