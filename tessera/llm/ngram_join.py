@@ -13,8 +13,8 @@
 4. Components of the links.
 
 Defined results: a null or empty text, or one of white space only, has no shingles and is linked with nothing (rows of
-equal empty texts too); fewer words than the width are one shingle; rows that repeat an id count as one document; a
-null id is a component of its own; an empty frame gives an empty frame; extra columns are ignored.
+equal empty texts too); fewer words than the width are one shingle; rows that repeat an id are each a document, in the
+class of its own text; a null id is a component of its own; an empty frame gives an empty frame; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -316,7 +316,8 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tiles = _tiles(brief, bands).groupBy("tile").applyInArrow(lambda t: _passing(t, num, den), "a long, a2 long, b long, b2 long")
     links = links.unionByName(_links(docs, tiles, width, num, den))
     roots = components(links).select(F.col("node").alias("id"), "root")
-    classes = sets.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id"))
+    # a table of its own, so that AQE can split the join's rows of one very frequent set
+    classes = settle(sets.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id")), "classes")
     out = real.join(classes, ["h1", "h2"]).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id")
     rest = rows.filter("n = 0 or id is null").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("class_id"))
     return out.unionByName(rest)
