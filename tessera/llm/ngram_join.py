@@ -4,7 +4,8 @@
 2. Candidates: sizes fall into bands that grow by 1/t. Two sets that link differ in at most d shingles, d set by the
    band; the hash space is cut into more than d parts, so at least one part holds the same shingles in both sets
    (pigeonhole). A part's hash is its signature; a document signs for its own band and for the next, as the smaller
-   one. Signatures travel as packed blocks. Of the documents with a common signature each is paired with the least.
+   one. Signatures travel as packed blocks. Of the documents with a common signature each is paired with the least of its
+   block, and these with the least of all, so that a signature that very many documents hold travels once a block.
    These stars are tested by bit counts of hashed bitmaps, then by intersecting the sorted sets; their links connect
    near copies in time linear in a group's size. Components of the stars bound what else may link.
 3. Tiles: a component with more than one connected part is one tile if it is small; a large one is cut by size band and
@@ -117,24 +118,34 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(f, "id long, n long, h1 long, h2 long, row long")
 
 
+def _to_least(me: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Distinct pairs (2, n) of each entry with the first of its run, where they differ."""
+    least = np.repeat(me[run], np.diff(np.concatenate([run, [len(me)]])))
+    return np.unique(np.stack([me, least])[:, me != least], axis=1)
+
+
 def _candidates(docs: DataFrame, width: int, bands: Bands, blocks: int) -> DataFrame:
-    """Distinct pairs (a, b) of set hashes that share a signature; of those sharing one, each is paired with the least."""
+    """Distinct pairs (a, b) of set hashes that share a signature and connect all that share it: of its holders in a block
+    of signatures each is paired with the least, which alone goes on to meet those of other blocks."""
 
     def sign(batches):
         held: list[tuple[np.ndarray, int]] = []
-        size = 0
+        size, names = 0, ["p", "sig", "me"]
 
         def out():
             sig = np.concatenate([x for x, _ in held])
             me = np.repeat(np.array([h for _, h in held], np.int64), [len(x) for x, _ in held])
             to = (sig % U64(blocks)).astype(np.int32)
-            order = np.lexsort((sig, to))
+            order = np.lexsort((me, sig, to))
             sig, me, to = sig[order], me[order], to[order]
-            new = np.ones(len(sig), bool)  # copies in this batch sign once
-            new[1:] = (sig[1:] != sig[:-1]) | (me[1:] != me[:-1])
-            sig, me, to = sig[new], me[new], to[new]
+            run = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            two = _to_least(me, run)  # the least alone travels on
+            sig, me, to = sig[run], me[run], to[run]
             p, at = np.unique(to, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array([x.tobytes() for x in np.split(sig, at[1:])], pa.binary()), pa.array([x.tobytes() for x in np.split(me, at[1:])], pa.binary())], ["p", "sig", "me"])
+            blocks_of = lambda x: [y.tobytes() for y in np.split(x, at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(blocks_of(sig), pa.binary()), pa.array(blocks_of(me), pa.binary())], names)
+            if two.size:
+                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(two[0, 0]) % blocks], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in two]], names)
 
         for b in batches:
             seen: set[int] = set()
@@ -156,11 +167,12 @@ def _candidates(docs: DataFrame, width: int, bands: Bands, blocks: int) -> DataF
     def meet(t: pa.Table) -> pa.Table:
         sig = np.concatenate([np.frombuffer(x.as_py(), U64) for x in t.column("sig")])
         me = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("me")])
-        order = np.lexsort((me, sig))
-        sig, me = sig[order], me[order]
-        run = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        least = np.repeat(me[run], np.diff(np.concatenate([run, [len(sig)]])))
-        two = np.unique(np.stack([me, least])[:, me != least], axis=1)
+        if t.column("p")[0].as_py() < 0:  # pairs found in a batch
+            two = np.unique(np.stack([sig.view(np.int64), me]), axis=1)
+        else:
+            order = np.lexsort((me, sig))
+            sig, me = sig[order], me[order]
+            two = _to_least(me, np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])))
         return pa.table({"a": two[0], "b": two[1]})
 
     return docs.mapInArrow(sign, "p int, sig binary, me binary").groupBy("p").applyInArrow(meet, "a long, b long").distinct()

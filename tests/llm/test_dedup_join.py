@@ -63,6 +63,16 @@ def test_join_large_component_is_tiled(spark, monkeypatch):
     assert got == brute_classes(rows, 1, 70, 100)
 
 
+def test_join_hot_signatures_meet_block_by_block(spark, monkeypatch):
+    import tessera.llm.ngram_join as j
+
+    monkeypatch.setattr(j, "BLOCK", 200)
+    words = [f"w{x}" for x in range(80)]
+    rows = [(k, " ".join([*words, f"y{k}"] if k % 3 else [*words[:40], *[f"z{k}_{x}" for x in range(5)]])) for k in range(240)]
+    got = sorted(tuple(r) for r in jaccard_classes(frame(spark, rows), width=3, num=80, den=100).collect())
+    assert got == brute_classes(rows, 3, 80, 100)
+
+
 def test_parts_exceed_differences():
     for num in (50, 80, 90):
         b = Bands(num, 100)
