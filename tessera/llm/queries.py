@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, chat, exact_dedup, html_text, mixing, ngram_join, quality, secrets, toxicity, warc
+from tessera.llm import bpe, chat, decontaminate, divergence, exact_dedup, html_text, mixing, ngram_join, quality, secrets, toxicity, vector_codes, warc
 from tessera.session import scratch_path, small_batches
 
 
@@ -61,7 +61,19 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_byte_bpe, op4_mix_sources, op5_warc, op6_ngram_jaccard, op7_quality_rules, op8_toxicity, op9_chat_format, op10_html_text)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_secret_scan, op3_byte_bpe, op4_mix_sources, op5_warc, op6_ngram_jaccard, op7_quality_rules, op8_toxicity, op9_chat_format, op10_html_text, op11_vector_codes, op12_decontaminate, op13_source_divergence)}
 
 #: The sketches as SQL: the same log buckets, merged to three levels.
 _OP7 = """
@@ -87,7 +99,47 @@ _OP7 = """
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce((SELECT bool_and(coalesce(CASE e.m WHEN 0 THEN m0 WHEN 1 THEN m1 ELSE m2 END BETWEEN coalesce(low, -1e300) AND high, TRUE))
         FROM e WHERE e.lang IS NOT DISTINCT FROM v.lang AND e.source IS NOT DISTINCT FROM v.source), TRUE) AS kept FROM v"""
 
+def _op11() -> str:
+    """Four rounds and the last assignment, each with all distances; doubles hold these whole numbers exactly."""
+    w = ["""k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)) AS q
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0)""",
+        "x AS MATERIALIZED (SELECT r, p, list_slice(q, p * (len(q) // 4) + 1, (p + 1) * (len(q) // 4)) AS v FROM k, range(4) t(p))",
+        "b0 AS MATERIALIZED (SELECT p, r AS e, v FROM x WHERE r < 256)"]
+    for i in range(5):
+        w.append(f"""a{i} AS MATERIALIZED (SELECT r, p, arg_min({{'e': e, 'd': d}}, {{'d': d, 'e': e}}) AS a FROM (SELECT x.r, p, b.e, list_dot_product(x.v, x.v) + list_dot_product(b.v, b.v) - 2 * list_dot_product(x.v, b.v) AS d FROM x JOIN b{i} b USING (p)) GROUP BY r, p)""")
+        if i < 4:
+            w.append(f"""m{i} AS (SELECT p, e, list(floor(s / n) ORDER BY j) AS v FROM (SELECT p, a.e AS e, j, sum(x.v[j]) AS s, count(*) AS n FROM a{i} JOIN x USING (r, p), generate_series(1, len(x.v)) t(j) GROUP BY ALL) GROUP BY p, e),
+        b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m USING (p, e))""")
+    return f"""WITH {", ".join(w)},
+        c AS (SELECT r, string_agg(printf('%02x', a.e), '' ORDER BY p) AS code, sum(a.d)::BIGINT AS error FROM a4 GROUP BY r),
+        h AS (SELECT sha256(string_agg(v[j]::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM b4, generate_series(1, len(v)) t(j))
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SQL = {
+    "op11_vector_codes": _op11(),
+    "op12_decontaminate": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS x FROM documents),
+        i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS x FROM benchmark),
+        w AS (SELECT DISTINCT item_id, least(len(x), 10) AS n, array_to_string(list_slice(x, s, s + 9), ' ') AS g FROM i, generate_series(1, greatest(len(x) - 9, 1)) t(s) WHERE len(x) > 0),
+        o AS MATERIALIZED (SELECT DISTINCT r, s, n, g FROM (SELECT r, s, l.n, array_to_string(list_slice(x, s, s + l.n - 1), ' ') AS g FROM d, (SELECT DISTINCT n FROM w) l, generate_series(1, len(x) - l.n + 1) t(s)) SEMI JOIN w USING (n, g)),
+        h AS (SELECT r, count(DISTINCT s + k) AS n_hit FROM o, range(n) t(k) GROUP BY r),
+        a AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM o JOIN w USING (n, g) GROUP BY r)
+        SELECT doc_id, len(x) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN a USING (r)""",
+    "op13_source_divergence": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS x FROM documents),
+        t AS MATERIALIZED (SELECT r, lang, source, unnest(x) AS term FROM d),
+        k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+        g AS MATERIALIZED (SELECT a.lang, a.source, coalesce(sum(c.n), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN c USING (lang, source) GROUP BY ALL),
+        s AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + 1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT // (g.n + 2 * v.v)::HUGEINT AS p, 1 + 1000000000 * (k.n + 2)::HUGEINT // (v.n + 2 * v.v)::HUGEINT AS q
+              FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+        f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM s WHERE n > 0 AND p > q)
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM u QUALIFY part = 'pair' OR rank <= 10""",
     "op4_mix_sources": f"WITH {mixing.oracle('documents', 'doc_id, source, lang')} SELECT doc_id, source, lang, topic, round(p, 6) AS probability, u < p AS kept FROM mixed_documents",
     "op5_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
