@@ -26,8 +26,8 @@ PIECES = 64
 
 
 def ascii_lower(text: Column) -> Column:
-    """A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z only; where a text has no other letters than these, lower() does it byte by byte."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def pieces_between(text: Column, between: str) -> Column:
@@ -36,20 +36,25 @@ def pieces_between(text: Column, between: str) -> Column:
 
 
 def term_counts(docs: DataFrame, between: str = BETWEEN_TERMS) -> DataFrame:
-    """(lang, source, term, n, n_docs) of documents. Each text's terms are sorted and counted as runs before anything is
-    exploded, so that a term travels once a text, and map-side sums leave one row a task and group."""
+    """(lang, source, term, n, n_docs) of documents.
+
+    Each text's terms are sorted and exploded beside their neighbours; only the first and the last of a run of equal terms
+    go on. Counting -place for the first and place + 1 for the last adds up to a run's length, and firsts are documents.
+    """
     null_is_empty = [F.coalesce(docs[c], F.lit("")).alias(c) for c in ("lang", "source")]
     rows = docs.select(*null_is_empty, F.sort_array(pieces_between(F.coalesce(docs["text"], F.lit("")), between)).alias("t"))
-    first = F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
-    rows = rows.filter(F.size("t") > 0).withColumn("at", first)
-    runs = F.transform("at", lambda p, k: F.struct(F.get("t", p).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("t")) - p).cast("long").alias("n")))
-    return rows.select("lang", "source", F.inline(runs)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    beside = F.arrays_zip(F.concat(F.array(F.lit("")), "t").alias("before"), F.col("t").alias("term"), F.slice("t", 2, 1 << 30).alias("after"))
+    each = rows.select("lang", "source", F.posexplode(beside).alias("at", "s")).select("lang", "source", "at", "s.*").filter("term IS NOT NULL")
+    ends = each.withColumns({"first": F.col("before") != F.col("term"), "last": F.col("after").isNull() | (F.col("after") != F.col("term"))}).filter("first OR last")
+    n = F.when(F.col("last"), F.col("at") + 1).otherwise(0) - F.when(F.col("first"), F.col("at")).otherwise(0)
+    return ends.groupBy("lang", "source", "term").agg(F.sum(n.cast("long")).alias("n"), F.sum(F.col("first").cast("long")).alias("n_docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
-    """1 + floor(ONE * (count + 2) / (total + 2 * kept)); decimals, as counts of a large corpus times ONE leave 64 bits."""
+    """1 + floor(ONE * (count + 2) / (total + 2 * kept)); in decimals where counts of a large corpus times ONE leave 64 bits."""
     wide = lambda c: c.cast("decimal(19,0)")
-    return F.call_function("div", wide(count + 2) * F.lit(ONE).cast("decimal(10,0)"), wide(total + 2 * kept)).cast("long") + 1
+    exact = F.call_function("div", wide(count + 2) * F.lit(ONE).cast("decimal(10,0)"), wide(total + 2 * kept)).cast("long")
+    return F.when(count < (1 << 62) // ONE, F.call_function("div", (count + 2) * F.lit(ONE).cast("long"), total + 2 * kept)).otherwise(exact) + 1
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -77,12 +82,13 @@ def audit(docs: DataFrame, least_docs: int = 10, most_terms: int = 10) -> DataFr
     that of a language's sources, squared, as the result asks for.
     """
     counts = settle(term_counts(docs), "term-counts")
-    kept = settle(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("n_docs").alias("d")).filter(F.col("d") >= least_docs).drop("d"), "kept-terms")
-    totals = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
-    groups = docs.select(*[F.coalesce(docs[c], F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
-    used = counts.select("lang", "source", "term", "n").join(kept.select("lang", "term"), ["lang", "term"])
+    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("n_docs").alias("d"))
+    kept = settle(kept.filter(F.col("d") >= least_docs).select("lang", "term", "lang_n"), "kept-terms")
+    used = settle(counts.select("lang", "source", "term", "n").join(kept.select("lang", "term"), ["lang", "term"]), "kept-counts")
     own = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = settle(groups.join(own, ["lang", "source"], "left").join(totals, "lang", "left").fillna(0), "groups")
+    of_lang = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
+    groups = docs.select(*[F.coalesce(docs[c], F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
+    groups = settle(groups.join(own, ["lang", "source"], "left").join(of_lang, "lang", "left").fillna(0), "groups")
 
     dense = _each(groups.filter("v > 0"), kept, "term").join(used, ["lang", "source", "term"], "left")
     n = F.coalesce("n", F.lit(0).cast("long"))
