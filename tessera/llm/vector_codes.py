@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm._common import forget, settle, tidy
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
-#: Vectors that one step of a search holds, and neighbours that it looks at together.
-STEP, NEIGHBOURS = 8192, 32
+#: Vectors that one step of a search holds, and neighbours that it looks at first; each later look takes in twice as many.
+STEP, NEIGHBOURS = 32768, 16
 #: Groups of equal labels up to which their sums are broadcast.
 MOST_BROADCAST = 100_000
 STATE = "vec_id long, label string, q array<long>, prev binary"
@@ -58,68 +58,92 @@ class Book:
         self.far = np.take_along_axis(between, self.order, 1)
 
 
+class Squares:
+    """Squared distances of rows of x to rows of c, exact: products run in floating point where every sum in them is below
+    2 ** 53, else differences in whole numbers."""
+
+    def __init__(self, x: np.ndarray, c: np.ndarray):
+        some = [a for a in (x, c) if a.size]
+        most, width = max((int(np.abs(a).max()) for a in some), default=0), max(x.shape[1], 1)
+        self.floats = 4 * most * most * width < 1 << 53
+        apart = max((int(a.max()) for a in some), default=0) - min((int(a.min()) for a in some), default=0)
+        if not self.floats and apart * apart * width >= 1 << 61:
+            raise ValueError("components are too large for squared distances of 64 bits")
+        self.x, self.c = (a.astype(np.float64) if self.floats else a for a in (x, c))
+        self.xx, self.cc = ((a * a).sum(1) if self.floats else None for a in (self.x, self.c))
+
+    def __call__(self, rows, entries) -> np.ndarray:
+        x, c = self.x[rows], self.c[entries]
+        if self.floats:
+            return self.xx[rows][:, None] + self.cc[entries] - 2 * (x @ c.T)
+        return np.stack([((x - e) ** 2).sum(1) for e in c], axis=1) if len(c) else np.zeros((len(x), 0), np.int64)
+
+
 def squares(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of x to all of c, exact: products run in floating point where every sum in them is
-    below 2 ** 53, else in whole numbers."""
-    most = max((int(np.abs(a).max()) if a.size else 0) for a in (x, c))
-    if 4 * most * most * max(x.shape[1], 1) < 1 << 53:
-        x, c = x.astype(np.float64), c.astype(np.float64)
-        return ((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * (x @ c.T)).astype(np.int64)
-    apart = max((int(a.max()) for a in (x, c) if a.size), default=0) - min((int(a.min()) for a in (x, c) if a.size), default=0)
-    if apart * apart * x.shape[1] >= 1 << 61:
-        raise ValueError("components are too large for squared distances of 64 bits")
-    return np.stack([((x - e) ** 2).sum(1) for e in c], axis=1) if len(c) else np.zeros((len(x), 0), np.int64)
+    return Squares(x, c)(slice(None), slice(None)).astype(np.int64)
 
 
 def exponion(x: np.ndarray, book: Book, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """(nearest entry, squared distance, distances looked at) of every row of x, from an entry for each to start at."""
-    best, least, looked = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), 0
+    between, looked = Squares(x, book.entries), len(x)
+    best, least = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
     by_start = np.argsort(start, kind="stable")
-    cuts = np.flatnonzero(np.diff(start[by_start], prepend=-1))
-    for rows in np.split(by_start, cuts[1:]):  # one turn for each entry that is in use
+    for rows in np.split(by_start, np.flatnonzero(np.diff(start[by_start], prepend=-1))[1:]):  # a turn for each entry in use
         if not len(rows):
             continue
         a = int(start[rows[0]])
-        u = squares(x[rows], book.entries[a : a + 1])[:, 0]
+        u = between(rows, slice(a, a + 1))[:, 0].astype(np.int64)
         reach = np.searchsorted(book.far[a], 4 * u, "right")  # places of the neighbour list within the radius
-        rows, u, reach = (v[np.argsort(-reach, kind="stable")] for v in (rows, u, reach))
-        near, d = np.full(len(rows), a, np.int64), u.copy()
-        looked += len(rows)
-        for at in range(0, int(reach[0]), NEIGHBOURS):
-            n = int(np.searchsorted(-reach, -at, "left"))  # rows whose radius reaches beyond this place
-            among = np.sort(book.order[a, at : min(at + NEIGHBOURS, int(reach[0]))]).astype(np.int64)
-            s = squares(x[rows[:n]], book.entries[among])
-            looked += s.size
+        by_reach = np.argsort(-reach, kind="stable")
+        rows, u, reach = rows[by_reach], u[by_reach], reach[by_reach]
+        near, d, at, step = np.full(len(rows), a, np.int64), u.copy(), 0, NEIGHBOURS
+        while at < reach[0]:
+            n = int(np.searchsorted(-reach, -at, "left"))  # rows whose radius goes beyond this place
+            among = np.sort(book.order[a, at : min(at + step, int(reach[0]))])
+            s = between(rows[:n], among)
             k = s.argmin(1)  # the first of equals, so the lowest index
-            m, i = s[np.arange(n), k], among[k]
+            m, i = s[np.arange(n), k].astype(np.int64), among[k]
             better = (m < d[:n]) | ((m == d[:n]) & (i < near[:n]))
             d[:n], near[:n] = np.where(better, m, d[:n]), np.where(better, i, near[:n])
+            looked, at, step = looked + s.size, at + step, 2 * step
         best[rows], least[rows] = near, d
     return best, least, looked
 
 
+def _steps(batches, size: int):
+    """Arrow batches, put together to some `size` rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _assigned(state: DataFrame, books: list[Book], dims: int, schema: str, final: bool) -> DataFrame:
     """state with its entries after a search from those before (the first entry where there are none yet)."""
     shared = state.sparkSession.sparkContext.broadcast(books)  # len(books) * 256 * (256 * 12 + 8 * components) bytes at most
     parts, width = len(books), dims // len(books)
 
     def f(batches):
-        for whole in batches:
-            for i in range(0, whole.num_rows, STEP):
-                b = whole.slice(i, STEP)
-                q, prev = _matrix(b.column("q"), dims), b.column("prev")
-                start = np.zeros((b.num_rows, parts), np.int64) if prev.null_count else np.frombuffer(b"".join(prev.to_pylist()), np.uint8).reshape(-1, parts).astype(np.int64)
-                error, code = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, parts), np.uint8)
-                for p, book in enumerate(shared.value):
-                    code[:, p], d, _ = exponion(q[:, p * width : (p + 1) * width], book, start[:, p])
-                    error += d
-                if final:
-                    hexed = code.tobytes().hex()
-                    code = pa.array([hexed[j : j + 2 * parts] for j in range(0, len(hexed), 2 * parts)], pa.string())
-                    yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), code, pa.array(error)], ["vec_id", "label", "code", "error"])
-                else:
-                    code = pa.array([r.tobytes() for r in code], pa.binary())
-                    yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), b.column("q"), code], ["vec_id", "label", "q", "prev"])
+        for b in _steps(batches, STEP):
+            q, prev = _matrix(b.column("q"), dims), b.column("prev")
+            start = np.zeros((b.num_rows, parts), np.int64) if prev.null_count else np.frombuffer(b"".join(prev.to_pylist()), np.uint8).reshape(-1, parts).astype(np.int64)
+            error, code = np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, parts), np.uint8)
+            for p, book in enumerate(shared.value):
+                code[:, p], d, _ = exponion(q[:, p * width : (p + 1) * width], book, start[:, p])
+                error += d
+            if final:
+                hexed = code.tobytes().hex()
+                code = pa.array([hexed[j : j + 2 * parts] for j in range(0, len(hexed), 2 * parts)], pa.string())
+                out = pa.table([b.column("vec_id"), b.column("label"), code, pa.array(error)], ["vec_id", "label", "code", "error"])
+            else:
+                code = pa.array([r.tobytes() for r in code], pa.binary())
+                out = pa.table([b.column("vec_id"), b.column("label"), b.column("q"), code], ["vec_id", "label", "q", "prev"])
+            yield from out.to_batches()
         tidy()
 
     return state.mapInArrow(f, schema)
@@ -134,7 +158,7 @@ def _means(state: DataFrame, books: list[Book], dims: int) -> list[Book]:
 
     def f(batches):
         total, n = np.zeros((parts, ENTRIES, width), np.int64), np.zeros((parts, ENTRIES), np.int64)
-        for b in batches:
+        for b in _steps(batches, STEP):
             q, code = _matrix(b.column("q"), dims), np.frombuffer(b"".join(b.column("prev").to_pylist()), np.uint8).reshape(-1, parts)
             for p in range(parts):
                 order = np.argsort(code[:, p], kind="stable")
