@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions.paths import falsy_or, join_path, pad_right, present_or
-from tessera.operators import configuration as conf, detections as det, documents, runs
+from tessera.operators import configuration as conf, detections as det, documents, runs, spatial
 from tessera.session import scratch_path
 from tessera.streaming import jobs
 
@@ -324,6 +324,30 @@ def det_nms_agnostic(spark, sf_dir):
     return det.suppress(det.above(boxes(spark, sf_dir)), 0.3, agnostic=True).select("img", "det_id", "cls")
 
 
+@query(SQL["det_iou_pairs"])
+def det_pairs_by_space(spark, sf_dir):
+    return spatial.overlapping_by_space(boxes(spark, sf_dir), 0.3).withColumn("iou", F.round("iou", 6))
+
+
+@query(_nms_sql("img, cls"))
+def det_nms_by_rounds(spark, sf_dir):
+    return spatial.suppress_by_rounds(det.above(boxes(spark, sf_dir)), 0.3).select("img", "det_id", "cls")
+
+
+def crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as the boxes of one image."""
+    d = read(spark, sf_dir, "lineitem")
+    x, y, side = (F.col("l_partkey") % 1009).cast("double"), (F.col("l_extendedprice") % 997).cast("double"), F.col("l_quantity") / 2 + 1
+    columns = [F.lit(0).cast("bigint").alias("img"), F.xxhash64(*d.columns).alias("det_id"), F.col("l_returnflag").alias("cls"), (F.col("l_discount") * 10).alias("score")]
+    return d.select(*columns, x.alias("x1"), y.alias("y1"), (x + side).alias("x2"), (y + side).alias("y2"))
+
+
+@query("")
+def det_nms_crowd(spark, sf_dir):
+    """No SQL: one image of all boxes; tests hold it against a plain loop."""
+    return spatial.suppress_by_rounds(crowd(spark, sf_dir), 0.3).select("img", "det_id", "cls")
+
+
 @query("SELECT s_suppkey, CASE WHEN starts_with(s_name, '/') THEN s_name ELSE '/data/' || s_name END AS path, rpad(n_name, greatest(length(n_name), 20)::INT, ' ') AS padded, CASE WHEN s_acctbal = 0 THEN 0.7::DOUBLE ELSE s_acctbal END AS overlap FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def path_functions(spark, sf_dir):
     s, n = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")

@@ -59,6 +59,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def settled(df, name: str):
+    """A frame as a table in the shared folder: lineage ends there, and lost executors cost what they were working on."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> SparkSession:
     """Let Arrow batches hold at most so many rows and bytes: rows here are whole texts, and the buffers of a batch stay
     allocated in the executor's JVM. Smaller settings of the session stay."""

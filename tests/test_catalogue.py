@@ -20,7 +20,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(catalogue.SQL))
 def test_query_equals_sql(spark, duck, name):
     got, want = catalogue.QUERIES[name](spark, DIR), duck.sql(catalogue.SQL[name])
     types = {n: TYPES.get(str(t), str(t)) for n, t in zip(want.columns, want.types)}
