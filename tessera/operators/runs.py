@@ -86,6 +86,16 @@ def complete_option(spark, previous: str, current: str) -> DataFrame:
     return complete_prefix(spark.createDataFrame([(x,) for x in rows], "candidate string"), current)
 
 
+def complete_typed(typed: DataFrame, previous: str = "previous", column: str = "typed") -> DataFrame:
+    """complete_option() of every row: typed with `candidate`, a row for each that fits. What can follow is a literal of a
+    few words for each option, filtered in place, so nothing is joined. A null `typed` has no candidate."""
+    words = lambda rows: F.array(*[F.lit(x) for x in rows])
+    follow = words(SWITCHES)
+    for option, rows in CANDIDATES.items():
+        follow = F.when(F.col(previous) == option, words(rows)).otherwise(follow)
+    return typed.withColumn("candidate", F.explode(F.filter(follow, lambda x: F.startswith(x, F.col(column)))))
+
+
 def periodic(epochs: DataFrame, every: int, column: str = "epoch") -> DataFrame:
     """Epochs at which the periodic hook acts, 0 among them. A period of 0 is an error."""
     if every == 0:

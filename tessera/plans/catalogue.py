@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tessera.functions.paths import falsy_or, join_path, pad_right, present_or
 from tessera.operators import configuration as conf, detections as det, documents, runs, spatial
 from tessera.session import scratch_path
-from tessera.streaming import jobs
+from tessera.sources import growing
+from tessera.streaming import epochs, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,22 +97,22 @@ def config_overlay(spark, sf_dir):
     return conf.overlay(base, spark.createDataFrame([(1, "changed"), (2, None), (-5, "unknown")], "key bigint, value string"))
 
 
-_BITS = "SELECT i, CASE WHEN i % 2 = 0 THEN 'mps' ELSE 'cpu' END AS device, i // 2 % 2 = 0 AS available, (i // 4 % 2) * 4 AS workers, i // 8 % 2 = 0 AS half, i // 16 % 2 = 0 AS pin, i // 32 % 2 = 0 AS preset, i // 64 % 3 AS cli, i // 192 % 2 = 0 AS fallback FROM range(384) r(i)"
+_BITS = "SELECT i, CASE WHEN i % 2 = 0 THEN 'mps' ELSE 'cpu' END AS device, i // 2 % 2 = 0 AS available, (i // 4 % 2) * 4 AS workers, i // 8 % 2 = 0 AS half, i // 16 % 2 = 0 AS pin, i // 32 % 2 = 0 AS preset, i // 64 % 3 AS cli, i // 192 % 2 = 0 AS fallback FROM (SELECT event_id AS i FROM events)"
 
 
-def _profiles(spark) -> DataFrame:
-    """Profiles of every combination of what the rules look at."""
-    bit = lambda n, m=2: F.floor(F.col("id") / n) % m
+def _profiles(spark, sf_dir) -> DataFrame:
+    """A profile for each event; their numbers run through every combination of what the rules look at."""
+    bit = lambda n, m=2: F.floor(F.col("event_id") / n) % m
     text = lambda c: c.cast("string")
     section = lambda **k: F.create_map(*[x for key, v in k.items() for x in (F.lit(key), text(v))])
     sections = F.create_map(F.lit("training"), section(device=F.when(bit(1) == 0, "mps").otherwise("cpu"), workers=bit(4) * 4, half=bit(8) == 0), F.lit("mps"), section(pin_memory=bit(16) == 0, use_cpu_fallback=bit(192) == 0))
-    return spark.range(384).select(F.col("id").alias("i"), F.col("id").cast("string").alias("profile_name"), sections.alias("sections"), (bit(2) == 0).alias("available"), (bit(32) == 0).alias("preset"), bit(64, 3).alias("cli"))
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.col("event_id").cast("string").alias("profile_name"), sections.alias("sections"), (bit(2) == 0).alias("available"), (bit(32) == 0).alias("preset"), bit(64, 3).alias("cli"))
 
 
 @query(f"""SELECT i, CASE WHEN device = 'mps' AND NOT available THEN 'cpu' ELSE device END AS device, CASE WHEN device = 'mps' AND available AND workers > 0 THEN 0 ELSE workers END AS workers,
     CASE WHEN device = 'mps' AND available THEN FALSE ELSE half END AS half, CASE WHEN device = 'mps' AND available THEN FALSE ELSE pin END AS pin_memory, CASE WHEN device = 'mps' AND available THEN CASE WHEN fallback THEN '1' ELSE '0' END END AS fallback_flag FROM ({_BITS})""")
 def device_rules(spark, sf_dir):
-    return conf.device_rules(conf.resolve(_profiles(spark)), F.col("available")).select("i", "device", "workers", "half", "pin_memory", "fallback_flag")
+    return conf.device_rules(conf.resolve(_profiles(spark, sf_dir)), F.col("available")).select("i", "device", "workers", "half", "pin_memory", "fallback_flag")
 
 
 @query(f"""WITH b AS ({_BITS}),
@@ -122,24 +123,24 @@ def device_rules(spark, sf_dir):
 def config_effective(spark, sf_dir):
     last = F.col("cli") == 2
     cli = {"device": F.when(F.col("cli") == 1, "auto").when(last, "mps"), "workers": F.when(last, 8), "epochs": F.when(last, 7), "amp": F.when(last, True)}
-    return conf.effective(_profiles(spark), cli, F.col("available"), preset=F.col("preset")).select("i", "device", "workers", "half", "pin_memory", "batch_size", "amp", "epochs", "architecture")
+    return conf.effective(_profiles(spark, sf_dir), cli, F.col("available"), preset=F.col("preset")).select("i", "device", "workers", "half", "pin_memory", "batch_size", "amp", "epochs", "architecture")
 
 
-@query("""SELECT i, '/data/' || CASE i WHEN 0 THEN 'training_data' ELSE 'd' || i END AS training_data_path, CASE WHEN i = 1 THEN '/abs/runs' ELSE '/data/training_data/runs' END AS project_path,
-    CASE WHEN i = 1 THEN '/abs/runs' ELSE '/data/training_data/runs' END || '/run/weights/' || CASE WHEN i = 2 THEN 'best.pt' ELSE 'last.pt' END AS weights_path, '/data/../output' AS output_path, '/data/' || CASE i WHEN 0 THEN 'training_data' ELSE 'd' || i END || '/yolo11n.pt' AS model_path FROM range(3) r(i)""")
+@query("""SELECT s_suppkey AS i, '/data/' || CASE k WHEN 0 THEN 'training_data' ELSE s_name END AS training_data_path, CASE WHEN k = 1 THEN '/abs/runs' ELSE '/data/training_data/runs' END AS project_path,
+    CASE WHEN k = 1 THEN '/abs/runs' ELSE '/data/training_data/runs' END || '/run/weights/' || CASE WHEN k = 2 THEN 'best.pt' ELSE 'last.pt' END AS weights_path, '/data/../output' AS output_path, '/data/' || CASE k WHEN 0 THEN 'training_data' ELSE s_name END || '/yolo11n.pt' AS model_path FROM (SELECT *, s_suppkey % 3 AS k FROM supplier)""")
 def config_paths(spark, sf_dir):
-    i = F.col("id")
-    paths = F.map_concat(F.when(i > 0, F.create_map(F.lit("training_data"), F.concat(F.lit("d"), i.cast("string")))).otherwise(F.create_map().cast("map<string,string>")), F.when(i == 1, F.create_map(F.lit("project"), F.lit("/abs/runs"))).otherwise(F.create_map().cast("map<string,string>")))
+    i = F.col("s_suppkey") % 3
+    paths = F.map_concat(F.when(i > 0, F.create_map(F.lit("training_data"), F.col("s_name"))).otherwise(F.create_map().cast("map<string,string>")), F.when(i == 1, F.create_map(F.lit("project"), F.lit("/abs/runs"))).otherwise(F.create_map().cast("map<string,string>")))
     model = F.create_map(F.lit("use_best_weights"), F.when(i == 2, "true").otherwise("false"))
-    rows = spark.range(3).select(i.alias("i"), F.create_map(F.lit("paths"), paths, F.lit("model"), model).alias("sections"))
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.create_map(F.lit("paths"), paths, F.lit("model"), model).alias("sections"))
     return conf.with_paths(conf.resolve(rows), F.lit("/data")).select("i", "training_data_path", "project_path", "weights_path", "output_path", "model_path")
 
 
-@query(f"SELECT i::VARCHAR AS profile_name, 'device' AS setting, 'tpu' AS value FROM range(20) r(i) WHERE i % 2 = 1 UNION ALL SELECT i::VARCHAR, 'workers', i::VARCHAR FROM range(20) r(i) WHERE i > 16 UNION ALL SELECT i::VARCHAR, 'epochs', (i - 1)::VARCHAR FROM range(20) r(i) WHERE i < 2")
+@query(f"SELECT i::VARCHAR AS profile_name, 'device' AS setting, 'tpu' AS value FROM (SELECT event_id AS i FROM events) WHERE i % 2 = 1 UNION ALL SELECT event_id::VARCHAR, 'workers', (event_id % 20)::VARCHAR FROM events WHERE event_id % 20 > 16 UNION ALL SELECT event_id::VARCHAR, 'epochs', (event_id % 20 - 1)::VARCHAR FROM events WHERE event_id % 20 < 2")
 def config_violations(spark, sf_dir):
-    i = F.col("id")
-    training = F.create_map(F.lit("device"), F.when(i % 2 == 1, "tpu").otherwise("cpu"), F.lit("workers"), i.cast("string"), F.lit("epochs"), (i - 1).cast("string"))
-    return conf.violations(conf.resolve(spark.range(20).select(i.cast("string").alias("profile_name"), F.create_map(F.lit("training"), training).alias("sections"))))
+    i = F.col("event_id")
+    training = F.create_map(F.lit("device"), F.when(i % 2 == 1, "tpu").otherwise("cpu"), F.lit("workers"), (i % 20).cast("string"), F.lit("epochs"), (i % 20 - 1).cast("string"))
+    return conf.violations(conf.resolve(read(spark, sf_dir, "events").select(i.cast("string").alias("profile_name"), F.create_map(F.lit("training"), training).alias("sections"))))
 
 
 @query(f"""WITH b AS ({_BITS}),
@@ -149,7 +150,7 @@ def config_violations(spark, sf_dir):
     SELECT i, CASE WHEN wanted = 'mps' AND NOT available THEN 'cpu' ELSE wanted END AS device, CASE WHEN r2 THEN 0 ELSE w END AS workers, NOT r1 AND NOT r2 AND half AS half, NOT r1 AND NOT r2 AND pin AS pin_memory FROM r""")
 def config_override_rules(spark, sf_dir):
     last = F.col("cli") == 2
-    settings = conf.device_rules(conf.resolve(_profiles(spark)), F.col("available"))
+    settings = conf.device_rules(conf.resolve(_profiles(spark, sf_dir)), F.col("available"))
     return conf.override_with_rules(settings, {"DEVICE": F.when(last, "mps"), "workers": F.when(last, 8), "NO_SETTING": F.lit(1)}, F.col("available")).select("i", "device", "workers", "half", "pin_memory")
 
 
@@ -158,19 +159,21 @@ def _parameters_sql() -> str:
     value = lambda v, kind: f"NULL::{kind}" if v is None else f"'{v}'" if kind == "string" else f"{str(v).upper()}::{kind}"
     own = [f"{value(default, kind)} AS {name}" for _, _, kind, default, name, _ in conf.REGISTRY if name]
     folder = lambda key: given[key] if given[key].startswith("/") else f"/data/{given[key]}"
-    return f"SELECT '{folder('dataset_yaml')}' AS data, '{folder('project')}' AS project, TRUE AS exist_ok, TRUE AS val, {', '.join(own)}"
+    own = ["n_name AS name" if x.endswith(" AS name") else "n_nationkey::BIGINT AS epochs" if x.endswith(" AS epochs") else x for x in own]
+    return f"SELECT '{folder('dataset_yaml')}' AS data, '{folder('project')}' AS project, TRUE AS exist_ok, TRUE AS val, {', '.join(own)} FROM nation"
 
 
 @query(_parameters_sql())
 def config_training_parameters(spark, sf_dir):
-    rows = spark.range(1).select(F.create_map(F.lit("training"), F.create_map().cast("map<string,string>")).alias("sections"))
+    given = F.create_map(F.lit("run_name"), F.col("n_name"), F.lit("epochs"), F.col("n_nationkey").cast("string"))
+    rows = read(spark, sf_dir, "nation").select(F.create_map(F.lit("training"), given).alias("sections"))
     return conf.training_parameters(conf.with_paths(conf.resolve(rows), F.lit("/data")))
 
 
-@query("SELECT i, CASE WHEN i % 2 = 0 THEN 'available' WHEN i >= 2 THEN 'not built' ELSE 'no device' END AS report FROM range(4) r(i)")
+@query("SELECT event_id AS i, CASE WHEN event_id % 2 = 0 THEN 'available' WHEN event_id % 4 >= 2 THEN 'not built' ELSE 'no device' END AS report FROM events")
 def config_device_report(spark, sf_dir):
-    i = F.col("id")
-    return spark.range(4).select(i.alias("i"), conf.device_report(i % 2 == 0, i < 2).alias("report"))
+    i = F.col("event_id")
+    return read(spark, sf_dir, "events").select(i.alias("i"), conf.device_report(i % 2 == 0, i % 4 < 2).alias("report"))
 
 
 # runs
@@ -217,9 +220,19 @@ def run_complete(spark, sf_dir):
     return runs.complete_run(spark, listing, "Customer#0000000").union(runs.complete_run(spark, None, "x"))
 
 
-@query("SELECT unnest(['yolo11n.pt', 'yolo11s.pt', 'yolo11m.pt', 'yolo11l.pt', 'yolo11x.pt']) AS candidate")
+_TYPED = "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '--model' ELSE '--device' END AS previous, CASE WHEN event_id % 2 = 0 THEN substr('yolo11nx', 1, event_id % 7 + 2) ELSE substr('cpu', 1, event_id % 4) END AS typed FROM events"
+
+
+def _typed(spark, sf_dir) -> DataFrame:
+    """What was typed after which option, by event."""
+    e, even = F.col("event_id"), F.col("event_id") % 2 == 0
+    text = F.when(even, F.substring(F.lit("yolo11nx"), F.lit(1), (e % 7 + 2).cast("int"))).otherwise(F.substring(F.lit("cpu"), F.lit(1), (e % 4).cast("int")))
+    return read(spark, sf_dir, "events").select("event_id", F.when(even, "--model").otherwise("--device").alias("previous"), text.alias("typed"))
+
+
+@query(f"SELECT event_id, c AS candidate FROM ({_TYPED}), (SELECT unnest(['yolo11n.pt', 'yolo11s.pt', 'yolo11m.pt', 'yolo11l.pt', 'yolo11x.pt']) AS c) WHERE previous = '--model' AND starts_with(c, typed)")
 def model_complete(spark, sf_dir):
-    return runs.complete_option(spark, "--model", "yolo11")
+    return runs.complete_typed(_typed(spark, sf_dir).filter("previous = '--model'")).select("event_id", "candidate")
 
 
 @query("SELECT page_id AS img, CASE WHEN strlen(html) % 10 = 9 THEN 0 ELSE 1 END::BIGINT AS det_id, 'a' AS cls, 0.9::DOUBLE AS score, 1::BIGINT AS rank FROM pages")
@@ -248,9 +261,31 @@ def config_complete(spark, sf_dir):
     return runs.complete_config(read(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(".yaml")).alias("name")), "config/Supplier#00000000")
 
 
-@query("SELECT unnest(['auto', 'cpu', 'mps', 'cuda']) AS candidate UNION ALL SELECT unnest(['--amp', '--no-amp', '--no-resume']) AS candidate ORDER BY 1")
+@query(f"SELECT event_id, c AS candidate FROM ({_TYPED}) JOIN (SELECT '--device' AS o, unnest(['auto', 'cpu', 'mps', 'cuda']) AS c UNION ALL SELECT '--model', unnest(['yolo11n.pt', 'yolo11s.pt', 'yolo11m.pt', 'yolo11l.pt', 'yolo11x.pt'])) ON o = previous AND starts_with(c, typed)")
 def option_complete(spark, sf_dir):
-    return runs.complete_option(spark, "--device", "").union(runs.complete_option(spark, "train", "--amp")).union(runs.complete_option(spark, "train", "--no-")).orderBy("candidate")
+    return runs.complete_typed(_typed(spark, sf_dir)).select("event_id", "candidate")
+
+
+def _in_two_runs(spark, sf_dir, transform) -> DataFrame:
+    """What a stream over events gives that is stopped after the first half has come in, and started again for the rest."""
+    folder, events = scratch_path(spark, "growing"), read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    half = (events.agg(F.max("event_id")).first()[0] or 0) // 2
+    for part in (events.filter(F.col("event_id") <= half), events.filter(F.col("event_id") > half)):
+        part.repartitionByRange(4, "event_id").write.mode("append").parquet(f"{folder}/in")
+        rows = growing.read_growing(spark, f"{folder}/in", "event_id", events.schema)
+        transform(rows).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def stream_growing_events(spark, sf_dir):
+    return _in_two_runs(spark, sf_dir, lambda rows: rows)
+
+
+@query("SELECT user_id, event_id, epoch FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS epoch FROM events) WHERE epoch % 10 = 0")
+def stream_epoch_hook(spark, sf_dir):
+    with epochs.rocks(spark):
+        return _in_two_runs(spark, sf_dir, lambda rows: epochs.every_nth(rows, "user_id", "event_id", 10))
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id % 10 = 0")
