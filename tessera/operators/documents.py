@@ -44,9 +44,14 @@ def markdown_sql(html: str) -> str:
     out = html
     for pattern, text in MARKDOWN:
         out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(text)}, 'g')"
+    return f"trim({unescaped_sql(out)}, ' ' || chr(10))"
+
+
+def unescaped_sql(text: str) -> str:
+    """A DuckDB expression with ENTITIES as characters."""
     for name, char in ENTITIES:
-        out = f"replace({out}, {quoted(name)}, {quoted(char)})"
-    return f"trim({out}, ' ' || chr(10))"
+        text = "replace({}, '{}', '{}')".format(text, name, char.replace("'", "''"))
+    return text
 
 
 def as_dict(df: DataFrame, columns: list[str], name: str = "document") -> DataFrame:

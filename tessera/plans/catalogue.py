@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions.paths import falsy_or, join_path, pad_right, present_or
-from tessera.operators import configuration as conf, detections as det, documents, runs, spatial
+from tessera.operators import configuration as conf, detections as det, documents, runs, spatial, structure
 from tessera.session import scratch_path
 from tessera.sources import growing
 from tessera.streaming import epochs, jobs
@@ -76,6 +76,36 @@ def split_select(spark, sf_dir):
     return with_split(d).select("doc_id", "split", "path")
 
 
+_BLOCK_SQL = f"""
+    c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style|noscript|template)[^>]*>.*?</(script|style|noscript|template)>', '', 'g'), '(?is)<head( [^>]*)?>.*?</head>', '', 'g') AS h FROM pages),
+    x AS (SELECT page_id, regexp_extract_all(h, '<[^>]*>|[^<]+') AS x FROM c),
+    t AS (SELECT page_id, i, x[i] AS piece, lower(regexp_extract(x[i], '^</?([A-Za-z][A-Za-z0-9]*)', 1)) AS tag, starts_with(x[i], '</') AS closes FROM x, generate_series(1, len(x)) r(i)),
+    n AS (SELECT *, tag IN ({", ".join(f"'{b}'" for b in sorted(structure.BLOCKS))}) AS is_block FROM t),
+    b AS (SELECT *, sum(is_block::INT) OVER (PARTITION BY page_id ORDER BY i) AS part FROM n),
+    g AS (SELECT page_id, part, max(CASE WHEN is_block AND NOT closes THEN tag END) AS tag, string_agg(CASE WHEN tag = 'br' THEN ' ' WHEN starts_with(piece, '<') THEN '' ELSE piece END, '' ORDER BY i) AS text FROM b GROUP BY ALL),
+    e AS (SELECT page_id, part, tag, trim(regexp_replace({{0}}, '[ \\t\\r\\n\\x{{{{A0}}}}]+', ' ', 'g'), ' ') AS text FROM g),
+    k AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY part) - 1 AS block, tag, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN substr(tag, 2)::INT ELSE 0 END AS level, text FROM e WHERE text <> '')"""
+_BLOCK_SQL = _BLOCK_SQL.format(documents.unescaped_sql("text"))
+
+
+@query(f"""WITH {_BLOCK_SQL},
+    l AS (SELECT *, {", ".join(f"max(CASE WHEN level = {n} THEN block END) OVER w AS n{n}" for n in range(1, 7))} FROM k WINDOW w AS (PARTITION BY page_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    u AS (SELECT page_id, block, n FROM (SELECT page_id, block, unnest([{", ".join(f"CASE WHEN (level = 0 OR level > {n}) AND n{n} > greatest({', '.join(['-1'] + [f'coalesce(n{m}, -1)' for m in range(1, n)])}) THEN n{n} END" for n in range(1, 7))}]) AS n FROM l) WHERE n IS NOT NULL),
+    p AS (SELECT u.page_id, u.block, string_agg(h.text, ' / ' ORDER BY h.block) AS path FROM u JOIN k h ON h.page_id = u.page_id AND h.block = u.n GROUP BY ALL)
+    SELECT page_id, block, tag, level, coalesce(path, '') AS heading_path, text FROM k LEFT JOIN p USING (page_id, block)""")
+def page_heading_paths(spark, sf_dir):
+    rows = structure.block_rows(read(spark, sf_dir, "pages").select("page_id", "html"))
+    return rows.select("page_id", "block", "tag", "level", F.array_join("path", " / ").alias("heading_path"), "text")
+
+
+@query(f"""WITH {_BLOCK_SQL}, f AS (SELECT page_id, min(block) AS block FROM k WHERE level > 0 GROUP BY page_id)
+    SELECT pages.page_id, a.text AS first_heading, a.level::BIGINT AS heading_level, b.text AS first_text FROM pages LEFT JOIN f USING (page_id) LEFT JOIN k a ON a.page_id = f.page_id AND a.block = f.block LEFT JOIN k b ON b.page_id = f.page_id AND b.block = f.block + 1 AND b.level = 0""")
+def page_tree(spark, sf_dir):
+    t = structure.structured(read(spark, sf_dir, "pages").select("page_id", "html"))
+    at = lambda path, kind, name: F.try_variant_get("tree", path, kind).alias(name)
+    return t.select("page_id", at("$.children[0].title", "string", "first_heading"), at("$.children[0].level", "bigint", "heading_level"), at("$.children[0].blocks[0].text", "string", "first_text"))
+
+
 # configuration
 
 _PROPS = "SELECT event_id, props FROM events UNION ALL VALUES (-1, '{\"k\": null}'), (-2, '{}'), (-3, '{\"k\": \"\"}')"
