@@ -146,6 +146,18 @@ def overlay(base: DataFrame, changes: DataFrame, key: str = "key", value: str =
     return base.join(c, key, "left").withColumn(value, F.coalesce("__changed", value)).drop("__changed")
 
 
+def overlay_layers(rows: DataFrame, null_wins: Column, key: str = "key", layer: str = "layer", order: str = "order", value: str = "value") -> DataFrame:
+    """(key, layer, value) in force of any number of layers in one aggregation: the highest layer that gives the key, and
+    in it the row with the highest order. Setting names are upper-cased, so `Epochs` and `EPOCHS` are one.
+
+    A row counts as given if its value isn't null, or if null_wins (true for files, where a key that is present with null
+    stays null, false for the command line, where null means not given). A key that nothing gives is left out.
+    """
+    given = F.col(value).isNotNull() | null_wins
+    best = F.max(F.struct(F.col(layer).alias("layer"), F.col(order).alias("order"), F.col(value).alias("value")))
+    return rows.filter(given).groupBy(F.upper(key).alias("key")).agg(best.alias("b")).select("key", "b.layer", "b.value")
+
+
 def effective(profiles: DataFrame, cli: dict[str, Column] | None = None, available: Column | None = None, cuda: Column | None = None, preset: Column | None = None, faithful_amp: bool = True) -> DataFrame:
     """All layers in order: default < profile < device rules < preset < command line. The rules aren't run again.
 

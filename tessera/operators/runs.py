@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions.paths import digits_after, last_part, pad_right
 
@@ -96,6 +96,23 @@ def complete_typed(typed: DataFrame, previous: str = "previous", column: str = "
     return typed.withColumn("candidate", F.explode(F.filter(follow, lambda x: F.startswith(x, F.col(column)))))
 
 
+def complete_many(typed: DataFrame, candidates: DataFrame, most: int, column: str = "typed", candidate: str = "candidate") -> DataFrame:
+    """(typed, rank, candidate): the first `most` distinct candidates, in UTF-8 order, of each distinct prefix that was typed.
+
+    Candidates are entered under each of their beginnings of a length that was typed, and meet what was typed by equality.
+    Of a beginning that very many share each task sends `most` rows. Nulls have no candidates; an empty prefix has the first
+    of all.
+    """
+    wanted = typed.select(F.col(column).alias("typed")).dropna().distinct()
+    words = candidates.select(F.col(candidate).alias("candidate")).dropna().distinct()
+    longest = wanted.agg(F.max(F.length("typed"))).first()[0]
+    beginnings = F.sequence(F.lit(0), F.least(F.length("candidate"), F.lit(-1 if longest is None else longest)))
+    entered = words.filter(F.lit(longest is not None)).select("candidate", F.explode(beginnings).alias("n")).select(F.left("candidate", "n").alias("typed"), "candidate")
+    first = Window.partitionBy("typed").orderBy("candidate")
+    best = entered.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most)
+    return best.join(wanted, "typed", "left_semi").select("typed", F.col("rank").cast("bigint").alias("rank"), "candidate")
+
+
 def periodic(epochs: DataFrame, every: int, column: str = "epoch") -> DataFrame:
     """Epochs at which the periodic hook acts, 0 among them. A period of 0 is an error."""
     if every == 0:

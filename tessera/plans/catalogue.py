@@ -88,6 +88,12 @@ _BLOCK_SQL = f"""
 _BLOCK_SQL = _BLOCK_SQL.format(documents.unescaped_sql("text"))
 
 
+@query("")
+def page_structured_markdown(spark, sf_dir):
+    """No SQL; tests hold it against made pages whose markdown is known."""
+    return structure.structured(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "markdown", F.length("markdown").cast("bigint").alias("n_chars"))
+
+
 @query(f"""WITH {_BLOCK_SQL},
     l AS (SELECT *, {", ".join(f"max(CASE WHEN level = {n} THEN block END) OVER w AS n{n}" for n in range(1, 7))} FROM k WINDOW w AS (PARTITION BY page_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     u AS (SELECT page_id, block, n FROM (SELECT page_id, block, unnest([{", ".join(f"CASE WHEN (level = 0 OR level > {n}) AND n{n} > greatest({', '.join(['-1'] + [f'coalesce(n{m}, -1)' for m in range(1, n)])}) THEN n{n} END" for n in range(1, 7))}]) AS n FROM l) WHERE n IS NOT NULL),
@@ -127,6 +133,15 @@ def config_overlay(spark, sf_dir):
     return conf.overlay(base, spark.createDataFrame([(1, "changed"), (2, None), (-5, "unknown")], "key bigint, value string"))
 
 
+@query("""WITH r AS (SELECT 'user_' || user_id AS key, event_id % 4 AS layer, event_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS value FROM events)
+    SELECT upper(key) AS key, layer, value FROM r WHERE value IS NOT NULL OR layer < 3 QUALIFY row_number() OVER (PARTITION BY upper(key) ORDER BY layer DESC, event_id DESC) = 1""")
+def config_layers(spark, sf_dir):
+    """Three layers of files and one of the command line for each user."""
+    e = F.col("event_id")
+    rows = read(spark, sf_dir, "events").select(F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("key"), (e % 4).alias("layer"), e.alias("order"), F.when(e % 5 > 0, F.col("event_type")).alias("value"))
+    return conf.overlay_layers(rows, F.col("layer") < 3)
+
+
 _BITS = "SELECT i, CASE WHEN i % 2 = 0 THEN 'mps' ELSE 'cpu' END AS device, i // 2 % 2 = 0 AS available, (i // 4 % 2) * 4 AS workers, i // 8 % 2 = 0 AS half, i // 16 % 2 = 0 AS pin, i // 32 % 2 = 0 AS preset, i // 64 % 3 AS cli, i // 192 % 2 = 0 AS fallback FROM (SELECT event_id AS i FROM events)"
 
 
@@ -139,6 +154,15 @@ def _profiles(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.col("event_id").cast("string").alias("profile_name"), sections.alias("sections"), (bit(2) == 0).alias("available"), (bit(32) == 0).alias("preset"), bit(64, 3).alias("cli"))
 
 
+@query(f"""SELECT i::VARCHAR AS profile_name, CASE WHEN device = 'mps' AND NOT available THEN 'cpu' ELSE device END AS device, CASE WHEN device = 'mps' AND available THEN 0 ELSE workers END AS workers, NOT (device = 'mps' AND available) AND pin AS pin_memory, FALSE AS has_mosaic, 1.0::DOUBLE AS mosaic FROM ({_BITS})""")
+def config_snapshot(spark, sf_dir):
+    """Settings as they are kept with a run, as JSON by section; the short form loses some."""
+    settings = conf.device_rules(conf.resolve(_profiles(spark, sf_dir)), F.col("available"))
+    both = conf.snapshot(settings).join(conf.snapshot(settings, complete=True).withColumnRenamed("document", "whole"), "profile_name")
+    at = lambda column, path, kind: F.try_variant_get(F.parse_json(column), path, kind)
+    return both.select("profile_name", at("document", "$.training.device", "string").alias("device"), at("document", "$.training.workers", "bigint").alias("workers"), at("document", "$.mps.pin_memory", "boolean").alias("pin_memory"), at("document", "$.training.mosaic", "double").isNotNull().alias("has_mosaic"), at("whole", "$.training.mosaic", "double").alias("mosaic"))
+
+
 @query(f"""SELECT i, CASE WHEN device = 'mps' AND NOT available THEN 'cpu' ELSE device END AS device, CASE WHEN device = 'mps' AND available AND workers > 0 THEN 0 ELSE workers END AS workers,
     CASE WHEN device = 'mps' AND available THEN FALSE ELSE half END AS half, CASE WHEN device = 'mps' AND available THEN FALSE ELSE pin END AS pin_memory, CASE WHEN device = 'mps' AND available THEN CASE WHEN fallback THEN '1' ELSE '0' END END AS fallback_flag FROM ({_BITS})""")
 def device_rules(spark, sf_dir):
@@ -286,6 +310,14 @@ def prefix_complete(spark, sf_dir):
     return runs.complete_prefix(read(spark, sf_dir, "region").select(F.col("r_name").alias("candidate")), "A")
 
 
+@query("""WITH p AS (SELECT DISTINCT substr(p_name, 1, n::INT) AS typed FROM part, range(1, 9) r(n) WHERE length(p_name) >= n), c AS (SELECT DISTINCT p_name FROM part)
+    SELECT typed, row_number() OVER (PARTITION BY typed ORDER BY p_name) AS rank, p_name AS candidate FROM p JOIN c ON substr(p_name, 1, length(typed)::INT) = typed QUALIFY rank <= 5""")
+def prefix_complete_many(spark, sf_dir):
+    names = read(spark, sf_dir, "part").select(F.col("p_name").alias("candidate"))
+    typed = names.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(8), F.length("candidate"))), lambda n: F.left("candidate", n))).alias("typed"))
+    return runs.complete_many(typed, names, 5)
+
+
 @query("SELECT 'config/' || s_name || '.yaml' AS candidate FROM supplier WHERE starts_with(s_name || '.yaml', 'Supplier#00000000')")
 def config_complete(spark, sf_dir):
     return runs.complete_config(read(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(".yaml")).alias("name")), "config/Supplier#00000000")
