@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tessera.functions.paths import falsy_or, join_path, pad_right, present_or
-from tessera.operators import configuration as conf, detections as det, documents, runs, spatial, structure
+from tessera.operators import checks, configuration as conf, detections as det, documents, runs, spatial, structure, substrings
 from tessera.session import scratch_path
-from tessera.sources import growing
+from tessera.sources import folders, growing
 from tessera.streaming import epochs, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -296,6 +296,60 @@ def det_predict(spark, sf_dir):
     return det.predict(images, model, img_type="bigint").select("img", "det_id", "cls", "score", "rank")
 
 
+@query("""SELECT 'event_type=' || event_type AS img, cls, score, CASE cls WHEN 'lines' THEN n ELSE m END::DOUBLE AS x2, rank FROM (SELECT event_type, count(*) AS n, sum(strlen(event_id::VARCHAR) + 1) AS m FROM events GROUP BY event_type), (VALUES ('lines', 0.9::DOUBLE, 1::BIGINT), ('bytes', 0.5::DOUBLE, 2::BIGINT)) r(cls, score, rank)""")
+def det_predict_folder(spark, sf_dir):
+    """One file a type of event; a box of as many lines as it has, one that overlaps it, one of its bytes, a weak one."""
+
+    def model(content: bytes) -> list:
+        n, m = float(content.count(b"\n")), float(len(content))
+        return [("lines", 0.8, 0.0, 0.0, n, 9.0), ("lines", 0.9, 0.0, 0.0, n, 10.0), ("bytes", 0.5, 0.0, 0.0, m, 1.0), ("weak", 0.1, 0.0, 0.0, 1.0, 1.0)]
+
+    folder = scratch_path(spark, "images")
+    read(spark, sf_dir, "events").select("event_type", F.col("event_id").cast("string")).repartition("event_type").write.partitionBy("event_type").text(f"{folder}/in")
+    out = det.predict_folder(spark, f"{folder}/in", model, save_dir=folder)
+    return out.select(F.regexp_extract("img", "event_type=[a-z]+", 0).alias("img"), "cls", "score", "x2", "rank")
+
+
+@query("SELECT 'source=' || source AS folder, 1::BIGINT AS n_files FROM documents WHERE source IN ('src1', 'src12', 'src3') GROUP BY source")
+def folder_listing(spark, sf_dir):
+    path = scratch_path(spark, "folders")
+    read(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string")).repartition("source").write.partitionBy("source").text(path)
+    some = folders.list_folders(spark, path).filter(F.col("folder").isin("source=src1", "source=src12", "source=src3") & F.col("name").endswith(".txt"))
+    return some.groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"))
+
+
+@query("SELECT source, count(*) AS n_lines, sum(length(doc_id::VARCHAR) + 1)::BIGINT AS n_chars FROM documents GROUP BY source")
+def whole_texts(spark, sf_dir):
+    """A file for each source, read back whole."""
+    from tessera.sources.files import read_texts
+
+    path = scratch_path(spark, "texts")
+    read(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string")).repartition("source").write.partitionBy("source").text(path)
+    return read_texts(spark, path, "*.txt").select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.regexp_count("value", F.lit("\n")).cast("bigint").alias("n_lines"), F.length("value").cast("bigint").alias("n_chars"))
+
+
+_PASSAGE = "substr(text, 1 + (item_id % 3)::INT * 10, 12)"
+
+
+@query(f"SELECT {_PASSAGE} AS passage, count(doc_id) AS n_docs FROM (SELECT DISTINCT {_PASSAGE} AS p FROM benchmark) b JOIN documents d ON contains(d.text, b.p) GROUP BY p".replace(f"SELECT {_PASSAGE} AS passage", "SELECT p AS passage", 1))
+def passages_in_documents(spark, sf_dir):
+    passages = read(spark, sf_dir, "benchmark").select(F.substring(F.col("text"), (F.lit(1) + F.col("item_id") % 3 * 10).cast("int"), F.lit(12)).alias("passage"))
+    return substrings.containing(read(spark, sf_dir, "documents"), passages, "doc_id", "text", "passage").groupBy("passage").agg(F.count("doc_id").alias("n_docs"))
+
+
+@query("""SELECT r.ord, r.name AS "check", coalesce(passed, FALSE) AS passed, r.error FROM (VALUES (0, 'ids', NULL), (1, 'totals', NULL), (2, 'no such column', 'UNRESOLVED_COLUMN.WITH_SUGGESTION'), (3, 'raises', 'CAST_INVALID_INPUT'), (4, 'prices', NULL)) r(ord, name, error)
+    LEFT JOIN (SELECT 0 AS ord, count(*) = count(o_orderkey) AS passed FROM orders UNION ALL SELECT 1, sum(o_totalprice) < 0 FROM orders UNION ALL SELECT 4, min(o_totalprice) > 0 FROM orders) USING (ord)""")
+def table_checks(spark, sf_dir):
+    tests = {
+        "ids": lambda: F.count(F.lit(1)) == F.count("o_orderkey"),
+        "totals": lambda: F.sum("o_totalprice") < 0,
+        "no such column": lambda: F.max("o_missing") > 0,
+        "raises": lambda: F.max(F.col("o_orderpriority").cast("int")) > 0,
+        "prices": lambda: F.min("o_totalprice") > 0,
+    }
+    return checks.run_checks(read(spark, sf_dir, "orders"), tests).select("ord", "check", "passed", "error")
+
+
 @query("SELECT source AS value FROM documents")
 def text_sink(spark, sf_dir):
     from tessera.sources.files import write_text

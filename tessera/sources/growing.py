@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from tessera.sources.stores import store_of
+
 LEAST = -(1 << 63)
 
 
@@ -31,13 +33,6 @@ class Piece(InputPartition):
     high: int
 
 
-def _store(path: str):
-    """(file system, path in it) of a URI or a local path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path.replace("file:///", "/", 1).replace("file:/", "/", 1))
-
-
 def read_growing(spark: SparkSession, path: str, key: str, schema: StructType | str, checkpoint: str | None = None, keys_a_batch: int = 0) -> DataFrame:
     """The stream of a growing table. With keys_a_batch a batch spans at most so many keys; as Spark doesn't tell a source
     where a query goes on, that is read from the query's checkpoint folder."""
@@ -85,7 +80,7 @@ class GrowingReader(DataSourceStreamReader):
         """Read the footers of files that are new."""
         from pyarrow import fs, parquet
 
-        store, root = _store(self.path)
+        store, root = store_of(self.path)
         found = store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)) if store.get_file_info(root).type != fs.FileType.File else [store.get_file_info(root)]
         for f in found:
             if f.type != fs.FileType.File or not f.base_name.endswith(".parquet") or f.base_name.startswith(("_", ".")) or "/_temporary/" in f.path or f.path in self.ranges:
@@ -121,7 +116,7 @@ class GrowingReader(DataSourceStreamReader):
         from pyarrow import compute, parquet
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        wanted, (store, _) = to_arrow_schema(self.schema), _store(self.path)
+        wanted, (store, _) = to_arrow_schema(self.schema), store_of(self.path)
         with parquet.ParquetFile(store.open_input_file(partition.file)) as file:
             for b in file.iter_batches(row_groups=[partition.group], columns=list(dict.fromkeys([*wanted.names, self.key]))):
                 k = b.column(self.key)
