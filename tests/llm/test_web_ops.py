@@ -118,6 +118,42 @@ def test_chat_wrapper_that_changes_with_the_turn():
     assert rewrites is None and [out[a:b] for a, b in inside] == [t for _, t in turns]
 
 
+def test_chat_templates_that_look_at_texts():
+    turns = [("user", "abc"), ("assistant", "xy"), ("user", "q"), ("assistant", "long answer here"), ("user", ""), ("assistant", "sixsix")]
+    for wrap in (lambda t: t + "!" * (len(t) > 5), lambda t: f"{len(t)}:{t};" if t else "", lambda t: f"{'>' * len(t)}{t}"):
+        out, _, inside, lost = chat.spans(turns, lambda ts, wrap=wrap: "".join(f"<{r}>{wrap(t)}" for r, t in ts))  # noqa: B023
+        assert [out[a:b] for a, b in (s for s, (_, t) in zip(inside, turns) if t)] == [t for _, t in turns if t] and lost in (None, 4)
+
+    def words(ts):  # looks at what the text says: told from an escape only where it is known how texts are written
+        return "".join(f"<{r}>{t}{'?' if 'q' in t else ''}" for r, t in ts)
+
+    out, at, inside, lost = chat.spans(turns, words, str)
+    assert lost == 2 and inside[2] is None and [out[a:b] for a, b in (s for s in inside if s)] == ["abc", "xy", "long answer here", "", "sixsix"] and len(at) == 6
+
+
+def test_chat_system_turn_put_into_the_next():
+    def merged(ts):
+        out, held = "", ""
+        for r, t in ts:
+            if r == "system":
+                held += f"({t}) "
+            else:
+                out, held = out + f"<{r}>{held}{t}", ""
+        return out
+
+    turns = [("system", "be kind"), ("system", "be brief"), ("user", "u"), ("assistant", "a"), ("system", "now rude"), ("user", "v"), ("assistant", "b")]
+    out, at, inside, lost = chat.spans(turns, merged)
+    assert lost is None and [out[a:b] for a, b in inside] == [t for _, t in turns] and at[0] == at[1] == (0, 0)
+    out, _, inside, lost = chat.spans([*turns, ("system", "never shown")], merged)
+    assert lost == 7 and inside[7] is None and [out[a:b] for a, b in inside[:7]] == [t for _, t in turns]
+
+
+def test_chat_rows_without_a_conversation(spark):
+    rows = [(None, k % 2, "assistant", f"t{k % 3}") for k in range(7)] + [(1, 0, "user", "u"), (1, 1, "assistant", "a")]
+    got = chat.digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert sorted((r["conv_id"] is None, r["n_turns"], r["loss_chars"]) for r in got) == [(False, 2, 1)] + [(True, 1, 2)] * 7
+
+
 def test_chat_rows(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "a"), (2, 0, None, "x"), (None, 0, "assistant", "n"), (3, None, "assistant", ""), (4, 0, "assistant", "same"), (4, 0, "assistant", "same")]
     df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "conv_id long, turn long, role string, text string, c int, n int, t int")
