@@ -5,7 +5,8 @@ both hashed into vectors, and a few numbers; a bidirectional LSTM, written in nu
 blocks and gives each a probability to belong to the main text, so that every decision sees the whole document. The
 network is trained here on generated pages of many layouts whose labels are known. Pages don't leave their partition.
 
-Time and memory grow with a page's length, however deep its elements lie; a page of very many blocks is read in runs.
+Time and memory grow with a page's length, however deep its elements lie and whatever is never closed; a page of very many
+blocks is read in runs. (Only quotes placed so that every tag seems to go on to the page's end take longer.)
 
 Defined results: a null or empty html, or one without main text, gives an empty text; tags that are never closed end
 with the page, but one that would hide the rest (all but script, style and textarea) hides nothing; an unknown character reference stays as it is; rows that repeat an id are each read; an empty frame gives
@@ -60,7 +61,8 @@ class _Open:
     """The elements that are open, innermost last; what closes is found without a search through all of them."""
 
     def __init__(self):
-        self.stack: list[list] = []  # [tag, place around it, new names, whether it is open]
+        self.stack: list[list] = []  # [tag, place around it, new names, whether it is open, depth]
+        self.solid: list[list] = []  # those of them that aren't inline
         self.of: dict[str, list[list]] = {}
         self.named: Counter[str] = Counter()
         self.place = Place("", "", np.zeros(PATH_DIMS, np.float32))
@@ -70,12 +72,13 @@ class _Open:
         return any(self.of.get(t) for t in tags)
 
     def push(self, tag: str, more: list[str]) -> None:
-        entry = [tag, self.place, [], True]
+        entry = [tag, self.place, [], True, len(self.stack)]
         self.stack.append(entry)
         self.of.setdefault(tag, []).append(entry)
         if tag in INLINE:
             self.links += tag == "a"
             return
+        self.solid.append(entry)
         names = [f"in:{tag}", *(f"named:{x}" for x in dict.fromkeys(more))]
         entry[2] = names
         new = [x for x in names if not self.named[x]]
@@ -88,11 +91,12 @@ class _Open:
         self.place = Place(tag, f"{self.place.leaf}>{tag}" if self.place.leaf else tag, vector)
 
     def pop(self) -> None:
-        tag, place, names, is_open = self.stack.pop()
+        tag, place, names, is_open, _ = self.stack.pop()
         if is_open:
             self.of[tag].pop()
             self.links -= tag == "a"
         if tag not in INLINE:
+            self.solid.pop()
             self.place = place
             self.named.subtract(names)
 
@@ -104,6 +108,10 @@ class _Open:
             while self.stack and not self.stack[-1][3]:
                 self.pop()
 
+    def inmost(self, tags: tuple[str, ...]) -> list | None:
+        """The innermost open element of some tags (not inline ones)."""
+        return max((self.of[t][-1] for t in tags if self.of.get(t)), key=lambda e: e[4], default=None)
+
     def close(self, entry: list) -> None:
         """Close an element and all within it."""
         while True:
@@ -139,10 +147,13 @@ def blocks(page: str) -> list[tuple[Place, str, float]]:
             if opened.links > 0:
                 linked += len(piece.strip())
 
-    while m := _TAG.search(page, at):
+    last, missing = page.rfind(">") + 1, set()  # no tag ends beyond; elements whose end doesn't come any more
+    while m := _TAG.search(page, at, last) if at < last else None:
         if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
+        if at == last and m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->")):
+            at = len(page)  # a comment that never ends
         name = m[2]
         if name is None:
             continue
@@ -158,7 +169,9 @@ def blocks(page: str) -> list[tuple[Place, str, float]]:
         if name in RAW:
             if name in FOREIGN and m[3].rstrip().endswith("/"):  # foreign elements close themselves
                 continue
-            end = _END[name].search(page, at)
+            end = None if name in missing else _END[name].search(page, at)
+            if not end:
+                missing.add(name)
             if end or name in TO_THE_END:
                 at = end.end() if end else (at if m[3].rstrip().endswith("/") else len(page))
             continue  # another one that is never closed hides nothing
@@ -172,26 +185,21 @@ def blocks(page: str) -> list[tuple[Place, str, float]]:
             continue
         if name not in INLINE:
             flush()
-            stack = opened.stack
-            if opened.has(*CLOSED_BY_BLOCK):
-                for k in range(len(stack) - 1, -1, -1):
-                    t = stack[k][0]
-                    if t in CLOSED_BY_BLOCK and (t == "p" or name in CLOSED_BY_BLOCK or name in ("article", "section", "footer", "nav", "header", "aside")):
-                        opened.close(stack[k])
-                        break
-                    if t not in INLINE and t not in CLOSED_BY_BLOCK:
-                        break
-            like = ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)
-            if name in SIBLINGS and opened.has(*like):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in SIBLINGS[name]:
-                        break
-                    if stack[k][0] in like:
-                        opened.close(stack[k])
-                        break
+            for entry in reversed(opened.solid) if opened.has(*CLOSED_BY_BLOCK) else ():
+                if entry[0] not in CLOSED_BY_BLOCK:
+                    break
+                if entry[0] == "p" or name in CLOSED_BY_BLOCK or name in ("article", "section", "footer", "nav", "header", "aside"):
+                    opened.close(entry)
+                    break
+            like = opened.inmost(("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)) if name in SIBLINGS else None
+            if like and ((around := opened.inmost(SIBLINGS[name])) is None or around[4] < like[4]):
+                opened.close(like)
         more = [p.lower() for _, a, b, c in _NAMED.findall(m[3]) for p in _PIECE.findall(a or b or c)] if m[3] and name not in INLINE else []
         opened.push(name, more)
-    text(page[at:] if not _UNFINISHED.match(page, at) else "")
+    if (hidden := page.find("<!--", at)) >= 0:
+        text(page[at:hidden])
+    elif not _UNFINISHED.match(page, at):
+        text(page[at:])
     flush()
     return out
 

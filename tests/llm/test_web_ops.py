@@ -257,3 +257,22 @@ def test_html_hides_nothing_that_is_text():
     assert texts("<p>a</p><svg><path><p>b</p>") == ["a", "b"]
     assert texts("<p>a <svg><title>t</title></svg>b</p>") == ["a b"]
     assert html_text.blocks("<a>l<b><i><u><s><q><em><tt></a> and much more text that is plain")[0][2] < 0.1
+
+
+def test_broken_pages_take_time_in_proportion():
+    n = 1 << 20
+    pages = {"<a ": None, "<a href='": None, "<svg>x": "x", "<!-- x": None, "<textarea>x": None, "<a href=\"x>y": None, "</b>x": "x", "<li><i>": None}
+    cases = [(p * (n // len(p)), want) for p, want in pages.items()]
+    cases += [("<h1>" + "<i>" * (n // 16) + "<div>y</div>" * (n // 16), "y"), ("<ul><li><ul>" + "<i>" * (n // 16) + "<li>y</li>" * (n // 16), "y")]
+    for page, want in cases:
+        began = time.time()
+        out = html_text.blocks(page)
+        assert time.time() - began < 5, page[:30]
+        assert want is None or (out and {t[0] for _, t, _ in out} == {want}), page[:30]
+
+
+def test_odd_ends_of_pages():
+    read = lambda p: [t for _, t, _ in html_text.blocks(p)]
+    assert read("<p>a<!-- b > c") == ["a"] and read("<p>a<!-- b") == ["a"] and read("a <!--> b") == ["a"]
+    assert read("<p>a<b") == ["a<b"] and read("<p><b") == [] and read("<p>a <3 b") == ["a <3 b"] and read("x <b <!-- y") == ["x <b"] and read("a<!-- x -->") == ["a"]
+    assert read("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><p>e<p>f<div>g") == ["a", "b", "c", "d", "e", "f", "g"]
