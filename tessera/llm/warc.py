@@ -30,7 +30,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tessera.llm import bits as B
 from tessera.llm._common import U64, settle
 
-SEGMENT_BYTES, CHUNK_BYTES, RECORDS_A_FILE = 16 << 10, 4 << 10, 10_000
+SEGMENT_BYTES, CHUNK_BYTES = 16 << 10, 4 << 10
+#: Bytes of an archive before compression, for records with headers of up to HEAD bytes; and of a piece that is unpacked.
+FILE_BYTES, HEAD, PIECE = 128 << 20, 1 << 10, 1 << 20
 CRLF = b"\r\n"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -132,8 +134,9 @@ def _filter_of(pairs: DataFrame) -> Column:
     return F.col("id").isNotNull() & held(hashed)
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = SEGMENT_BYTES, compression: str | None = "gzip") -> None:
-    """Write the archives of the pages under a path of any store."""
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = SEGMENT_BYTES, compression: str | None = "gzip", file_bytes: int = FILE_BYTES) -> None:
+    """Write the archives of the pages under a path of any store. No record is longer than a segment and its header, so the
+    number of records bounds an archive's bytes."""
     met = with_originals(pages, id_col, url_col, html_col)
 
     def f(batches):
@@ -150,44 +153,80 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     text = met.mapInArrow(f, "record binary").select(F.col("record").cast("string").alias("value"))
-    w = text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_A_FILE)
+    w = text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, file_bytes // (segment_bytes + HEAD)))
     (w.option("compression", compression) if compression else w).text(path)
 
 
-def _plain(data: bytes) -> bytes:
-    """An archive's bytes; of a compressed one that is cut off or broken, what comes before."""
+def _pieces(data: bytes, size: int = PIECE):
+    """An archive's bytes piece by piece; of a compressed one that is cut off or broken, what comes before."""
     if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        try:
-            out.append(d.decompress(data))
-        except zlib.error:
-            break
-        data = d.unused_data
-    return b"".join(out)
+        for i in range(0, len(data), size):
+            yield data[i : i + size]
+        return
+    d = zlib.decompressobj(31)
+    for i in range(0, len(data), size):
+        held = data[i : i + size]
+        while held:
+            try:
+                out = d.decompress(held, size)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            held = d.unused_data if d.eof else d.unconsumed_tail
+            if d.eof:
+                d = zlib.decompressobj(31)
+    if out := d.flush():
+        yield out
+
+
+class _Window:
+    """What of an archive is held: from the record that is being read to as far as was looked."""
+
+    def __init__(self, pieces):
+        self.pieces, self.held = pieces, bytearray()
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is not None:
+            self.held += piece
+        return piece is not None
+
+    def find(self, what: bytes, start: int = 0) -> int:
+        while (at := self.held.find(what, start)) < 0:
+            start = max(start, len(self.held) - len(what) + 1)
+            if not self.more():
+                return -1
+        return at
+
+    def fill(self, n: int) -> None:
+        while len(self.held) < n and self.more():
+            pass
 
 
 def parse_records(data: bytes):
     """(headers in lower case, block, whether the record is whole) of every record of an archive, plain or compressed.
 
-    A header that is cut off, or that names no length, gives a record that isn't whole; the next one begins at the next
-    version line."""
-    data, at = _plain(data), 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        to = data.find(b"\r\n\r\n", at)
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at : to if to >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:])}
+    Unpacked bytes are held for one record at a time. A header that is cut off, or that names no length, gives a record
+    that isn't whole; the next one begins at the next version line."""
+    w = _Window(_pieces(data))
+    while (at := w.find(b"WARC/")) >= 0:
+        del w.held[:at]
+        to = w.find(b"\r\n\r\n")
+        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in bytes(w.held[: to if to >= 0 else None]).decode("utf-8", "replace").split("\r\n")[1:])}
         length = head.get("content-length", "")
         if to < 0 or not re.fullmatch("[0-9]{1,15}", length):
             yield head, b"", False
-            following = data.find(b"\r\n\r\nWARC/", at)
-            at = following + 4 if following >= 0 else len(data)
+            following = w.find(b"\r\n\r\nWARC/")
+            if following < 0:
+                return
+            del w.held[: following + 4]
             continue
-        n = int(length)
-        block = data[to + 4 : to + 4 + n]
-        yield head, block, len(block) == n
-        at = to + 4 + n
+        end = to + 4 + int(length)
+        w.fill(end)
+        block = bytes(w.held[to + 4 : end])
+        yield head, block, len(block) == int(length)
+        del w.held[:end]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

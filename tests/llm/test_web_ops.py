@@ -276,3 +276,26 @@ def test_odd_ends_of_pages():
     assert read("<p>a<!-- b > c") == ["a"] and read("<p>a<!-- b") == ["a"] and read("a <!--> b") == ["a"]
     assert read("<p>a<b") == ["a<b"] and read("<p><b") == [] and read("<p>a <3 b") == ["a <3 b"] and read("x <b <!-- y") == ["x <b"] and read("a<!-- x -->") == ["a"]
     assert read("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><p>e<p>f<div>g") == ["a", "b", "c", "d", "e", "f", "g"]
+
+
+def test_archives_are_bounded_by_bytes_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://x/{i}", f"{i} " * 30_000) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for packed in (None, "gzip"):
+        path = str(tmp_path / str(packed))
+        warc.write(pages, path, compression=packed, file_bytes=200_000)
+        files = [p for p in (tmp_path / str(packed)).iterdir() if p.name.startswith("part-")]
+        sizes = [len(p.read_bytes() if packed is None else gzip.decompress(p.read_bytes())) for p in files]
+        assert len(sizes) > 4 and max(sizes) <= 200_000
+        got = {r["page"]: r["payload"].decode() for r in warc.read(spark, path).collect()}
+        assert got == {i: html for i, _, html in rows}
+    held = []
+    grow = warc._Window.more
+    monkeypatch.setattr(warc._Window, "more", lambda w: (grow(w), held.append(len(w.held)))[0])
+    record = warc._record("response", "<r>", "u", b"x" * 10_000, [])
+    data = (record + b"\r\n\r\n") * 3_000
+    for x in (data, gzip.compress(data), gzip.compress(data[:10_000_000]) + gzip.compress(data[10_000_000:])):
+        assert [len(b) for _, b, whole in warc.parse_records(x) if whole] == [10_000] * 3_000
+    assert max(held) < 3 << 20
+    cut = list(warc.parse_records(gzip.compress(data)[:-2000]))
+    assert 2_000 < len(cut) <= 3_000 and all(w for _, _, w in cut[:-1])
