@@ -310,22 +310,25 @@ def det_predict_folder(spark, sf_dir):
     return out.select(F.regexp_extract("img", "event_type=[a-z]+", 0).alias("img"), "cls", "score", "x2", "rank")
 
 
-@query("SELECT 'source=' || source AS folder, 1::BIGINT AS n_files FROM documents WHERE source IN ('src1', 'src12', 'src3') GROUP BY source")
+def _in_files(spark, sf_dir, name: str) -> str:
+    """A folder with a subfolder and text file for each hundred documents, of their numbers."""
+    path, part = scratch_path(spark, name), F.floor(F.col("doc_id") / 100).alias("part")
+    read(spark, sf_dir, "documents").select(part, F.col("doc_id").cast("string")).repartition("part").write.partitionBy("part").text(path)
+    return path
+
+
+@query("SELECT 'part=' || (doc_id // 100) AS folder, 1::BIGINT AS n_files FROM documents WHERE doc_id >= 100 GROUP BY ALL")
 def folder_listing(spark, sf_dir):
-    path = scratch_path(spark, "folders")
-    read(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string")).repartition("source").write.partitionBy("source").text(path)
-    some = folders.list_folders(spark, path).filter(F.col("folder").isin("source=src1", "source=src12", "source=src3") & F.col("name").endswith(".txt"))
+    some = folders.list_folders(spark, _in_files(spark, sf_dir, "folders")).filter(F.col("name").endswith(".txt") & (F.col("folder") != "part=0"))
     return some.groupBy("folder").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-@query("SELECT source, count(*) AS n_lines, sum(length(doc_id::VARCHAR) + 1)::BIGINT AS n_chars FROM documents GROUP BY source")
+@query("SELECT doc_id // 100 AS part, count(*) AS n_lines, sum(length(doc_id::VARCHAR) + 1)::BIGINT AS n_chars FROM documents GROUP BY ALL")
 def whole_texts(spark, sf_dir):
-    """A file for each source, read back whole."""
     from tessera.sources.files import read_texts
 
-    path = scratch_path(spark, "texts")
-    read(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string")).repartition("source").write.partitionBy("source").text(path)
-    return read_texts(spark, path, "*.txt").select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.regexp_count("value", F.lit("\n")).cast("bigint").alias("n_lines"), F.length("value").cast("bigint").alias("n_chars"))
+    part = F.regexp_extract("path", "part=([0-9]+)/", 1).cast("bigint").alias("part")
+    return read_texts(spark, _in_files(spark, sf_dir, "texts"), "*.txt").select(part, F.regexp_count("value", F.lit("\n")).cast("bigint").alias("n_lines"), F.length("value").cast("bigint").alias("n_chars"))
 
 
 _PASSAGE = "substr(text, 1 + (item_id % 3)::INT * 10, 12)"
