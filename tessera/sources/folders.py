@@ -51,10 +51,11 @@ class FolderReader(DataSourceReader):
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         """Take what is known here; the rest goes back to Spark."""
         for f in filters:
-            if f.attribute == ("folder",) and isinstance(f, (EqualTo, In)):
+            on = getattr(f, "attribute", None)  # a negation has none
+            if on == ("folder",) and isinstance(f, (EqualTo, In)):
                 some = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.folders = some if self.folders is None else self.folders & some
-            elif f.attribute == ("name",) and type(f) in BY_NAME:
+            elif on == ("name",) and type(f) in BY_NAME:
                 self.names.append((type(f), f.value))
             else:
                 yield f

@@ -20,6 +20,7 @@ def test_listing_takes_filters_along(spark, tmp_path):
     names = lambda condition: sorted(r["name"] for r in every.filter(condition).collect())
     assert names("folder = 'val'") == ["a.txt", "ä.txt"] and names("folder IN ('train', 'val') AND endswith(name, '.png')") == ["b.png"]
     assert names("startswith(name, 'a') AND length > 9") == ["a.txt"] and names("folder = 'none'") == names("folder = 'val' AND folder = 'train'") == []
+    assert names("folder <> 'val' AND NOT is_dir AND name LIKE '%.txt'") == ["a.txt", "c.txt", "top.txt"] and names("folder IS NULL") == []
     assert every.filter("folder = 'val'").rdd.getNumPartitions() == 1 and every.rdd.getNumPartitions() == 4
     assert folders.list_folders(spark, str(tmp_path / "gone")).count() == 0
 
