@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -54,6 +55,18 @@ def unescaped_sql(text: str) -> str:
     return text
 
 
+_BLANKS = re.compile("[ \t\r\n\xa0]+")
+
+
+def plain_text(source: str) -> str:
+    """A block's source without tags as text: only ENTITIES are decoded, so that a reference cut short stays as it is; a `<`
+    that begins no tag is dropped."""
+    source = source.replace("<", "")
+    for name, char in ENTITIES:
+        source = source.replace(name, char)
+    return _BLANKS.sub(" ", source).strip(" ")
+
+
 def as_dict(df: DataFrame, columns: list[str], name: str = "document") -> DataFrame:
     """df with the named columns as one JSON document."""
     return df.withColumn(name, F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import structure
 from tessera.operators.structure import Page
+from tessera.plans import catalogue
 
 
 def made_inline(rnd, deep=0):
@@ -111,3 +112,27 @@ def test_structured_frames(spark):
     seen = got.select("page_id", "markdown", F.try_variant_get("tree", "$.children[0].blocks[0].text", "string").alias("x"), F.size("blocks").alias("n")).collect()
     assert [tuple(r) for r in seen] == [(1, "# T\n\na", "a", 2), (2, None, None, None), (None, "", None, 0), (1, "# T\n\na", "a", 2)]
     assert structure.block_rows(spark.createDataFrame(rows[:2], "page_id long, html string, level string").drop("level")).count() == 2
+
+
+ODD = [
+    (1, "<h1>a &amp</h1><p>b&ampc &eacute; &copy &#233; &lt;&nbsp;&amp;lt; x&quot</p>"),
+    (2, "<h2>&a<b>mp;</b>t</h2><p>&nbsp;</p><pre> x\n\ty&#39;</pre>"),
+    (3, "<p>before<h1>T&am</h1>\f<br>y<h3>z\v&middot"),
+    (4, "<h1>T</h1>a < b <3"),
+    (5, None),
+    (6, ""),
+]
+
+
+def equals_sql(spark, tmp_path, name):
+    import duckdb
+
+    spark.createDataFrame(ODD, "page_id long, html string").selectExpr("page_id", "'u' AS url", "html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = [tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(con.execute(catalogue.SQL[name]).fetchall(), key=str)
+
+
+def test_heading_paths_of_cut_references_equal_sql(spark, tmp_path):
+    equals_sql(spark, tmp_path, "page_heading_paths")
