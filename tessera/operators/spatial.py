@@ -1,5 +1,6 @@
 """Overlap and suppression of crowded images: boxes meet in the cells of a grid instead of in their image.
 
+Images (or classes of an image) of up to FEW boxes are compared whole, by one shuffle; only fuller ones go to cells.
 Boxes that overlap more than a share `least` (over 0) have longer sides within a factor of 1 / least of each other. So a box
 is entered at its own level, in a grid whose cells are one to two of its sides wide, and as a guest at the few coarser
 levels where it can meet a larger partner: four cells a level at most, whatever the sizes. Two boxes meet only at the
@@ -11,15 +12,22 @@ Boxes without an area, or with null or infinite coordinates, overlap nothing and
 from __future__ import annotations
 
 import math
+import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.operators.detections import BOX, OVERLAP, iou, overlapping, suppress
 from tessera.session import settled
 
 CELL = ["g", "level", "cx", "cy"]
-#: Boxes of a cell up to which each is compared with all others of the cell when suppression looks for what may stay.
+#: Boxes of an image up to which it is compared whole, and of a cell up to which each is compared with all others of the cell
+#: when suppression looks for what may stay.
 FEW = 256
+#: Boxes of a part of the ranking, and parts at most; each batch of parts is GROWTH times the one before.
+PART, PARTS, GROWTH = 50_000, 1000, 4
+#: Pairs of boxes of one cell that a batch may compare, and overlapping pairs that one task may order.
+PAIRS, EDGES = 300_000_000, 1_000_000
 
 
 def _proper() -> F.Column:
@@ -47,12 +55,34 @@ def _shared() -> F.Column:
     return iou({k: F.col(f"a_{k}") for k in BOX}, {k: F.col(k) for k in BOX})
 
 
+def _split(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of up to FEW rows, and of larger ones (none if there are no such groups). Groups are counted, not held."""
+    full = settled(rows.groupBy(*keys).count().filter(F.col("count") > FEW).select(F.struct(*keys).alias("g")), "full")
+    if full.isEmpty():
+        return rows, None
+    on = F.struct(*[rows[k] for k in keys]) == full["g"]
+    return rows.join(full, on, "left_anti"), rows.join(full, on, "left_semi")
+
+
 def overlapping_by_space(detections: DataFrame, least: float = OVERLAP, agnostic: bool = False) -> DataFrame:
-    """overlapping() by an equality join on cells; a pair is told only in the cell that holds the upper left corner of what
-    the two share, so once. `least` of 0 or below joins whole images, as sides tell nothing then."""
+    """overlapping() without a join of crowded images: their boxes meet by an equality join on cells; a pair is told only in
+    the cell that holds the upper left corner of what the two share, so once. Groups of up to FEW boxes are gathered and
+    paired. `least` of 0 or below joins whole images, as sides tell nothing then."""
     if least <= 0:
         return overlapping(detections, least, agnostic)
-    rows = settled(_entered(detections, ["img"] if agnostic else ["img", "cls"], least, ["det_id"]), "cells")
+    keys = ["img"] if agnostic else ["img", "cls"]
+    known = " AND ".join(f"{k} IS NOT NULL" for k in keys)  # null equals nothing, as in a join
+    boxes = settled(detections.filter(_proper()).filter(known).select(*keys, "det_id", *BOX), "boxes")
+    few, many = _split(boxes, keys)
+    groups = few.groupBy(*keys).agg(F.collect_list(F.struct("det_id", *BOX)).alias("all")).filter(F.size("all") > 1)
+    two = groups.select("img", "all", F.explode("all").alias("a")).select("img", "a", F.explode(F.filter("all", lambda b: b["det_id"] > F.col("a.det_id"))).alias("b"))
+    pairs = two.select("img", F.col("a.det_id").alias("id_a"), F.col("b.det_id").alias("id_b"), iou(F.col("a"), F.col("b")).alias("iou")).filter(F.col("iou") > least)
+    return pairs if many is None else pairs.union(_met(many, keys, least))
+
+
+def _met(boxes: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """(img, id_a, id_b, iou) of proper boxes that meet in cells."""
+    rows = settled(_entered(boxes, keys, least, ["det_id"]), "cells")
     a = rows.filter("own").drop("own").withColumnsRenamed({c: f"a_{c}" for c in (*BOX, "det_id")})
     met = a.join(rows, CELL).filter((F.col("det_id") != F.col("a_det_id")) & (~F.col("own") | (F.col("a_det_id") < F.col("det_id"))))
     corner = (_cell(F.greatest("x1", "a_x1")) == F.col("cx")) & (_cell(F.greatest("y1", "a_y1")) == F.col("cy"))
@@ -62,17 +92,106 @@ def overlapping_by_space(detections: DataFrame, least: float = OVERLAP, agnostic
 def suppress_by_rounds(detections: DataFrame, least: float = OVERLAP, agnostic: bool = False) -> DataFrame:
     """suppress() for images of any number of boxes; ties beyond det_id go to any one row.
 
+    Groups of up to FEW boxes are folded by suppress(). The boxes of fuller ones are ranked by one sort and taken in batches,
+    best first, each batch some times larger than the one before. What overlaps a box that stays goes at once: those that
+    stay are few in each cell, whatever the crowd, so a box is compared with few others. The overlapping pairs that
+    remain in the batch are ordered in one task if they are few; else the batch is made smaller, down to a part of the
+    ranking, which is then resolved in rounds.
+    """
+    if least <= 0:
+        return suppress(detections, least, agnostic)
+    keys = ["img"] if agnostic else ["img", "cls"]
+    rows = settled(detections.withColumn("__uid", F.monotonically_increasing_id()), "boxes")
+    proper, kept = rows.filter(_proper()), rows.filter(~_proper())
+    few, many = _split(proper, keys)
+    if re.search("map<|variant", rows.schema.simpleString()):  # can't be sorted with the rest of a row
+        few, many = None, proper
+    if few is not None:
+        kept = kept.union(suppress(few, least, agnostic))
+    if many is not None:
+        stay = _suppress_crowd(many.select(*keys, "score", "det_id", "__uid", *BOX), keys, least)
+        kept = kept.union(many.join(stay, "__uid", "left_semi").select(rows.columns))
+    return kept.drop("__uid")
+
+
+def _suppress_crowd(boxes: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """__uid of the boxes that stay."""
+    spark = boxes.sparkSession
+    parts = max(1, min(PARTS, math.ceil(boxes.count() / PART)))
+    order = [-F.col("score"), F.col("det_id"), F.col("__uid")]
+    ranked = boxes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # ids grow from row to row and from partition to partition: the place in the ranking, and the part of it
+    ranked = settled(ranked.select(F.monotonically_increasing_id().alias("det_id"), F.spark_partition_id().alias("part"), "__uid", *keys, *BOX), "ranked")
+    parts = 1 + (ranked.agg(F.max("part")).first()[0] or 0)
+    stay = spark.createDataFrame([], ranked.schema)
+    at, step = 0, 1
+    while at < parts:
+        step = min(step, parts - at)
+        batch = ranked.filter(F.col("part").between(at, at + step - 1))
+        live = settled(batch if at == 0 else _untouched(batch, stay, keys, least), "live")
+        gone = _beaten(live, keys, least)
+        if gone is None and step > 1:
+            step = max(1, step // GROWTH)
+            continue
+        safe = _rounds(live, keys, least) if gone is None else live.join(gone, "det_id", "left_anti")
+        safe = settled(safe.select(ranked.columns), "stay")
+        stay = safe if at == 0 else stay.union(safe)
+        at, step = at + step, GROWTH * step
+    return stay.select("__uid")
+
+
+def _untouched(boxes: DataFrame, stay: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """The boxes that none of those that stay overlaps. A box is looked up in one cell only, that of its middle at its own level;
+    those that stay are entered in all cells where a partner's middle can lie."""
+    long = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    level = lambda share: F.floor(F.log2(long * share))
+    s = stay.select(F.struct(*keys).alias("g"), *[F.col(c).alias(f"a_{c}") for c in BOX], F.explode(F.sequence(level(least * 0.999), level(1.001 / least))).alias("level"))
+    # sides of a partner at that level are below 2 ** (level + 1), with room for rounded logarithms
+    reach = F.pow(F.lit(2.0), F.col("level")) * 1.001
+    for a, low, high in (("cx", "a_x1", "a_x2"), ("cy", "a_y1", "a_y2")):
+        # middles are apart by half of both sides at most, less the share of the larger that both must cover
+        side = F.col(high) - F.col(low)
+        near = reach - least * side
+        s = s.select("*", F.explode(F.sequence(_cell(F.col(low) - near), _cell(F.col(high) + near))).alias(a))
+    b = boxes.withColumn("g", F.struct(*keys)).withColumn("level", level(1.0))
+    b = b.withColumn("cx", _cell((F.col("x1") + F.col("x2")) / 2)).withColumn("cy", _cell((F.col("y1") + F.col("y2")) / 2))
+    s = s.withColumnsRenamed({c: f"s_{c}" for c in CELL})
+    on = _shared() > least
+    for c in CELL:
+        on = (F.col(c) == F.col(f"s_{c}")) & on
+    return b.join(s, on, "left_anti").select(boxes.columns)
+
+
+def _beaten(live: DataFrame, keys: list[str], least: float) -> DataFrame | None:
+    """det_id (the place in the ranking) of boxes that a better one suppresses which stays; none if the pairs are too many."""
+    cells = _entered(live, keys, least, []).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("o"))
+    if (cells.agg(F.sum(F.col("n").cast("double") * F.col("o"))).first()[0] or 0) > PAIRS:
+        return None
+    pairs = settled(_met(live, keys, least).select("id_a", "id_b"), "pairs")
+    if pairs.count() > EDGES:
+        return None
+
+    def decide(batches):
+        gone = set()
+        for x in batches:  # all that could suppress a box come before it as the second of a pair
+            for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
+                if a not in gone:
+                    gone.add(b)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(gone), pa.int64())], ["det_id"])
+
+    return settled(pairs.coalesce(1).sortWithinPartitions("id_b", "id_a").mapInArrow(decide, "det_id long"), "gone")
+
+
+def _rounds(boxes: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """The boxes (det_id is the place in the ranking) that stay.
+
     In each round a box that nothing better overlaps can't be suppressed any more; it stays, and what it overlaps goes. In
     cells of up to FEW boxes that is looked up box by box; in fuller ones only the best box is known to stay (a guest: where
     it is better than the cell's own boxes), so a round compares each remaining box with FEW others at most and a crowd
     on one spot goes in one round. No round is empty: the best of all always stays. The rest is a table in the shared
     folder after each round; only whether it is empty reaches the driver.
     """
-    if least <= 0:
-        return suppress(detections, least, agnostic)
-    rows = settled(detections.withColumn("__uid", F.monotonically_increasing_id()), "boxes")
-    first = F.struct((-F.col("score")).alias("rank"), "det_id", F.col("__uid").alias("uid")).alias("rank")
-    live = settled(_entered(rows.withColumn("rank", first), ["img"] if agnostic else ["img", "cls"], least, ["rank"]), "cells")
+    live = settled(_entered(boxes.withColumn("rank", F.col("det_id")), keys, least, ["rank"]), "cells")
     stay: DataFrame | None = None
     while not live.isEmpty():
         heads = live.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("head"), F.min(F.when(F.col("own"), F.col("rank"))).alias("own_head"))
@@ -87,7 +206,4 @@ def suppress_by_rounds(detections: DataFrame, least: float = OVERLAP, agnostic:
         gone = settled(out[0].union(out[1]).union(safe).distinct(), "gone")
         live = settled(live.join(gone, "rank", "left_anti"), "cells")
         stay = safe if stay is None else stay.union(safe)
-    kept = rows.filter(~_proper())
-    if stay is not None:
-        kept = kept.union(rows.filter(_proper()).join(stay.select(F.col("rank.uid").alias("__uid")), "__uid", "left_semi").select(rows.columns))
-    return kept.drop("__uid")
+    return boxes.limit(0) if stay is None else boxes.join(stay.select(F.col("rank").alias("det_id")), "det_id", "left_semi")

@@ -58,3 +58,14 @@ def test_no_task_holds_an_image(spark):
     cells = spatial._entered(d, ["img", "cls"], 0.3, ["det_id"])
     most = cells.groupBy(*spatial.CELL).count().agg(F.max("count")).first()[0]
     assert d.select("img").distinct().count() == 1 and most < d.count() / 20
+
+
+def no_cells(*_):
+    raise AssertionError("a small image went to cells")
+
+
+def test_small_images_are_folded_whole(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "_entered", no_cells)
+    df = spark.createDataFrame(odd_boxes(), SCHEMA)
+    key = lambda x: sorted(map(str, x.collect()))
+    assert key(spatial.suppress_by_rounds(df, 0.3)) == key(det.suppress(df, 0.3).select(df.columns))
