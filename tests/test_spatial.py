@@ -69,3 +69,21 @@ def test_small_images_are_folded_whole(spark, monkeypatch):
     df = spark.createDataFrame(odd_boxes(), SCHEMA)
     key = lambda x: sorted(map(str, x.collect()))
     assert key(spatial.suppress_by_rounds(df, 0.3)) == key(det.suppress(df, 0.3).select(df.columns))
+
+
+def test_crowd_in_batches_of_ranks(spark, monkeypatch):
+    d = catalogue.crowd(spark, "/root/testdata/sf0.001").filter("score >= 0.5").withColumn("img", F.expr("nullif(img, 0)"))
+    key = lambda x: sorted(map(str, x.collect()))
+    want = key(det.suppress(d, 0.3).select(d.columns))
+    seen, rounds, beaten = [], spatial._rounds, spatial._beaten
+    monkeypatch.setattr(spatial, "_rounds", lambda *x: seen.append("rounds") or rounds(*x))
+    monkeypatch.setattr(spatial, "_beaten", lambda *x: seen.append("batch") or beaten(*x))
+    monkeypatch.setattr(spatial, "PART", 300)
+    assert key(spatial.suppress_by_rounds(d, 0.3)) == want
+    assert seen.count("batch") == 3 and "rounds" not in seen
+    monkeypatch.setattr(spatial, "FEW", 20)
+    monkeypatch.setattr(spatial, "PART", 60)
+    monkeypatch.setattr(spatial, "EDGES", 3)  # batches are made smaller, and parts that still have too many go by rounds
+    boxes = spark.createDataFrame([r for r in odd_boxes() if r[0] in (0, 7)], SCHEMA)
+    assert key(spatial.suppress_by_rounds(boxes, 0.3)) == key(det.suppress(boxes, 0.3).select(boxes.columns))
+    assert "rounds" in seen
