@@ -87,3 +87,15 @@ def test_crowd_in_batches_of_ranks(spark, monkeypatch):
     boxes = spark.createDataFrame([r for r in odd_boxes() if r[0] in (0, 7)], SCHEMA)
     assert key(spatial.suppress_by_rounds(boxes, 0.3)) == key(det.suppress(boxes, 0.3).select(boxes.columns))
     assert "rounds" in seen
+
+
+def test_small_images_are_paired_whole(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "_entered", no_cells)
+    df = spark.createDataFrame(odd_boxes(), SCHEMA).filter("NOT (x2 = double('inf'))")
+    rounded = lambda x: sorted((r[0], r[1], r[2], round(r[3], 9)) for r in x.collect())
+    assert rounded(spatial.overlapping_by_space(df, 0.3)) == rounded(det.overlapping(df, 0.3))
+
+
+def test_images_without_a_number_pair_nothing(spark):
+    df = spark.createDataFrame([r for r in odd_boxes() if r[0] is None], SCHEMA)
+    assert spatial.overlapping_by_space(df, 0.3).count() == det.overlapping(df, 0.3).count() == 0
