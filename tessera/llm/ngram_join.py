@@ -1,16 +1,15 @@
 """N-gram Jaccard join: every link between documents whose shingle sets overlap enough, exactly.
 
 1. Documents with equal sets fall together (128-bit hash of the set); one of them stands for all.
-2. Candidates: sizes fall into bands that grow by 1/t. Two sets that link differ in at most d shingles, d set by the
-   band; the hash space is cut into more than d parts, so at least one part holds the same shingles in both sets
-   (pigeonhole). A part's hash is its signature; a document signs for its own band and for the next, as the smaller
-   one. Signatures travel as packed blocks. Of the documents with a common signature each is paired with the least of its
-   block, and these with the least of all, so that a signature that very many documents hold travels once a block.
-   These stars are tested by bit counts of hashed bitmaps, then by intersecting the sorted sets; their links connect
-   near copies in time linear in a group's size. Components of the stars bound what else may link.
-3. Tiles: a component with more than one connected part is one tile if it is small; a large one is cut by size band and
-   into blocks, and only pairs of blocks whose sizes allow a link become tiles. A tile holds bitmaps, not sets: pairs
-   that aren't connected and that bit counts can't rule out are intersected exactly.
+2. Candidates: all shingles have one order, those that a sample of the documents holds often last. Two sets that link
+   share a shingle among the first n - ceil(t * n) + 1 of each (prefix filter), whatever the order; with this one hardly
+   any that merely share a passage do. Prefixes travel as packed blocks. Of the documents with a common shingle each is
+   paired with the least of its block, and these with the least of all, so that a shingle that very many documents hold
+   travels once a block. These stars are tested by bit counts of hashed bitmaps, then by intersecting the sorted sets;
+   their links connect near copies in time linear in a group's size. Components of the stars bound what else may link.
+3. The rest: a component with more than one connected part is one tile if it is small; a tile holds bitmaps, not sets:
+   pairs that aren't connected and that bit counts can't rule out are intersected exactly. In a large component only those
+   are paired that share a prefix's shingle, aren't connected, and whose sizes and places of the shingle allow a link.
 4. Components of the links.
 
 Defined results: a null or empty text, or one of white space only, has no shingles and is linked with nothing (rows of
@@ -30,10 +29,15 @@ from tessera.llm import bits as B
 from tessera.llm._common import U64, chunks, mix, rows_of, settle, tidy, windows, words
 from tessera.llm.components import components
 
-#: Signatures in a block that one Python task sorts at a time.
+#: Shingles of prefixes in a block that one Python task sorts at a time.
 BLOCK = 400_000
 #: A tile's side: documents, and bytes of their bitmaps.
 TILE_ROWS, TILE_BYTES = 4096, 16 << 20
+#: The order of shingles counts them in this many documents (in a 16th of all, if those are more) and keeps so many at most.
+#: It decides how many pairs are looked at, never which links are found.
+SAMPLE, FREQUENT = 8192, 300_000
+#: Pairs that one task expands at a time.
+PIECE = 1_000_000
 
 
 def shingle_sets(column, width: int):
@@ -61,7 +65,7 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 class Bands:
-    """Size bands for a threshold of num/den, and the number of parts of each."""
+    """Size bands for a threshold of num/den, and the number of parts of each (the join doesn't use them any more)."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
@@ -87,20 +91,53 @@ class Bands:
         return (1, 0) if d == 0 else (d + 2 + d // 16, d)
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of a sorted set, for its own band and the next one."""
-    own, out, mixed = bands.of(len(s)), [], mix(s)
-    for band in (own, own + 1):
-        if band > own and len(s) * bands.den < bands.low(band) * bands.num:
-            continue  # too small for any set of the next band
-        k, d = bands.parts(band)
-        part = ((s >> U64(32)) * U64(k)) >> U64(32)
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        salt = U64(band * 0x2545F491 + 1)
-        out.append(mix(np.add.reduceat(mixed, at) + mix((part[at] << U64(20)) ^ salt)))
-        if len(at) < d + 1:  # so many parts are empty that two such sets may share only empty ones
-            out.append(mix(np.setdiff1d(np.arange(k, dtype=U64), part[at]) + (salt << U64(33))))
-    return np.concatenate(out)
+def prefix(s: np.ndarray, order: tuple[np.ndarray, np.ndarray], num: int, den: int) -> np.ndarray:
+    """The first shingles of a sorted set in the order (times in the sample, hash): two sets that link share one of these, as
+    at least ceil(t * n) shingles of each are common and no common one comes before the first."""
+    frequent, times = order
+    k = len(s) + -len(s) * num // den + 1
+    if not len(frequent):
+        return s[:k]
+    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
+    return s[np.argsort(np.where(frequent[at] == s, times[at], 0), kind="stable")[:k]]
+
+
+def _frequent(docs: DataFrame, width: int, rows: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that documents of a sample share, the most frequent ones, and in how many of them each is."""
+    every = max(1, rows // max(SAMPLE, rows // 16))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / every / BLOCK))
+
+    def cut(batches):
+        for b in batches:
+            sets = [s for _, s in shingle_sets(b.column(0), width)]
+            if sets:
+                x, n = np.unique(np.concatenate(sets), return_counts=True)
+                to = (x % U64(parts)).astype(np.int32)
+                order = np.argsort(to, kind="stable")
+                p, at = np.unique(to[order], return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(p), *[pa.array([v.tobytes() for v in np.split(y[order], at[1:])], pa.binary()) for y in (x, n.astype(np.int32))]], ["p", "x", "n"])
+        tidy()
+
+    def meet(t: pa.Table) -> pa.Table:
+        x = np.concatenate([np.frombuffer(v.as_py(), np.int64) for v in t.column("x")])
+        n = np.concatenate([np.frombuffer(v.as_py(), np.int32) for v in t.column("n")])
+        x, at = np.unique(x, return_inverse=True)
+        n = np.bincount(at, n).astype(np.int64)
+        return pa.table({"x": x[n > 1], "n": n[n > 1]})
+
+    some = docs.filter("text is not null").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
+    found = settle(some.mapInArrow(cut, "p int, x binary, n binary").groupBy("p").applyInArrow(meet, "x long, n long"), "frequent")
+    # as many of the most frequent as fit; a document's times are at most the sample, so this is a short list
+    least, held = 2, 0
+    for r in found.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        held += r["count"]
+        if held > FREQUENT:
+            least = r["n"] + 1
+            break
+    got = found.filter(F.col("n") >= least).toArrow()
+    x, n = got.column("x").to_numpy().view(U64), got.column("n").to_numpy()
+    order = np.argsort(x)
+    return x[order], n[order]
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -124,9 +161,17 @@ def _to_least(me: np.ndarray, run: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([me, least])[:, me != least], axis=1)
 
 
-def _candidates(docs: DataFrame, width: int, bands: Bands, blocks: int) -> DataFrame:
-    """Distinct pairs (a, b) of set hashes that share a signature and connect all that share it: of its holders in a block
-    of signatures each is paired with the least, which alone goes on to meet those of other blocks."""
+def _several(sig: np.ndarray, me: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The shingles (twice, as pairs) whose runs of sorted entries have more than one holder."""
+    last = np.concatenate([run[1:], [len(me)]]) - 1
+    x = sig[run][me[run] != me[last]].view(np.int64)
+    return np.stack([x, x])
+
+
+def _candidates(docs: DataFrame, width: int, order, num: int, den: int, blocks: int) -> DataFrame:
+    """Distinct pairs (a, b) of set hashes that share a prefix's shingle and connect all that share it: of its holders in a
+    block each is paired with the least, which alone goes on to meet those of other blocks. The shingles that several sets
+    hold come too, as rows with a = b."""
 
     def sign(batches):
         held: list[tuple[np.ndarray, int]] = []
@@ -136,10 +181,10 @@ def _candidates(docs: DataFrame, width: int, bands: Bands, blocks: int) -> DataF
             sig = np.concatenate([x for x, _ in held])
             me = np.repeat(np.array([h for _, h in held], np.int64), [len(x) for x, _ in held])
             to = (sig % U64(blocks)).astype(np.int32)
-            order = np.lexsort((me, sig, to))
-            sig, me, to = sig[order], me[order], to[order]
+            sort = np.lexsort((me, sig, to))
+            sig, me, to = sig[sort], me[sort], to[sort]
             run = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            two = _to_least(me, run)  # the least alone travels on
+            two = np.concatenate([_to_least(me, run), _several(sig, me, run)], axis=1)  # the least alone travels on
             sig, me, to = sig[run], me[run], to[run]
             p, at = np.unique(to, return_index=True)
             blocks_of = lambda x: [y.tobytes() for y in np.split(x, at[1:])]
@@ -154,7 +199,7 @@ def _candidates(docs: DataFrame, width: int, bands: Bands, blocks: int) -> DataF
                 if h in seen:
                     continue
                 seen.add(h)
-                held.append((signatures(s, bands), h))
+                held.append((prefix(s, order.value, num, den), h))
                 size += len(held[-1][0])
                 if size > BLOCK:
                     yield from out()
@@ -170,9 +215,10 @@ def _candidates(docs: DataFrame, width: int, bands: Bands, blocks: int) -> DataF
         if t.column("p")[0].as_py() < 0:  # pairs found in a batch
             two = np.unique(np.stack([sig.view(np.int64), me]), axis=1)
         else:
-            order = np.lexsort((me, sig))
-            sig, me = sig[order], me[order]
-            two = _to_least(me, np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])))
+            sort = np.lexsort((me, sig))
+            sig, me = sig[sort], me[sort]
+            run = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            two = np.concatenate([_to_least(me, run), _several(sig, me, run)], axis=1)
         return pa.table({"a": two[0], "b": two[1]})
 
     return docs.mapInArrow(sign, "p int, sig binary, me binary").groupBy("p").applyInArrow(meet, "a long, b long").distinct()
@@ -197,9 +243,9 @@ def _may_link(n1, n2, apart, num: int, den: int):
 
 
 def _passing(t: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of a tile (id, h2, n, side, label, bits) that bit counts can't rule out and that aren't connected yet."""
+    """Pairs of a tile (id, h2, n, label, bits) that bit counts can't rule out and that aren't connected yet."""
     t = t.sort_by([("n", "ascending"), ("id", "ascending")])
-    ids, h2, n, side = (t.column(c).to_numpy() for c in ("id", "h2", "n", "side"))
+    ids, h2, n = (t.column(c).to_numpy() for c in ("id", "h2", "n"))
     label = np.unique(t.column("label").to_numpy(), return_inverse=True)[1]
     bits = [np.frombuffer(x.as_py(), U64) for x in t.column("bits")]
     width = np.array([len(b) for b in bits])
@@ -213,7 +259,7 @@ def _passing(t: pa.Table, num: int, den: int) -> pa.Table:
         matrix = np.stack([x if len(x) == w else _folded(x, w) for x in bits[first:last]])
         for i in own:
             j = np.arange(i + 1, limit[i])
-            j = j[(label[j] != label[i]) & ((side[j] != side[i]) if side[i] < 2 else True)]
+            j = j[label[j] != label[i]]
             if len(j):
                 apart = np.bitwise_count(matrix[j - first] ^ matrix[i - first]).sum(axis=1).astype(np.int64)
                 j = j[_may_link(n[i], n[j], apart, num, den)]
@@ -264,45 +310,108 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) ->
     return settle(pairs.join(x, ["a", "a2"]).join(y, ["b", "b2"]).select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
 
 
-def _tiles(brief: DataFrame, bands: Bands) -> DataFrame:
-    """brief (comp, id, h2, n, label, bits) -> (tile, side, id, h2, n, label, bits).
+def _open(brief: DataFrame) -> DataFrame:
+    """(comp, large) of the components with more than one connected part."""
+    count = brief.groupBy("comp").agg(F.count(F.lit(1)).alias("all_n"), F.sum(F.length("bits")).alias("all_b"), F.count_distinct("label").alias("labels")).filter("labels > 1")
+    return settle(count.select("comp", ((F.col("all_n") > TILE_ROWS) | (F.col("all_b") > TILE_BYTES)).alias("large")), "components")
+
+
+def _partners(sig: np.ndarray, me: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray, num: int, den: int):
+    """Distinct pairs (2, k), piece by piece, of holders of a common shingle whose labels differ and whose sizes and places of
+    the shingle allow a link: if it is the first that they share, all before it are in one of them only.
 
-    side 2: compare all with all, 0 and 1: across. A small component is one tile. Of a large one, members of its most
-    frequent label form blocks that meet only blocks of other members; blocks meet only within neighbouring size bands.
+    Of each shingle's holders those of its most frequent label meet only the others.
     """
-    columns = ["id", "h2", "n", "label", "bits"]
-    count = brief.groupBy("comp").agg(F.count(F.lit(1)).alias("all_n"), F.sum(F.length("bits")).alias("all_b"), F.count_distinct("label").alias("labels")).filter("labels > 1")
-    large = (F.col("all_n") > TILE_ROWS) | (F.col("all_b") > TILE_BYTES)
-    count = settle(count.select("comp", large.alias("large")), "components")
-    block = "struct<band:int,main:boolean,i:int>"
-    whole = F.struct(F.lit(-1).alias("band"), F.lit(False).alias("main"), F.lit(0).alias("i")).cast(block)
-    few = brief.join(count.filter("not large"), "comp").select(F.struct("comp", whole.alias("a"), whole.alias("b")).alias("tile"), F.lit(2).alias("side"), *columns)
-    ratio = F.lit(math.log(bands.den / bands.num))
-    big = brief.join(count.filter("large"), "comp").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / ratio + F.lit(1e-9)).cast("int"))
-    often = big.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("comp").agg(F.max_by("label", F.struct("k", "label")).alias("often"))
-    big = big.join(settle(often, "often"), "comp").withColumn("main", F.col("label") == F.col("often"))
-    size = big.groupBy("comp", "band", "main").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(TILE_ROWS)), F.ceil(F.sum(F.length("bits")) / F.lit(TILE_BYTES))).cast("int").alias("nb"))
-    # a component has two kinds of blocks for each size band, a bounded number
-    plan = settle(size.groupBy("comp").agg(F.collect_list(F.struct("band", "main", "nb")).alias("kinds")), "plan")
-    own = F.filter("kinds", lambda x: (x["band"] == F.col("band")) & (x["main"] == F.col("main")))[0]["nb"]
-    big = big.join(plan, "comp").withColumn("me", F.struct("band", "main", F.pmod(F.xxhash64("id"), own).cast("int").alias("i")).cast(block))
-    meets = F.filter("kinds", lambda x: (F.abs(x["band"] - F.col("band")) <= 1) & ~(x["main"] & F.col("main")))
-    others = F.flatten(F.transform(meets, lambda x: F.transform(F.sequence(F.lit(0), x["nb"] - 1), lambda i: F.struct(x["band"].alias("band"), x["main"].alias("main"), i.alias("i")).cast(block))))
-    spread = big.withColumn("other", F.explode(others))
-    many = spread.select(F.struct("comp", F.least("me", "other").alias("a"), F.greatest("me", "other").alias("b")).alias("tile"), F.when(F.col("me") == F.col("other"), 2).when(F.col("me") < F.col("other"), 0).otherwise(1).alias("side"), *columns)
-    return few.union(many)
+    sort = np.lexsort((label, sig))
+    run = np.cumsum(np.concatenate([[False], sig[sort][1:] != sig[sort][:-1]]))
+    part = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (label[sort][1:] != label[sort][:-1])]))
+    long = np.diff(np.concatenate([part, [len(sig)]]))
+    best = np.zeros(run[-1] + 1, np.int64)
+    np.maximum.at(best, run[part], long * len(sig) + np.arange(len(part)))
+    main = np.repeat(best[run[part]] % len(sig) == np.arange(len(part)), long)
+    group = 2 * run + main
+    again = np.lexsort((n[sort], group))
+    sort, group, main = sort[again], group[again], main[again]
+    me, label, n, place = me[sort], label[sort], n[sort], place[sort]
+    key = (group << 32) + n
+    k = np.flatnonzero(~main)
+    up = n[k] * den // num
+    own = (k, k + 1, np.searchsorted(key, (group[k] << 32) + up, "right"))
+    other = group[k] + 1 << 32
+    mains = (k, np.searchsorted(key, other - -n[k] * num // den), np.searchsorted(key, other + up, "right"))
+    for k, first, last in (own, mains):
+        count = last - first
+        total = np.concatenate([[0], np.cumsum(count)])
+        at = 0
+        while at < len(k):
+            to = max(at + 1, int(np.searchsorted(total, total[at] + PIECE, "right")) - 1)
+            x = np.repeat(k[at:to], count[at:to])
+            y = np.arange(len(x)) + np.repeat(first[at:to] - total[at:to] + total[at], count[at:to])
+            hit = (label[x] != label[y]) & _may_link(n[x], n[y], place[x] + place[y], num, den)
+            x, y = me[x[hit]], me[y[hit]]
+            if len(x):
+                yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+            at = to
+
+
+def _met(docs: DataFrame, big: DataFrame, shared: DataFrame, width: int, order, num: int, den: int, blocks: int) -> DataFrame:
+    """Distinct pairs (a, b) of set hashes of big (id, h1, h2, n, label) that may link, by the shared shingles of prefixes."""
+    size = B.bits_for(shared.count())
+    filled = docs.sparkSession.sparkContext.broadcast(B.count_bits(shared, size)[0])
+
+    def held(s):
+        x = prefix(s, order.value, num, den)
+        at = np.flatnonzero(B.contains(filled.value, x, size))
+        return np.stack([x[at].view(np.int64), at])
+
+    def deal(batches):
+        for b in batches:
+            xs = [np.frombuffer(v.as_py(), np.int64).reshape(2, -1) for v in b.column(3)]
+            row = np.repeat(np.arange(len(xs)), [x.shape[1] for x in xs])
+            if not len(row):
+                continue
+            sig, place = np.concatenate(xs, axis=1)
+            to = (sig.view(U64) % U64(blocks)).astype(np.int32)
+            sort = np.argsort(to, kind="stable")
+            p, at = np.unique(to[sort], return_index=True)
+            me, label, n = (b.column(k).to_numpy()[row] for k in (0, 1, 2))
+            parts = np.split(np.stack([sig, me, label, n << 32 | place])[:, sort], at[1:], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array([x.tobytes() for x in parts], pa.binary())], ["p", "x"])
+
+    def meet(batches):
+        def out():
+            sig, me, label, y = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in mine], axis=1)
+            for two in _partners(sig, me, label, y >> 32, y & 0xFFFFFFFF, num, den):
+                yield pa.RecordBatch.from_arrays([pa.array(two[0]), pa.array(two[1])], ["a", "b"])
+
+        now, mine = None, []
+        for b in batches:  # a block's rows come one after the other
+            for p, x in zip(b.column(0).to_pylist(), b.column(1)):
+                if p != now and mine:
+                    yield from out()
+                    mine = []
+                now = p
+                mine.append(x.as_py())
+        if mine:
+            yield from out()
+        tidy()
+
+    fetched = _fetch(docs, big.select("id"), width, held).select("id", "h2", "value").dropDuplicates(["id", "h2"])
+    rows = big.join(fetched, ["id", "h2"]).select("h1", "label", "n", "value").mapInArrow(deal, "p int, x binary")
+    return rows.repartition("p").sortWithinPartitions("p").mapInArrow(meet, "a long, b long").distinct()
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row for each row of df: id, n_shingles, class_id (the least id that links reach), for a Jaccard of num/den."""
     spark = df.sparkSession
-    bands = Bands(num, den)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = settle(_sets(docs, width), "sets")
     real = rows.filter("n > 0 and id is not null")
-    total = real.agg(F.sum("n")).first()[0] or 0
-    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * 2.4 * (den - num) / (den + num) / BLOCK), 1)
-    stars = settle(_candidates(docs, width, bands, blocks), "candidates")
+    count, total = real.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    order = spark.sparkContext.broadcast(_frequent(docs, width, count, total))
+    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total * (den - num) / den + count) / BLOCK), 1)
+    found = settle(_candidates(docs, width, order, num, den, blocks), "candidates")
+    stars, shared = found.filter("a <> b"), found.filter("a = b").select("a")
     near = settle(components(stars).select(F.col("node").alias("h1"), F.col("root").alias("comp")), "near")
     # one document stands for each set; equal sets are aggregated before the shuffle
     sets = real.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
@@ -320,13 +429,20 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(_may_link(n1, n2, apart, num, den))) for c in b.columns[:4]], ["a", "a2", "b", "b2"])
 
     side = lambda c: brief.select(F.col("h1").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("id", "h2", "n", "bits")])
-    sized = stars.join(side("a"), "a").join(side("b"), "b").filter((F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num))
-    pairs = sized.select("a_id", "a_h2", "b_id", "b_h2", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(bound, "a long, a2 long, b long, b2 long")
-    links = _links(docs, pairs, width, num, den)
+
+    def tested(two: DataFrame) -> DataFrame:
+        sized = two.join(side("a"), "a").join(side("b"), "b").filter((F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num))
+        return sized.select("a_id", "a_h2", "b_id", "b_h2", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(bound, "a long, a2 long, b long, b2 long")
+
+    links = _links(docs, tested(stars), width, num, den)
     labels = components(links).select(F.col("node").alias("id"), F.col("root").alias("label"))
     brief = settle(brief.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
-    tiles = _tiles(brief, bands).groupBy("tile").applyInArrow(lambda t: _passing(t, num, den), "a long, a2 long, b long, b2 long")
-    links = links.unionByName(_links(docs, tiles, width, num, den))
+    several = _open(brief)
+    rest = brief.join(several.filter("not large"), "comp").groupBy("comp").applyInArrow(lambda t: _passing(t, num, den), "a long, a2 long, b long, b2 long")
+    if not several.filter("large").isEmpty():
+        big = brief.join(several.filter("large"), "comp").select("id", "h1", "h2", "n", "label")
+        rest = rest.unionByName(tested(settle(_met(docs, big, shared, width, order, num, den, blocks), "met")))
+    links = links.unionByName(_links(docs, rest, width, num, den))
     roots = components(links).select(F.col("node").alias("id"), "root")
     # a table of its own, so that AQE can split the join's rows of one very frequent set
     classes = settle(sets.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id")), "classes")

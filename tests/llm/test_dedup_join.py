@@ -73,6 +73,36 @@ def test_join_hot_signatures_meet_block_by_block(spark, monkeypatch):
     assert got == brute_classes(rows, 3, 80, 100)
 
 
+def test_join_large_component_pairs_only_what_may_link(spark, monkeypatch):
+    """A passage that all share chains them; what grows with the pairs of a component isn't compared."""
+    import tessera.llm.ngram_join as j
+
+    passage, asked = [f"p{x}" for x in range(12)], []
+    rows = [(k, " ".join([*[f"w{k}_{x}" for x in range(30 + k % 7)], *passage])) for k in range(400)]
+    rows += [(1000 + k, " ".join([*[f"w{k}_{x}" for x in range(30 + k % 7)], *passage, *["z"] * (k % 3)])) for k in range(0, 400, 9)]
+    rows += [(2000 + k, " ".join(["same", *[f"v{x}" for x in range(40 - k % 4)], *(f"u{k}_{x}" for x in range(k % 9)), *passage])) for k in range(60)]
+    monkeypatch.setattr(j, "TILE_ROWS", 8)
+    links = j._links
+    monkeypatch.setattr(j, "_links", lambda docs, pairs, *more: asked.append(pairs.distinct().count()) or links(docs, pairs, *more))
+    got = sorted(tuple(r) for r in jaccard_classes(frame(spark, rows), width=3, num=80, den=100).collect())
+    assert got == brute_classes(rows, 3, 80, 100)
+    assert sum(asked) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("piece", [1, 50, 10**6])
+def test_partners_are_the_pairs_that_may_link(monkeypatch, piece):
+    import numpy as np
+    import tessera.llm.ngram_join as j
+
+    monkeypatch.setattr(j, "PIECE", piece)
+    rng = np.random.default_rng(3)
+    sig, me = np.divmod(np.unique(rng.integers(0, 9 * 60, 200)), 60)
+    n, label = rng.integers(5, 30, 60)[me], rng.integers(0, 6, 60)[me] // 3
+    place = rng.integers(0, 6, len(me))
+    want = {(min(me[a], me[b]), max(me[a], me[b])) for a in range(len(me)) for b in range(a) if sig[a] == sig[b] and label[a] != label[b] and 100 * min(n[a], n[b]) >= 80 * max(n[a], n[b]) and j._may_link(n[a], n[b], place[a] + place[b], 80, 100)}
+    assert want == {tuple(x) for two in j._partners(sig, me, label, n, place, 80, 100) for x in two.T}
+
+
 def test_parts_exceed_differences():
     for num in (50, 80, 90):
         b = Bands(num, 100)
