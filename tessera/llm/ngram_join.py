@@ -3,13 +3,13 @@
 1. Documents with equal sets fall together (128-bit hash of the set); one of them stands for all.
 2. Candidates: all shingles have one order, those that a sample of the documents holds often last. Two sets that link
    share a shingle among the first n - ceil(t * n) + 1 of each (prefix filter), whatever the order; with this one hardly
-   any that merely share a passage do. Prefixes travel as packed blocks. Of the documents with a common shingle each is
-   paired with the least of its block, and these with the least of all, so that a shingle that very many documents hold
-   travels once a block. These stars are tested by bit counts of hashed bitmaps, then by intersecting the sorted sets;
-   their links connect near copies in time linear in a group's size. Components of the stars bound what else may link.
-3. The rest: a component with more than one connected part is one tile if it is small; a tile holds bitmaps, not sets:
-   pairs that aren't connected and that bit counts can't rule out are intersected exactly. In a large component only those
-   are paired that share a prefix's shingle, aren't connected, and whose sizes and places of the shingle allow a link.
+   any that merely share a passage do. Shingles that only one prefix holds are left out. The holders of the others meet in
+   blocks of shingles: pairs whose sizes, places of the shingle and sketches (parities of hashed bits: they differ in no
+   more places than the sets do) allow a link connect them. A block gives a tree of what it connects, not its pairs, so at
+   most a row for each document that it holds.
+3. Components of these trees hold all links. Each is a tile, in which the overlaps of all sets are counted exactly, as a
+   product of matrices; large ones are dealt out over tiles of bounded size, so that any two documents meet in one. A tile
+   gives a tree of its links, too.
 4. Components of the links.
 
 Defined results: a null or empty text, or one of white space only, has no shingles and is linked with nothing (rows of
@@ -27,17 +27,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm import bits as B
 from tessera.llm._common import U64, chunks, mix, rows_of, settle, tidy, windows, words
-from tessera.llm.components import components
+from tessera.llm.components import components, local_roots
 
 #: Shingles of prefixes in a block that one Python task sorts at a time.
 BLOCK = 400_000
-#: A tile's side: documents, and bytes of their bitmaps.
-TILE_ROWS, TILE_BYTES = 4096, 16 << 20
+#: A tile: documents, and bytes of their sets; columns of its matrix that are multiplied at a time.
+TILE_ROWS, TILE_BYTES, COLUMNS = 2048, 16 << 20, 512
 #: The order of shingles counts them in this many documents (in a 16th of all, if those are more) and keeps so many at most.
 #: It decides how many pairs are looked at, never which links are found.
 SAMPLE, FREQUENT = 8192, 300_000
-#: Pairs that one task expands at a time.
-PIECE = 1_000_000
+#: Pairs that one task expands at a time, and bytes of sketches that it compares at a time.
+PIECE, COMPARED = 1_000_000, 8 << 20
 
 
 def shingle_sets(column, width: int):
@@ -155,27 +155,13 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(f, "id long, n long, h1 long, h2 long, row long")
 
 
-def _to_least(me: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Distinct pairs (2, n) of each entry with the first of its run, where they differ."""
-    least = np.repeat(me[run], np.diff(np.concatenate([run, [len(me)]])))
-    return np.unique(np.stack([me, least])[:, me != least], axis=1)
-
-
-def _several(sig: np.ndarray, me: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """The shingles (twice, as pairs) whose runs of sorted entries have more than one holder."""
-    last = np.concatenate([run[1:], [len(me)]]) - 1
-    x = sig[run][me[run] != me[last]].view(np.int64)
-    return np.stack([x, x])
-
-
-def _candidates(docs: DataFrame, width: int, order, num: int, den: int, blocks: int) -> DataFrame:
-    """Distinct pairs (a, b) of set hashes that share a prefix's shingle and connect all that share it: of its holders in a
-    block each is paired with the least, which alone goes on to meet those of other blocks. The shingles that several sets
-    hold come too, as rows with a = b."""
+def _shared(docs: DataFrame, width: int, order, num: int, den: int, blocks: int) -> DataFrame:
+    """(a): the shingles that the prefixes of several sets hold. Two of a block's holders are enough to tell, so a shingle that
+    very many documents hold travels twice a block."""
 
     def sign(batches):
         held: list[tuple[np.ndarray, int]] = []
-        size, names = 0, ["p", "sig", "me"]
+        size = 0
 
         def out():
             sig = np.concatenate([x for x, _ in held])
@@ -183,14 +169,12 @@ def _candidates(docs: DataFrame, width: int, order, num: int, den: int, blocks:
             to = (sig % U64(blocks)).astype(np.int32)
             sort = np.lexsort((me, sig, to))
             sig, me, to = sig[sort], me[sort], to[sort]
-            run = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            two = np.concatenate([_to_least(me, run), _several(sig, me, run)], axis=1)  # the least alone travels on
-            sig, me, to = sig[run], me[run], to[run]
+            end = sig[1:] != sig[:-1]
+            ends = np.concatenate([[True], end]) | np.concatenate([end, [True]])
+            sig, me, to = sig[ends], me[ends], to[ends]
             p, at = np.unique(to, return_index=True)
             blocks_of = lambda x: [y.tobytes() for y in np.split(x, at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(blocks_of(sig), pa.binary()), pa.array(blocks_of(me), pa.binary())], names)
-            if two.size:
-                yield pa.RecordBatch.from_arrays([pa.array([-1 - int(two[0, 0]) % blocks], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in two]], names)
+            return pa.RecordBatch.from_arrays([pa.array(p), pa.array(blocks_of(sig), pa.binary()), pa.array(blocks_of(me), pa.binary())], ["p", "sig", "me"])
 
         for b in batches:
             seen: set[int] = set()
@@ -202,39 +186,40 @@ def _candidates(docs: DataFrame, width: int, order, num: int, den: int, blocks:
                 held.append((prefix(s, order.value, num, den), h))
                 size += len(held[-1][0])
                 if size > BLOCK:
-                    yield from out()
+                    yield out()
                     held, size = [], 0
         if held:
-            yield from out()
+            yield out()
         held.clear()
         tidy()
 
     def meet(t: pa.Table) -> pa.Table:
         sig = np.concatenate([np.frombuffer(x.as_py(), U64) for x in t.column("sig")])
         me = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in t.column("me")])
-        if t.column("p")[0].as_py() < 0:  # pairs found in a batch
-            two = np.unique(np.stack([sig.view(np.int64), me]), axis=1)
-        else:
-            sort = np.lexsort((me, sig))
-            sig, me = sig[sort], me[sort]
-            run = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            two = np.concatenate([_to_least(me, run), _several(sig, me, run)], axis=1)
-        return pa.table({"a": two[0], "b": two[1]})
+        sort = np.lexsort((me, sig))
+        sig, me = sig[sort], me[sort]
+        run = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        last = np.concatenate([run[1:], [len(me)]]) - 1
+        return pa.table({"a": sig[run][me[run] != me[last]].view(np.int64)})
+
+    return docs.mapInArrow(sign, "p int, sig binary, me binary").groupBy("p").applyInArrow(meet, "a long")
 
-    return docs.mapInArrow(sign, "p int, sig binary, me binary").groupBy("p").applyInArrow(meet, "a long, b long").distinct()
 
+def sketch_bits(n, num: int, den: int) -> np.ndarray:
+    """Bits of the sketches of sets with n shingles: a power of two over 2.75 times what two linked sets can differ in. Half of
+    the bits of unrelated sets differ, which is more than that."""
+    most = 2 * np.asarray(n, np.int64) * (den - num) // (den + num)
+    return np.clip(1 << np.ceil(np.log2(np.maximum(2.75 * most, 1))).astype(np.int64), 256, 1 << 15)
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """A bitmap of the low bits of a set, of a width (a power of two) that follows the set's size."""
-    width = min(1 << 15, max(256, 1 << int(2 * len(s) - 1).bit_length()))
-    x = np.zeros(width, bool)
-    x[(s & U64(width - 1)).astype(np.int64)] = True
-    return np.packbits(x, bitorder="little").view(U64)
+
+def sketch(s: np.ndarray, bits: int) -> np.ndarray:
+    """Of each value of the low bits whether an odd number of the set's shingles has it."""
+    return np.packbits(np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").view(U64)
 
 
 def _folded(b: np.ndarray, words: int) -> np.ndarray:
-    """A bitmap as the same set would give it at a smaller width: its parts laid over each other."""
-    return np.bitwise_or.reduce(b.reshape(-1, words), axis=0)
+    """A sketch as the same set would give it with fewer bits: its parts laid over each other."""
+    return np.bitwise_xor.reduce(b.reshape(-1, words), axis=0)
 
 
 def _may_link(n1, n2, apart, num: int, den: int):
@@ -242,31 +227,21 @@ def _may_link(n1, n2, apart, num: int, den: int):
     return (n1 + n2 - apart) // 2 * (den + num) >= num * (n1 + n2)
 
 
-def _passing(t: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of a tile (id, h2, n, label, bits) that bit counts can't rule out and that aren't connected yet."""
-    t = t.sort_by([("n", "ascending"), ("id", "ascending")])
-    ids, h2, n = (t.column(c).to_numpy() for c in ("id", "h2", "n"))
-    label = np.unique(t.column("label").to_numpy(), return_inverse=True)[1]
-    bits = [np.frombuffer(x.as_py(), U64) for x in t.column("bits")]
-    width = np.array([len(b) for b in bits])
-    limit = np.searchsorted(n, n * den // num, "right")
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for w in np.unique(width):
-        own = np.flatnonzero(width == w)
-        first, last = own[0], limit[own].max()
-        if last - first < 2:
-            continue
-        matrix = np.stack([x if len(x) == w else _folded(x, w) for x in bits[first:last]])
-        for i in own:
-            j = np.arange(i + 1, limit[i])
-            j = j[label[j] != label[i]]
-            if len(j):
-                apart = np.bitwise_count(matrix[j - first] ^ matrix[i - first]).sum(axis=1).astype(np.int64)
-                j = j[_may_link(n[i], n[j], apart, num, den)]
-                a.append(np.full(len(j), i))
-                b.append(j)
-    a, b = np.concatenate(a), np.concatenate(b)
-    return pa.table({"a": ids[a], "a2": h2[a], "b": ids[b], "b2": h2[b]})
+def _alike(a: np.ndarray, b: np.ndarray, n: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which pairs (places in n and bits) sizes and sketches can't rule out."""
+    hit = np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num
+    width = np.array([len(x) for x in bits], np.int64)
+    least = np.minimum(width[a], width[b])
+    for w in np.unique(least[hit]):
+        k = np.flatnonzero(hit & (least == w))
+        used, at = np.unique(np.stack([a[k], b[k]]), return_inverse=True)
+        at, matrix = at.reshape(2, -1), np.stack([_folded(bits[x], w) for x in used])
+        step = max(1, COMPARED // (8 * int(w)))
+        for s in range(0, len(k), step):
+            x, y = at[:, s : s + step]
+            apart = np.bitwise_count(matrix[x] ^ matrix[y]).sum(axis=1).astype(np.int64)
+            hit[k[s : s + step]] = _may_link(n[used[x]], n[used[y]], apart, num, den)
+    return hit
 
 
 def _fetch(docs: DataFrame, ids: DataFrame, width: int, make) -> DataFrame:
@@ -291,31 +266,6 @@ def _fetch(docs: DataFrame, ids: DataFrame, width: int, make) -> DataFrame:
     return docs.mapInArrow(f, "id long, h2 long, n long, value binary")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, a2, b, b2) whose sets link, by intersecting the sorted arrays: (a, b). AQE splits the pairs of a
-    document that has very many."""
-    pairs = settle(pairs.distinct(), "pairs")
-    sets = settle(_fetch(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), width, lambda s: s).distinct(), "pair-sets")
-
-    def verify(batches):
-        for b in batches:
-            x, y = ([np.frombuffer(v.as_py(), U64) for v in b.column(k)] for k in (2, 3))
-            both = np.array([len(np.intersect1d(u, v, assume_unique=True)) for u, v in zip(x, y)], np.int64)
-            n = np.array([len(u) + len(v) for u, v in zip(x, y)], np.int64)
-            hit = pa.array(den * both >= num * (n - both))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(hit), b.column(1).filter(hit)], ["a", "b"])
-
-    x = sets.select(F.col("id").alias("a"), F.col("h2").alias("a2"), F.col("value").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("h2").alias("b2"), F.col("value").alias("y"))
-    return settle(pairs.join(x, ["a", "a2"]).join(y, ["b", "b2"]).select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
-
-
-def _open(brief: DataFrame) -> DataFrame:
-    """(comp, large) of the components with more than one connected part."""
-    count = brief.groupBy("comp").agg(F.count(F.lit(1)).alias("all_n"), F.sum(F.length("bits")).alias("all_b"), F.count_distinct("label").alias("labels")).filter("labels > 1")
-    return settle(count.select("comp", ((F.col("all_n") > TILE_ROWS) | (F.col("all_b") > TILE_BYTES)).alias("large")), "components")
-
-
 def _partners(sig: np.ndarray, me: np.ndarray, label: np.ndarray, n: np.ndarray, place: np.ndarray, num: int, den: int):
     """Distinct pairs (2, k), piece by piece, of holders of a common shingle whose labels differ and whose sizes and places of
     the shingle allow a link: if it is the first that they share, all before it are in one of them only.
@@ -354,53 +304,153 @@ def _partners(sig: np.ndarray, me: np.ndarray, label: np.ndarray, n: np.ndarray,
             at = to
 
 
-def _met(docs: DataFrame, big: DataFrame, shared: DataFrame, width: int, order, num: int, den: int, blocks: int) -> DataFrame:
-    """Distinct pairs (a, b) of set hashes of big (id, h1, h2, n, label) that may link, by the shared shingles of prefixes."""
+def _tree(sig: np.ndarray, me: np.ndarray, place: np.ndarray, n: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, root of each): what the pairs that may link connect. Entries say that document `me` has the shingle at a place of
+    its prefix; n and bits are the documents'. First each meets its shingle's first holder, then those that this leaves apart."""
+    sort = np.lexsort((me, sig))
+    sig, me, place = sig[sort], me[sort], place[sort]
+    new = np.concatenate([[True], sig[1:] != sig[:-1]])
+    run = np.flatnonzero(new)
+    first = np.repeat(me[run], np.diff(np.concatenate([run, [len(me)]])))
+    two = np.unique(np.stack([first, me])[:, first != me], axis=1)
+    two = two[:, _alike(*two, n, bits, num, den)]
+    label = np.arange(len(n))
+    nodes, root = local_roots(*two)
+    label[nodes] = root
+    found = [two]
+    for more in _partners(sig, me, label[me], n[me], place, num, den):
+        found.append(more[:, _alike(*more, n, bits, num, den)])
+        if sum(x.shape[1] for x in found) > PIECE:
+            found = [np.stack(local_roots(*np.concatenate(found, axis=1)))]
+    return local_roots(*np.concatenate(found, axis=1))
+
+
+def _candidates(docs: DataFrame, shared: DataFrame, width: int, order, num: int, den: int, blocks: int) -> DataFrame:
+    """Distinct pairs (a, b) of set hashes that connect all sets which may link, by the shared shingles of prefixes."""
     size = B.bits_for(shared.count())
     filled = docs.sparkSession.sparkContext.broadcast(B.count_bits(shared, size)[0])
 
-    def held(s):
-        x = prefix(s, order.value, num, den)
-        at = np.flatnonzero(B.contains(filled.value, x, size))
-        return np.stack([x[at].view(np.int64), at])
-
     def deal(batches):
-        for b in batches:
-            xs = [np.frombuffer(v.as_py(), np.int64).reshape(2, -1) for v in b.column(3)]
-            row = np.repeat(np.arange(len(xs)), [x.shape[1] for x in xs])
-            if not len(row):
-                continue
-            sig, place = np.concatenate(xs, axis=1)
-            to = (sig.view(U64) % U64(blocks)).astype(np.int32)
+        held: list[tuple] = []
+        total, names = 0, ["p", "x", "d", "bits"]
+
+        def out():
+            sig = np.concatenate([x for x, *_ in held])
+            doc = np.repeat(np.arange(len(held)), [len(x) for x, *_ in held])
+            place = np.concatenate([np.arange(len(x)) for x, *_ in held])
+            keep = np.flatnonzero(B.contains(filled.value, sig, size))
+            to = (sig[keep] % U64(blocks)).astype(np.int32)
             sort = np.argsort(to, kind="stable")
-            p, at = np.unique(to[sort], return_index=True)
-            me, label, n = (b.column(k).to_numpy()[row] for k in (0, 1, 2))
-            parts = np.split(np.stack([sig, me, label, n << 32 | place])[:, sort], at[1:], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array([x.tobytes() for x in parts], pa.binary())], ["p", "x"])
+            keep, to = keep[sort], to[sort]
+            sig, doc, place = sig[keep].view(np.int64), doc[keep], place[keep]
+            me, n = np.array([h for _, h, *_ in held], np.int64), np.array([k for _, _, k, _ in held], np.int64)
+            p, at = np.unique(to, return_index=True)
+            x, d, bits = [], [], []
+            for k in np.split(np.arange(len(to)), at[1:]) if len(to) else []:
+                own = np.unique(doc[k])
+                x.append(np.stack([sig[k], me[doc[k]], place[k]]).tobytes())
+                d.append(np.stack([me[own], n[own]]).tobytes())
+                bits.append(b"".join(held[o][3] for o in own))
+            return pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *[pa.array(y, pa.binary()) for y in (x, d, bits)]], names)
+
+        for b in batches:
+            seen: set[int] = set()
+            for _, s in shingle_sets(b.column(1), width):
+                h = set_hash(s)[0]
+                if h in seen:
+                    continue
+                seen.add(h)
+                held.append((prefix(s, order.value, num, den), h, len(s), sketch(s, int(sketch_bits(len(s), num, den))).tobytes()))
+                total += len(held[-1][0])
+                if total > BLOCK:
+                    yield out()
+                    held, total = [], 0
+        if held:
+            yield out()
+        held.clear()
+        tidy()
 
     def meet(batches):
         def out():
-            sig, me, label, y = np.concatenate([np.frombuffer(x, np.int64).reshape(4, -1) for x in mine], axis=1)
-            for two in _partners(sig, me, label, y >> 32, y & 0xFFFFFFFF, num, den):
-                yield pa.RecordBatch.from_arrays([pa.array(two[0]), pa.array(two[1])], ["a", "b"])
+            sig, me, place = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x, _, _ in mine], axis=1)
+            docs, n = np.concatenate([np.frombuffer(d, np.int64).reshape(2, -1) for _, d, _ in mine], axis=1)
+            ends = np.cumsum(sketch_bits(n, num, den) // 64)
+            words = np.frombuffer(b"".join(x for _, _, x in mine), U64)
+            docs, at = np.unique(docs, return_index=True)
+            bits = [words[(ends[k - 1] if k else 0) : ends[k]] for k in at]
+            sig, me, place = np.unique(np.stack([sig, me, place]), axis=1)  # copies in other batches
+            nodes, root = _tree(sig, np.searchsorted(docs, me), place, n[at], bits, num, den)
+            other = nodes != root
+            return pa.RecordBatch.from_arrays([pa.array(docs[nodes[other]]), pa.array(docs[root[other]])], ["a", "b"])
 
         now, mine = None, []
         for b in batches:  # a block's rows come one after the other
-            for p, x in zip(b.column(0).to_pylist(), b.column(1)):
-                if p != now and mine:
-                    yield from out()
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0] != now and mine:
+                    yield out()
                     mine = []
-                now = p
-                mine.append(x.as_py())
+                now = row[0]
+                mine.append(row[1:])
         if mine:
-            yield from out()
+            yield out()
         tidy()
 
-    fetched = _fetch(docs, big.select("id"), width, held).select("id", "h2", "value").dropDuplicates(["id", "h2"])
-    rows = big.join(fetched, ["id", "h2"]).select("h1", "label", "n", "value").mapInArrow(deal, "p int, x binary")
+    rows = docs.mapInArrow(deal, "p int, x binary, d binary, bits binary")
     return rows.repartition("p").sortWithinPartitions("p").mapInArrow(meet, "a long, b long").distinct()
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets with all others. Shingles are columns of a matrix, in the order of their first holders, so
+    that a slice of it has few rows where documents have little in common."""
+    m = len(sets)
+    _, first, col, times = np.unique(np.concatenate(sets), return_index=True, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    place = np.empty(len(first), np.int64)
+    place[np.lexsort((first, times < 2))] = np.arange(len(first))
+    keep = np.flatnonzero(times[col] > 1)
+    col, row = place[col[keep]], row[keep]
+    sort = np.argsort(col, kind="stable")
+    col, row = col[sort], row[sort]
+    both = np.zeros((m, m), np.int32)
+    for k in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
+        s = slice(*np.searchsorted(col, [k, k + COLUMNS]))
+        rows, at = np.unique(row[s], return_inverse=True)
+        x = np.zeros((len(rows), COLUMNS), np.float32)  # exact: sums are at most the columns
+        x[at, col[s] - k] = 1
+        both[np.ix_(rows, rows)] += (x @ x.T).astype(np.int32)
+    return both
+
+
+def _linked(t: pa.Table, num: int, den: int) -> pa.Table:
+    """A tree (a, b) of the links of a tile (id, value)."""
+    ids = t.column("id").to_numpy()
+    sets = [np.frombuffer(x.as_py(), U64) for x in t.column("value")]
+    both, n = overlaps(sets), np.array([len(s) for s in sets], np.int64)
+    found = [np.zeros((2, 0), np.int64)]
+    for k in range(len(ids)):
+        j = k + 1 + np.flatnonzero((den + num) * both[k, k + 1 :].astype(np.int64) >= num * (n[k] + n[k + 1 :]))
+        found.append(np.stack([np.full(len(j), k), j]))
+    nodes, root = local_roots(*np.concatenate(found, axis=1))
+    other = nodes != root
+    return pa.table({"a": ids[nodes[other]], "b": ids[root[other]]})
+
+
+def _links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) of ids that connect all that link; pairs of set hashes bound what may. A component over a tile's size is dealt
+    into parts of half a tile, and any two parts are a tile."""
+    near = settle(components(pairs).select(F.col("node").alias("h1"), F.col("root").alias("comp")), "near")
+    stand = settle(sets.join(near, "h1").select("id", "h2", "n", "comp"), "stand")
+    tiles = F.greatest(F.count(F.lit(1)) / TILE_ROWS, F.sum("n") * 8 / TILE_BYTES)
+    parts = stand.groupBy("comp").agg(F.when(tiles > 1, F.ceil(2 * tiles)).otherwise(1).cast("int").alias("parts"))
+    dealt = stand.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("id", "h2"), F.col("parts")).cast("int"))
+    dealt = settle(dealt.select("id", "h2", "comp", "parts", "part"), "dealt")
+    found = dealt.join(_fetch(docs, stand.select("id"), width, lambda s: s).drop("n").dropDuplicates(["id", "h2"]), ["id", "h2"])
+    other = F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part"))))
+    rows = found.select("comp", "id", "value", "part", other.alias("with"))
+    rows = rows.select("comp", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "id", "value")
+    return settle(rows.groupBy("comp", "one", "two").applyInArrow(lambda t: _linked(t, num, den), "a long, b long"), "links")
+
+
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row for each row of df: id, n_shingles, class_id (the least id that links reach), for a Jaccard of num/den."""
     spark = df.sparkSession
@@ -410,39 +460,11 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     count, total = real.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     order = spark.sparkContext.broadcast(_frequent(docs, width, count, total))
     blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((total * (den - num) / den + count) / BLOCK), 1)
-    found = settle(_candidates(docs, width, order, num, den, blocks), "candidates")
-    stars, shared = found.filter("a <> b"), found.filter("a = b").select("a")
-    near = settle(components(stars).select(F.col("node").alias("h1"), F.col("root").alias("comp")), "near")
+    shared = settle(_shared(docs, width, order, num, den, blocks), "shared")
+    pairs = settle(_candidates(docs, shared, width, order, num, den, blocks), "candidates")
     # one document stands for each set; equal sets are aggregated before the shuffle
     sets = real.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("n").alias("n"))
-    stand = settle(sets.join(near, "h1").select("id", "h1", "h2", "comp"), "stand")
-    brief = settle(stand.join(_fetch(docs, stand.select("id"), width, bitmap), ["id", "h2"]).select("comp", "id", "h1", "h2", "n", F.col("value").alias("bits")), "brief")
-
-    def bound(batches):
-        for b in batches:
-            n1, n2 = b.column(4).to_numpy(), b.column(5).to_numpy()
-            apart = np.zeros(b.num_rows, np.int64)
-            for k, (x, y) in enumerate(zip(b.column(6), b.column(7))):
-                x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
-                w = min(len(x), len(y))
-                apart[k] = np.bitwise_count(_folded(x, w) ^ _folded(y, w)).sum()
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(_may_link(n1, n2, apart, num, den))) for c in b.columns[:4]], ["a", "a2", "b", "b2"])
-
-    side = lambda c: brief.select(F.col("h1").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("id", "h2", "n", "bits")])
-
-    def tested(two: DataFrame) -> DataFrame:
-        sized = two.join(side("a"), "a").join(side("b"), "b").filter((F.col("a_n") * den >= F.col("b_n") * num) & (F.col("b_n") * den >= F.col("a_n") * num))
-        return sized.select("a_id", "a_h2", "b_id", "b_h2", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(bound, "a long, a2 long, b long, b2 long")
-
-    links = _links(docs, tested(stars), width, num, den)
-    labels = components(links).select(F.col("node").alias("id"), F.col("root").alias("label"))
-    brief = settle(brief.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
-    several = _open(brief)
-    rest = brief.join(several.filter("not large"), "comp").groupBy("comp").applyInArrow(lambda t: _passing(t, num, den), "a long, a2 long, b long, b2 long")
-    if not several.filter("large").isEmpty():
-        big = brief.join(several.filter("large"), "comp").select("id", "h1", "h2", "n", "label")
-        rest = rest.unionByName(tested(settle(_met(docs, big, shared, width, order, num, den, blocks), "met")))
-    links = links.unionByName(_links(docs, rest, width, num, den))
+    links = _links(docs, pairs, sets, width, num, den)
     roots = components(links).select(F.col("node").alias("id"), "root")
     # a table of its own, so that AQE can split the join's rows of one very frequent set
     classes = settle(sets.join(roots, "id", "left").select("h1", "h2", F.coalesce("root", "id").alias("class_id")), "classes")

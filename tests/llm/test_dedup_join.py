@@ -103,6 +103,59 @@ def test_partners_are_the_pairs_that_may_link(monkeypatch, piece):
     assert want == {tuple(x) for two in j._partners(sig, me, label, n, place, 80, 100) for x in two.T}
 
 
+@pytest.mark.parametrize("tile", [2048, 32])
+def test_join_near_copies_that_hardly_link_give_rows_not_pairs(spark, monkeypatch, tile):
+    """Copies of one text, each edited in places of its own: near the threshold, so that neither shingles nor sketches rule out
+    their pairs, and only some of them link."""
+    import numpy as np
+    import tessera.llm.ngram_join as j
+
+    rng, made = np.random.default_rng(7), {}
+    rows = []
+    for k in range(300):
+        w = [f"w{x}" for x in range(150)]
+        for x in rng.integers(0, 150, 1 + k % 3):
+            w[x] = f"x{k}_{x}"
+        rows.append((k, " ".join(w)))
+    settle = j.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        if out.columns[:2] == ["a", "b"] or "a_id" in out.columns or "a2" in out.columns:
+            made[name] = max(out.count(), made.get(name, 0))
+        return out
+
+    monkeypatch.setattr(j, "settle", counted)
+    monkeypatch.setattr(j, "TILE_ROWS", tile)
+    got = sorted(tuple(r) for r in jaccard_classes(frame(spark, rows), width=3, num=90, den=100).collect())
+    assert got == brute_classes(rows, 3, 90, 100)
+    assert 1 < len({r[2] for r in got}) < 250
+    # trees: one for each block or tile, of which a document is in as many as it has shared shingles or other parts
+    assert made["candidates"] < 10 * len(rows) and made["links"] < (1 if tile == 2048 else 20) * len(rows) and "pairs" not in made
+
+
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (50, 100)])
+def test_sketches_rule_out_no_link_and_overlaps_are_exact(monkeypatch, num, den):
+    import numpy as np
+    import tessera.llm.ngram_join as j
+
+    monkeypatch.setattr(j, "COMPARED", 4096)
+    monkeypatch.setattr(j, "COLUMNS", 64)
+    rng, sets = np.random.default_rng(num), [np.array([5], np.uint64)]
+    for size in (1, 3, 40, 500, 4000):
+        base = rng.integers(0, 2**64, size, np.uint64)
+        for _ in range(12):
+            sets.append(np.unique(np.concatenate([base[rng.random(size) > 0.04], rng.integers(0, 2**64, 1 + size // 30, np.uint64)])))
+    n = np.array([len(s) for s in sets])
+    bits = [j.sketch(s, int(w)) for s, w in zip(sets, j.sketch_bits(n, num, den))]
+    both = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    assert (j.overlaps(sets) == both)[~np.eye(len(sets), dtype=bool)].all()
+    a, b = np.triu_indices(len(sets), 1)
+    link = den * both[a, b] >= num * (n[a] + n[b] - both[a, b])
+    alike = j._alike(a, b, n, bits, num, den)
+    assert link.any() and not (link & ~alike).any() and not alike[(both[a, b] < 3) & (n[a] > 300)].any()
+
+
 def test_parts_exceed_differences():
     for num in (50, 80, 90):
         b = Bands(num, 100)
