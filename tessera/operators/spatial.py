@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -24,10 +26,16 @@ CELL = ["g", "level", "cx", "cy"]
 #: Boxes of an image up to which it is compared whole, and of a cell up to which each is compared with all others of the cell
 #: when suppression looks for what may stay.
 FEW = 256
-#: Boxes of a part of the ranking, and parts at most; each batch of parts is GROWTH times the one before.
-PART, PARTS, GROWTH = 50_000, 1000, 4
-#: Pairs of boxes of one cell that a batch may compare, and overlapping pairs that one task may order.
-PAIRS, EDGES = 300_000_000, 1_000_000
+#: Boxes of a part of the ranking, tasks that sort one, and parts at most; each batch of parts is GROWTH times the one before.
+PART, SLICES, PARTS, GROWTH = 1_000_000, 8, 1000, 4
+#: Boxes that a task may hold of a tile, and overlapping pairs of them that it orders at a time (unless few boxes have more).
+EDGES, PAIRS = 1_200_000, 4_000_000
+#: Levels (powers of two of the longer side) of a band, whose boxes share a grid of tiles; the side of a tile and how far it
+#: looks beyond its edges, both in longest sides of the band.
+LEVELS, SPAN, HALO = 6, 6, 1.5
+TILE = ["band", "tx", "ty"]
+#: What a tile knows of a box: whether it sees all that may overlap it, whether it is the one to tell, whether it stays for sure.
+SURE, CORE, FIXED = 1, 2, 4
 
 
 def _proper() -> F.Column:
@@ -93,10 +101,10 @@ def suppress_by_rounds(detections: DataFrame, least: float = OVERLAP, agnostic:
     """suppress() for images of any number of boxes; ties beyond det_id go to any one row.
 
     Groups of up to FEW boxes are folded by suppress(). The boxes of fuller ones are ranked by one sort and taken in batches,
-    best first, each batch some times larger than the one before. What overlaps a box that stays goes at once: those that
-    stay are few in each cell, whatever the crowd, so a box is compared with few others. The overlapping pairs that
-    remain in the batch are ordered in one task if they are few; else the batch is made smaller, down to a part of the
-    ranking, which is then resolved in rounds.
+    best first, each batch some times larger than the one before. What overlaps a box that stays goes at once; the rest is
+    decided tile by tile, each tile with what lies around it. Boxes whose fate hangs on what a tile doesn't see are left
+    to the next look, through tiles in other places. If a tile holds too many boxes the batch is made smaller, down to
+    a part of the ranking, which is then resolved in rounds.
     """
     if least <= 0:
         return suppress(detections, least, agnostic)
@@ -109,77 +117,239 @@ def suppress_by_rounds(detections: DataFrame, least: float = OVERLAP, agnostic:
     if few is not None:
         kept = kept.union(suppress(few, least, agnostic))
     if many is not None:
-        stay = _suppress_crowd(many.select(*keys, "score", "det_id", "__uid", *BOX), keys, least)
-        kept = kept.union(many.join(stay, "__uid", "left_semi").select(rows.columns))
+        light = set(detections.columns) <= {"img", "cls", "score", "det_id", *BOX} and all(detections.schema[c].dataType.typeName() in ("double", "float") for c in BOX)
+        stay = _suppress_crowd(many, keys, least, [c for c in detections.columns if c not in (*keys, *BOX)] if light else [])
+        kept = kept.union((stay if light else many.join(stay, "__uid", "left_semi")).select(rows.columns))
     return kept.drop("__uid")
 
 
-def _suppress_crowd(boxes: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """__uid of the boxes that stay."""
+def _suppress_crowd(boxes: DataFrame, keys: list[str], least: float, more: list[str]) -> DataFrame:
+    """The boxes that stay: keys, coordinates, __uid and `more` columns."""
     spark = boxes.sparkSession
     parts = max(1, min(PARTS, math.ceil(boxes.count() / PART)))
     order = [-F.col("score"), F.col("det_id"), F.col("__uid")]
-    ranked = boxes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranked = boxes.repartitionByRange(parts * SLICES, *order).sortWithinPartitions(*order)
     # ids grow from row to row and from partition to partition: the place in the ranking, and the part of it
-    ranked = settled(ranked.select(F.monotonically_increasing_id().alias("det_id"), F.spark_partition_id().alias("part"), "__uid", *keys, *BOX), "ranked")
-    parts = 1 + (ranked.agg(F.max("part")).first()[0] or 0)
+    place = [F.monotonically_increasing_id().alias("det_id"), F.floor(F.spark_partition_id() / SLICES).alias("part")]
+    box = [F.col(c) if boxes.schema[c].dataType.typeName() in ("double", "float") else F.col(c).cast("double").alias(c) for c in BOX]
+    ranked = settled(ranked.select(*place, "__uid", *keys, *box, *[F.col(c).alias(f"__{c}") for c in more]), "ranked")
+    last, levels = ranked.agg(F.max("part"), F.collect_set(_level())).first()
+    parts = 1 + (last or 0)
     stay = spark.createDataFrame([], ranked.schema)
     at, step = 0, 1
     while at < parts:
         step = min(step, parts - at)
         batch = ranked.filter(F.col("part").between(at, at + step - 1))
-        live = settled(batch if at == 0 else _untouched(batch, stay, keys, least), "live")
-        gone = _beaten(live, keys, least)
-        if gone is None and step > 1:
+        live = batch if at == 0 else settled(_untouched(batch, stay, keys, least, levels), "live")
+        safe = _beaten(live, keys, least, levels)
+        if safe is None and step > 1:
             step = max(1, step // GROWTH)
             continue
-        safe = _rounds(live, keys, least) if gone is None else live.join(gone, "det_id", "left_anti")
-        safe = settled(safe.select(ranked.columns), "stay")
+        safe = settled(_rounds(live, keys, least).select(ranked.columns), "stay") if safe is None else safe
         stay = safe if at == 0 else stay.union(safe)
         at, step = at + step, GROWTH * step
-    return stay.select("__uid")
-
-
-def _untouched(boxes: DataFrame, stay: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """The boxes that none of those that stay overlaps. A box is looked up in one cell only, that of its middle at its own level;
-    those that stay are entered in all cells where a partner's middle can lie."""
-    long = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    level = lambda share: F.floor(F.log2(long * share))
-    s = stay.select(F.struct(*keys).alias("g"), *[F.col(c).alias(f"a_{c}") for c in BOX], F.explode(F.sequence(level(least * 0.999), level(1.001 / least))).alias("level"))
-    # sides of a partner at that level are below 2 ** (level + 1), with room for rounded logarithms
-    reach = F.pow(F.lit(2.0), F.col("level")) * 1.001
-    for a, low, high in (("cx", "a_x1", "a_x2"), ("cy", "a_y1", "a_y2")):
-        # middles are apart by half of both sides at most, less the share of the larger that both must cover
-        side = F.col(high) - F.col(low)
-        near = reach - least * side
-        s = s.select("*", F.explode(F.sequence(_cell(F.col(low) - near), _cell(F.col(high) + near))).alias(a))
-    b = boxes.withColumn("g", F.struct(*keys)).withColumn("level", level(1.0))
-    b = b.withColumn("cx", _cell((F.col("x1") + F.col("x2")) / 2)).withColumn("cy", _cell((F.col("y1") + F.col("y2")) / 2))
-    s = s.withColumnsRenamed({c: f"s_{c}" for c in CELL})
-    on = _shared() > least
-    for c in CELL:
-        on = (F.col(c) == F.col(f"s_{c}")) & on
-    return b.join(s, on, "left_anti").select(boxes.columns)
-
-
-def _beaten(live: DataFrame, keys: list[str], least: float) -> DataFrame | None:
-    """det_id (the place in the ranking) of boxes that a better one suppresses which stays; none if the pairs are too many."""
-    cells = _entered(live, keys, least, []).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("o"))
-    if (cells.agg(F.sum(F.col("n").cast("double") * F.col("o"))).first()[0] or 0) > PAIRS:
+    return stay.select(*keys, *BOX, "__uid", *[F.col(f"__{c}").alias(c) for c in more])
+
+
+def _level() -> F.Column:
+    return F.floor(F.log2(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))))
+
+
+def _tiles(boxes: DataFrame, least: float, levels: list[int], turn: int = 0, core: bool = False, span: float = SPAN) -> DataFrame:
+    """A row for each box and tile that sees it, or only for the tile that tells it (that of its middle, in the box's own band),
+    with `see`, what the tile knows. Bands are counted from the largest of `levels` down; those of the levels beside a band
+    whose boxes may overlap one of it are its guests. Every other turn tiles lie half a tile further."""
+    top, more = max(levels), math.ceil(math.log2(1 / least)) + 1
+    used = sorted({(top - x) // LEVELS for x in levels})
+    band = lambda by: F.floor((F.lit(top) - _level() + by) / LEVELS)
+    rows = boxes.withColumn("own", band(0))
+    if core or len(used) == 1:
+        rows = rows.withColumn("band", F.col("own"))
+    else:
+        rows = rows.withColumn("band", F.explode(F.sequence(band(-more), band(more)))).filter(F.col("band").isin(used))
+    side = F.pow(F.lit(2.0), F.lit(top + 1) - LEVELS * F.col("band"))
+    # all of these grow with x, so whatever overlaps a box that ends within a tile's sight is seen there, however x is rounded
+    tile = lambda x, by: F.floor((x / side + by) / span + turn % 2 / 2)
+    tells, sure = F.col("band") == F.col("own"), F.col("band") == F.col("own")
+    for t, low, high in (("tx", F.col("x1"), F.col("x2")), ("ty", F.col("y1"), F.col("y2"))):
+        middle = tile(low + (high - low) / 2, 0)
+        rows = rows.withColumn(t, middle if core else F.explode(F.sequence(tile(low, -HALO), tile(high, HALO))))
+        tells &= F.col(t) == middle
+        sure &= F.col(t).between(tile(high, -HALO), tile(low, HALO))
+    see = F.when(tells, F.lit(CORE | SURE)).when(sure, F.lit(SURE)).otherwise(F.lit(0))
+    return rows.select(*boxes.columns, *TILE, see.alias("see"))
+
+
+def _most(tiles: DataFrame, keys: list[str]) -> int:
+    return tiles.groupBy(*keys, *TILE).count().agg(F.max("count")).first()[0] or 0
+
+
+def _by_tile(tiles: DataFrame, on: list[str], rows: int, f, schema: str) -> DataFrame:
+    spark = tiles.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, rows // 250_000)
+    return tiles.repartition(tasks, *on).groupBy(*on).applyInArrow(f, schema)
+
+
+def _schema(df: DataFrame, *more: str) -> str:
+    return ", ".join([f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema] + list(more))
+
+
+def _untouched(boxes: DataFrame, stay: DataFrame, keys: list[str], least: float, levels: list[int]) -> DataFrame:
+    """The boxes that none of those that stay overlaps. The boxes of a full tile are dealt to several tasks."""
+    told, rows = _tiles(boxes, least, levels, core=True), boxes.count()
+    shares = math.ceil(_most(told, keys) / EDGES) if rows > EDGES else 1
+    fixed = _tiles(stay, least, levels).withColumn("see", F.lit(FIXED)).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    both = told.withColumn("share", F.pmod("det_id", F.lit(shares)).cast("int")).unionByName(fixed)
+    names = boxes.columns
+
+    def rest(table: pa.Table) -> pa.Table:
+        see = table["see"].to_numpy()
+        fixed, free = np.flatnonzero(see == FIXED), np.flatnonzero(see != FIXED)
+        box, left = _sides(table), np.ones(len(free), bool)
+        for _, j in _hits([x[fixed] for x in box], [x[free] for x in box], least):
+            left[j] = False
+        return table.select(names).take(pa.array(free[left]))
+
+    return _by_tile(both, [*keys, *TILE, "share"], rows, rest, _schema(boxes))
+
+
+def _beaten(live: DataFrame, keys: list[str], least: float, levels: list[int]) -> DataFrame | None:
+    """The boxes (det_id is the place in the ranking) that stay once the beaten are out, those that a better one suppresses
+    which stays; none if a tile has too many boxes.
+
+    No look is in vain: the best of the boxes that are left to the next one is told there, as the tile that tells a box
+    sees all that overlap it. From the third look on tiles grow, if they don't hold too much then, so that long chains end soon."""
+    rows = live.count()
+    if rows > EDGES and _most(_tiles(live, least, levels), keys) > EDGES:
         return None
-    pairs = settled(_met(live, keys, least).select("id_a", "id_b"), "pairs")
-    if pairs.count() > EDGES:
-        return None
-
-    def decide(batches):
-        gone = set()
-        for x in batches:  # all that could suppress a box come before it as the second of a pair
-            for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
-                if a not in gone:
-                    gone.add(b)
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(gone), pa.int64())], ["det_id"])
-
-    return settled(pairs.coalesce(1).sortWithinPartitions("id_b", "id_a").mapInArrow(decide, "det_id long"), "gone")
+    names, on, left, stay, turn, span = live.columns, [*keys, *TILE], live, None, 0, SPAN
+
+    def decide(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table["det_id"].to_numpy())))
+        see = table["see"].to_numpy()
+        state = _resolve(_sides(table), see, least)
+        out = np.flatnonzero((see & CORE > 0) & (see & FIXED == 0) & (state < GONE))
+        return table.select(names).take(pa.array(out)).append_column("open", pa.array(state[out] == OPEN))
+
+    while True:
+        tiles = _tiles(left, least, levels, turn, span=span)
+        if stay is not None:
+            told = _tiles(left, least, levels, turn, True, span).select(*on).distinct()
+            tiles, fixed = [x.join(told, reduce(lambda a, b: a & b, [x[k].eqNullSafe(told[k]) for k in on]), "left_semi") for x in (tiles, _tiles(stay, least, levels, turn, span=span))]
+            tiles = tiles.union(fixed.withColumn("see", F.lit(FIXED)))
+        out = settled(_by_tile(tiles, on, rows, decide, _schema(live, "open boolean")), "told")
+        safe, left = out.filter("NOT open").select(names), out.filter("open").select(names)
+        stay, turn = safe if stay is None else stay.union(safe), turn + 1
+        if left.isEmpty():
+            return stay
+        if turn > 1 and (rows <= EDGES or _most(_tiles(stay.union(left), least, levels, turn, span=GROWTH * span), keys) <= EDGES):
+            span *= GROWTH
+
+
+OPEN, STAYS, GONE = 0, 1, 2
+
+
+def _sides(table: pa.Table) -> list[np.ndarray]:
+    return [table[c].to_numpy() for c in BOX]
+
+
+def _hits(a: list[np.ndarray], b: list[np.ndarray], least: float):
+    """Places in a and in b of boxes that overlap more than `least`, array by array. A box of b is looked up in one cell, that
+    of its middle at its own level, from the cells where a partner's middle can lie."""
+    if not len(a[0]) or not len(b[0]):
+        return
+    a64, b64 = [[x.astype(float, copy=False) for x in y] for y in (a, b)]
+    long = np.maximum(a64[2] - a64[0], a64[3] - a64[1])
+    level = np.floor(np.log2(np.maximum(b64[2] - b64[0], b64[3] - b64[1])))
+    area = [(x[2] - x[0]) * (x[3] - x[1]) for x in (a, b)]
+    for at in np.unique(level):
+        w = 2.0**at
+        j, i = np.flatnonzero(level == at), np.flatnonzero((long > w * least * 0.999) & (long < 2.002 * w / least))
+        if not len(i):
+            continue
+        ranges = []
+        for low, high in ((0, 2), (1, 3)):
+            cell = np.floor((b64[low][j] + (b64[high][j] - b64[low][j]) / 2) / w)
+            first, cells = cell.min(), int(np.ptp(cell)) + 1
+            # middles are apart by half of both sides at most, less the share of the larger that both must cover
+            near = w * 1.001 - least * (a64[high][i] - a64[low][i])
+            start, end = np.floor((a64[low][i] - near) / w) - first, np.floor((a64[high][i] + near) / w) - first
+            ranges.append(((cell - first).astype(np.int64), cells, np.clip(start, 0, cells).astype(np.int64), np.clip(end, -1, cells - 1).astype(np.int64)))
+        (x, wide, x1, x2), (y, _, y1, y2) = ranges
+        keys = y * wide + x
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        high = np.where(x1 > x2, 0, np.maximum(y2 - y1 + 1, 0))
+        k = np.repeat(np.arange(len(i)), high)  # a row of cells each
+        row = (y1[k] + np.arange(len(k)) - np.repeat(np.cumsum(high) - high, high)) * wide
+        start, end = np.searchsorted(keys, row + x1[k]), np.searchsorted(keys, row + x2[k], "right")
+        some = end > start
+        k, start, n = i[k[some]], start[some], (end - start)[some]
+        until = np.cumsum(n)
+        cut = 0
+        while cut < len(n):  # some candidates at a time
+            to = max(cut + 1, int(np.searchsorted(until, (until[cut - 1] if cut else 0) + 1_000_000)))
+            m = n[cut:to]
+            p = np.repeat(k[cut:to], m)
+            q = j[order[np.repeat(start[cut:to] - (np.cumsum(m) - m), m) + np.arange(m.sum())]]
+            both = np.maximum(np.minimum(a[2][p], b[2][q]) - np.maximum(a[0][p], b[0][q]), 0.0) * np.maximum(np.minimum(a[3][p], b[3][q]) - np.maximum(a[1][p], b[1][q]), 0.0)
+            with np.errstate(all="ignore"):
+                hit = both / (area[0][p] + area[1][q] - both) > least
+            yield p[hit], q[hit]
+            cut = to
+
+
+def _resolve(box: list[np.ndarray], see: np.ndarray, least: float) -> np.ndarray:
+    """The state of each of a tile's boxes, which come best first: it stays if all better ones that overlap it are seen and
+    gone, and is gone if one of them stays. Boxes are taken some at a time, so that few meet those that stay."""
+    state = np.where(see & FIXED > 0, STAYS, OPEN)
+    of = lambda places: [x[places] for x in box]
+    stay, todo, wait = np.flatnonzero(state == STAYS), np.flatnonzero(state == OPEN), np.zeros(0, np.int64)
+    at, step = 0, 1000
+    while at < len(todo):
+        some = todo[at : at + step]
+        for _, j in _hits(of(stay), of(some), least):
+            state[some[j]] = GONE
+        nodes = np.concatenate([wait, some[state[some] == OPEN]])
+        sure = see[nodes] & SURE > 0
+        told = np.flatnonzero(sure)
+        pairs, n = [], 0
+        for i, j in _hits(of(nodes[told]), of(nodes), least):
+            i = told[i]
+            once = (i < j) | ((i > j) & ~sure[j])  # pairs of two that are not sure tell nothing
+            pairs.append((np.minimum(i, j)[once], np.maximum(i, j)[once]))
+            n += int(once.sum())
+            if n > PAIRS and step > 100:
+                break
+        if n > PAIRS and step > 100:
+            step = max(100, step // GROWTH)
+            continue
+        better, worse = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        state[nodes] = _ordered(sure, better, worse)
+        stay, wait = np.concatenate([stay, nodes[state[nodes] == STAYS]]), nodes[state[nodes] == OPEN]
+        at, step = at + step, GROWTH * step
+    return state
+
+
+def _ordered(sure: np.ndarray, better: np.ndarray, worse: np.ndarray) -> np.ndarray:
+    """States by the pairs that overlap: all at once what nothing open stands before, again and again, then what is left of
+    long chains pair by pair."""
+    state = np.full(len(sure), OPEN)
+    for _ in range(20):
+        free = (state == OPEN) & sure
+        free[worse] = False
+        if not free.any():
+            return state
+        state[free] = STAYS
+        state[worse[free[better]]] = GONE
+        open_ = (state[better] == OPEN) & (state[worse] == OPEN)
+        better, worse = better[open_], worse[open_]
+    gone, doubt = [False] * len(sure), (~sure).tolist()
+    order = np.lexsort((better, worse))
+    for a, b in zip(better[order].tolist(), worse[order].tolist()):  # all that could suppress a box come before it as the second of a pair
+        if not gone[a]:
+            (doubt if doubt[a] else gone)[b] = True
+    return np.where(state != OPEN, state, np.where(gone, GONE, np.where(doubt, OPEN, STAYS)))
 
 
 def _rounds(boxes: DataFrame, keys: list[str], least: float) -> DataFrame:

@@ -99,3 +99,27 @@ def test_small_images_are_paired_whole(spark, monkeypatch):
 def test_images_without_a_number_pair_nothing(spark):
     df = spark.createDataFrame([r for r in odd_boxes() if r[0] is None], SCHEMA)
     assert spatial.overlapping_by_space(df, 0.3).count() == det.overlapping(df, 0.3).count() == 0
+
+
+def test_crowd_is_decided_in_few_tables(spark, monkeypatch):
+    names, settled = [], spatial.settled
+    monkeypatch.setattr(spatial, "settled", lambda df, name: names.append(name) or settled(df, name))
+    crowd = catalogue.crowd(spark, "/root/testdata/sf0.01")  # 60,000 boxes: two batches and eleven tables before
+    spatial.suppress_by_rounds(crowd, 0.3)
+    assert len(names) <= 6 and "pairs" not in names
+
+
+def test_chains_over_tiles_and_sizes(spark, monkeypatch):
+    n, rng = 400, np.random.default_rng(3)
+    rows = [(1, k, "a", 1 - k / n, 4.0 * k, 0.0, 4.0 * k + 8.0, 8.0, "") for k in range(n)]  # each hangs on the one before
+    grown = np.cumprod(np.full(25, 1.3)).tolist()
+    rows += [(1, n + k, "a", k / 100, -s, -s, 0.0, 0.0, "") for k, s in enumerate(grown)]  # over several bands
+    x, y, side = rng.uniform(0, 60, (2, 600)).tolist() + [rng.uniform(1, 9, 600).tolist()]
+    rows += [(1, 2 * n + k, "a", float(k % 7), x[k], y[k] + 100, x[k] + side[k], y[k] + 100 + side[k], "") for k in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    turns, tiles = [], spatial._tiles
+    monkeypatch.setattr(spatial, "_tiles", lambda *a, **b: turns.append(a[3] if len(a) > 3 else 0) or tiles(*a, **b))
+    monkeypatch.setattr(spatial, "_rounds", no_cells)
+    key = lambda x: sorted(map(str, x.collect()))
+    assert key(spatial.suppress_by_rounds(df, 0.3)) == key(det.suppress(df, 0.3).select(df.columns))
+    assert 1 < max(turns) < 8
