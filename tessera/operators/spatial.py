@@ -254,26 +254,31 @@ def _sides(table: pa.Table) -> list[np.ndarray]:
 
 
 def _hits(a: list[np.ndarray], b: list[np.ndarray], least: float):
-    """Places in a and in b of boxes that overlap more than `least`, array by array. A box of b is looked up in one cell, that
-    of its middle at its own level, from the cells where a partner's middle can lie."""
+    """Places in a and in b of boxes that overlap more than `least`, array by array. b's boxes are taken by size; each is looked
+    up in one cell, that of its middle, from the cells where a partner's middle can lie."""
     if not len(a[0]) or not len(b[0]):
         return
     a64, b64 = [[x.astype(float, copy=False) for x in y] for y in (a, b)]
-    long = np.maximum(a64[2] - a64[0], a64[3] - a64[1])
-    level = np.floor(np.log2(np.maximum(b64[2] - b64[0], b64[3] - b64[1])))
+    sides = [[x[2] - x[0], x[3] - x[1]] for x in (a64, b64)]
     area = [(x[2] - x[0]) * (x[3] - x[1]) for x in (a, b)]
-    for at in np.unique(level):
-        w = 2.0**at
-        j, i = np.flatnonzero(level == at), np.flatnonzero((long > w * least * 0.999) & (long < 2.002 * w / least))
+    long = [np.maximum(*x) for x in sides]
+    kind = np.floor(2 * np.log2(long[1]))
+    for at in np.unique(kind):
+        j = np.flatnonzero(kind == at)
+        i = np.ones(len(long[0]), bool)
+        for x, y in (long, area):  # what two share is no more than the smaller side or area, of at least the larger one's share
+            i &= (x >= 0.999 * least * y[j].min()) & (x * (0.999 * least) <= y[j].max())
+        i = np.flatnonzero(i)
         if not len(i):
             continue
-        ranges = []
-        for low, high in ((0, 2), (1, 3)):
-            cell = np.floor((b64[low][j] + (b64[high][j] - b64[low][j]) / 2) / w)
+        ranges, w = [], long[1][j].max() / 2
+        for d in (0, 1):
+            side, other = sides[0][d][i], sides[1][d][j]
+            cell = np.floor((b64[d][j] + other / 2) / w)
             first, cells = cell.min(), int(np.ptp(cell)) + 1
             # middles are apart by half of both sides at most, less the share of the larger that both must cover
-            near = w * 1.001 - least * (a64[high][i] - a64[low][i])
-            start, end = np.floor((a64[low][i] - near) / w) - first, np.floor((a64[high][i] + near) / w) - first
+            near = 1.001 * other.max() / 2 - 0.999 * least * np.maximum(side, other.min())
+            start, end = np.floor((a64[d][i] - near) / w) - first, np.floor((a64[d + 2][i] + near) / w) - first
             ranges.append(((cell - first).astype(np.int64), cells, np.clip(start, 0, cells).astype(np.int64), np.clip(end, -1, cells - 1).astype(np.int64)))
         (x, wide, x1, x2), (y, _, y1, y2) = ranges
         keys = y * wide + x
